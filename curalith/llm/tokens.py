@@ -80,17 +80,26 @@ def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.n
     return array, np.searchsorted(starts, offsets, "left")
 
 
+def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large_binary array one after the other, and offsets (n + 1)."""
+    if not len(array):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+    flat = np.frombuffer(array.buffers()[2], np.uint8) if bounds[-1] else np.zeros(0, np.uint8)
+    return flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 class ChunkEncoder:
     """Remembers the ids of chunks; ``encode`` maps a list of new chunks to arrays of ids."""
 
     def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[bytes]]):
         self.cut, self.encode, self.memo = cut, encode, {}
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (uint32) of all documents one after the other, and offsets (n + 1)."""
+    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each chunk as bytes of uint32, in order; chunks before each document (n + 1)."""
         array, first = self.cut(data, offsets)
         if not len(array):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
         coded = array.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         memo = self.memo
@@ -101,10 +110,13 @@ class ChunkEncoder:
         for lo in range(0, len(new), 50_000):
             part = new[lo : lo + 50_000]
             memo.update(zip(part, self.encode(part), strict=True))
-        ids = pa.array([memo[x] for x in distinct], pa.large_binary()).take(coded.indices)
-        bounds = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 4
-        flat = np.frombuffer(ids.buffers()[2], np.uint32) if bounds[-1] else np.zeros(0, np.uint32)
-        return flat[: bounds[-1]], bounds[first]
+        return pa.array([memo[x] for x in distinct], pa.large_binary()).take(coded.indices), first
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all documents one after the other, and offsets (n + 1)."""
+        runs, first = self.runs(data, offsets)
+        flat, bounds = flat_binary(runs)
+        return flat.view(np.uint32), bounds[first] // 4
 
     def documents(self, data: np.ndarray, offsets: np.ndarray):
         """(number of the document, its ids), a bounded number of bytes at a time."""
