@@ -1,13 +1,17 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from curalith.llm.op10_byte_bpe import op10_byte_bpe
+from curalith.llm import op5_chat_format
 from curalith.llm.op4_best_fit_packing import op4_best_fit_packing
 from curalith.llm.op9_token_files import op9_token_files
+from curalith.llm.op10_byte_bpe import op10_byte_bpe
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_chat_format": op5_chat_format.op5_chat_format,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_chat_format": op5_chat_format.ORACLE_SQL,
+}
