@@ -2,12 +2,14 @@
 
 from curalith.llm import op5_chat_format
 from curalith.llm.op4_best_fit_packing import op4_best_fit_packing
+from curalith.llm.op8_multiset_hash import op8_multiset_hash
 from curalith.llm.op9_token_files import op9_token_files
 from curalith.llm.op10_byte_bpe import op10_byte_bpe
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_chat_format": op5_chat_format.op5_chat_format,
+    "op8_multiset_hash": op8_multiset_hash,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
