@@ -7,6 +7,7 @@ different sides of a match, so the ids are those of the whole text.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -56,8 +57,8 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     starts = np.unique(place[np.flatnonzero(cut)])
     starts = starts[starts < place[-1]]
     ends = np.append(starts, place[-1])
-    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(low[kept])])
-    return array, np.searchsorted(starts, place[offsets], "left")
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(low[kept])])
+    return found, np.searchsorted(starts, place[offsets], "left")
 
 
 def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -76,8 +77,8 @@ def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.n
     cut |= space & before & after
     starts = np.flatnonzero(cut)
     ends = np.append(starts, n)
-    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-    return array, np.searchsorted(starts, offsets, "left")
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return found, np.searchsorted(starts, offsets, "left")
 
 
 def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +98,10 @@ class ChunkEncoder:
 
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The ids of each chunk as bytes of uint32, in order; chunks before each document (n + 1)."""
-        array, first = self.cut(data, offsets)
-        if not len(array):
+        found, first = self.cut(data, offsets)
+        if not len(found):
             return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
-        coded = array.dictionary_encode()
+        coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         memo = self.memo
         new = [x for x in distinct if x not in memo]
@@ -134,13 +135,20 @@ def word_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
+    # how the file writes bytes as characters: printed Latin-1 as itself, others from 256 on
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    written = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    latin = {c: "".join(written[b] for b in chr(c).lower().encode()) for c in [*range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]}
+    letters = frozenset(map(chr, latin))
 
     def encode(new: list[bytes]) -> list[bytes]:
         out: list = [None] * len(new)
         rest = []
         for k, chunk in enumerate(new):
-            if chunk.isalpha():  # ASCII letters are one word for the model as they stand
-                out[k] = np.fromiter((t.id for t in model.tokenize(chunk.decode())), np.uint32).tobytes()
+            text = chunk.decode("utf-8", "replace")
+            if letters.issuperset(text):  # letters of Latin-1 are one word for the model, in the file's writing of bytes
+                out[k] = array("I", [t.id for t in model.tokenize(text if chunk.isascii() else text.translate(latin))]).tobytes()
             else:
                 rest.append(k)
         if rest:
