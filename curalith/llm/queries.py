@@ -1,12 +1,16 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
 from curalith.llm import op5_chat_format
+from curalith.llm.op1_multi_index_hashing import op1_multi_index_hashing
+from curalith.llm.op2_toxicity import op2_toxicity
 from curalith.llm.op4_best_fit_packing import op4_best_fit_packing
 from curalith.llm.op8_multiset_hash import op8_multiset_hash
 from curalith.llm.op9_token_files import op9_token_files
 from curalith.llm.op10_byte_bpe import op10_byte_bpe
 
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
+    "op2_toxicity": op2_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_chat_format": op5_chat_format.op5_chat_format,
     "op8_multiset_hash": op8_multiset_hash,
