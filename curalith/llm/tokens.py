@@ -19,12 +19,11 @@ from curalith.llm.kernels import chunks, lower
 #: Chunks whose ids a Python worker remembers; beyond that it starts afresh.
 MEMO_CHUNKS = 250_000
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = True
+#: ASCII white space 0, letters 1, punctuation but the apostrophe 2; any other byte 4.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = 2
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 #: First bytes of two-byte characters none of which is white space.
@@ -44,21 +43,15 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     the number of chunks before each document (n + 1)."""
     low = lower(data)
     n = len(low)
-    edge = _edges(offsets, n)
-    white = _WHITE[low]
-    cut = edge[:n].copy()
-    cut[1:] |= white[:-1]
-    letter, punct = _LETTER[low], _PUNCT[low]
-    cut[1:] |= (letter[:-1] & punct[1:]) | (punct[:-1] & letter[1:])
-    kept = ~white
-    place = np.zeros(n + 1, np.int64)
-    np.cumsum(kept, out=place[1:])
-    # a cut before white space moves to the next kept byte
-    starts = np.unique(place[np.flatnonzero(cut)])
-    starts = starts[starts < place[-1]]
-    ends = np.append(starts, place[-1])
-    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(low[kept])])
-    return found, np.searchsorted(starts, place[offsets], "left")
+    kind = _KIND[low]
+    kept = kind != 0
+    start = _edges(offsets, n)[:n]
+    # between a letter (1) and punctuation (2), and after white space (0)
+    start[1:] |= ((kind[:-1] ^ kind[1:]) == 3) & (kind[:-1] < 3) & (kind[1:] < 3) | ~kept[:-1]
+    start &= kept
+    ends = np.append(np.flatnonzero(start[kept]), np.count_nonzero(kept)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low[kept])])
+    return found, np.searchsorted(np.flatnonzero(start), offsets, "left")
 
 
 def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
