@@ -23,6 +23,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,17 +183,16 @@ def train(labelled: DataFrame) -> Grammar:
     return Grammar(insults, dict(zip((*ARCS, "words"), w[1:].tolist(), strict=True)), float(w[0]))
 
 
-def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` with score (from 0 to 1) and predicted (0 or 1); it may have any other columns,
-    but older ones of these names are replaced."""
+def toxic_score(grammar: Grammar):
+    """A function from a text column to its score, from 0 to 1."""
     insults, weights, bias = tuple(grammar.insults.items()), tuple(grammar.weights.items()), grammar.bias
 
     @F.pandas_udf("double")
-    def scored(texts):
+    def scored(texts: pd.Series) -> pd.Series:
         own = _kept(insults, weights, bias)
         return texts.fillna("").map(own.score).astype(float)
 
-    return docs.withColumn("score", scored("text")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return scored
 
 
 @lru_cache(maxsize=2)
@@ -214,4 +214,5 @@ def trained_on(docs: DataFrame, labels: DataFrame) -> Grammar:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     grammar = trained_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, grammar).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxic_score(grammar)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

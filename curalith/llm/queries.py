@@ -4,6 +4,7 @@ from curalith.llm import op5_chat_format
 from curalith.llm.op1_multi_index_hashing import op1_multi_index_hashing
 from curalith.llm.op2_toxicity import op2_toxicity
 from curalith.llm.op4_best_fit_packing import op4_best_fit_packing
+from curalith.llm.op6_paragraph_minhash import op6_paragraph_minhash
 from curalith.llm.op7_ngram_jaccard_join import op7_ngram_jaccard_join
 from curalith.llm.op8_multiset_hash import op8_multiset_hash
 from curalith.llm.op9_token_files import op9_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_chat_format": op5_chat_format.op5_chat_format,
+    "op6_paragraph_minhash": op6_paragraph_minhash,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_multiset_hash": op8_multiset_hash,
     "op9_token_files": op9_token_files,
