@@ -3,6 +3,7 @@
 from curalith.llm import op5_chat_format
 from curalith.llm.op1_multi_index_hashing import op1_multi_index_hashing
 from curalith.llm.op2_toxicity import op2_toxicity
+from curalith.llm.op3_suffix_dedup import op3_suffix_dedup
 from curalith.llm.op4_best_fit_packing import op4_best_fit_packing
 from curalith.llm.op6_paragraph_minhash import op6_paragraph_minhash
 from curalith.llm.op7_ngram_jaccard_join import op7_ngram_jaccard_join
@@ -13,6 +14,7 @@ from curalith.llm.op10_byte_bpe import op10_byte_bpe
 QUERIES = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_chat_format": op5_chat_format.op5_chat_format,
     "op6_paragraph_minhash": op6_paragraph_minhash,
