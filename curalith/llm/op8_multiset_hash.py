@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curalith.llm.storage import shuffle_width, stored
+from curalith.llm.storage import shuffle_width
 
 #: Seeded hashes of a paragraph, two lanes each; numbers that hold four counted bits of a word
 #: pair's two hashes each.
@@ -104,7 +104,7 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows in descending doc_id with the next one's text: block, place (from 1 in its block),
-    next_block (where the next one is, place 1, after a block's last), doc_id, text, next_text."""
+    last (whether it is its block's last), doc_id, text, next_text."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = in_blocks(docs, shuffle_width(docs.sparkSession)).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
@@ -113,14 +113,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     # one row for each block: as many as there are shuffle partitions
     everywhere = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = Window.orderBy(F.desc("block"))
-    following = heads.select(
-        F.col("block").alias("of"),
-        F.coalesce(F.lead("block").over(turn), F.first("block").over(everywhere)).alias("next_block"),
-        F.coalesce(F.lead("head_text").over(turn), F.first("head_text").over(everywhere)).alias("head_text"),
-    )
+    following = heads.select(F.col("block").alias("of"), F.coalesce(F.lead("head_text").over(turn), F.first("head_text").over(everywhere)).alias("head_text"))
     joined = rows.join(following.hint("shuffle_merge"), rows["block"] == following["of"])
-    last = F.col("next_text").isNull()
-    return joined.select("block", "place", F.when(last, F.col("next_block")).alias("next_block"), "doc_id", "text", F.when(last, F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"))
+    return joined.select("block", "place", F.col("next_text").isNull().alias("last"), "doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -129,16 +124,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     k = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k))
     rows = with_next(docs).withColumn("edited", edited)
-    keys = ["block", "place", "next_block", "doc_id", "n_chars", "edited_sha256", "which"]
-    versions = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))))
-    rows = rows.select("block", "place", "next_block", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
-    rows = rows.select("block", "place", "next_block", "doc_id", "n_chars", "edited_sha256", versions.alias("v"))
-    prints = stored(fingerprints(rows.select(*keys[:-1], "v.which", "v.text"), keys), "fingerprints")
+    keys = ["block", "place", "doc_id", "n_chars", "edited_sha256", "which"]
+    # a block's last row also brings the next document, which stands in another block
+    version = lambda which, text: F.struct(F.lit(which).alias("which"), F.col(text).alias("text"))
+    versions = F.when(F.col("last"), F.array(version(0, "text"), version(1, "edited"), version(2, "next_text"))).otherwise(F.array(version(0, "text"), version(1, "edited")))
+    rows = rows.select("block", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), versions.alias("versions"))
+    rows = rows.select(*keys[:-1], F.explode("versions").alias("v"))
+    # everything below stays where the rows were dealt out by block
+    prints = fingerprints(rows.select(*keys[:-1], "v.which", "v.text"), keys)
     order = Window.partitionBy("block").orderBy("place", "which")
     own = F.struct("exact", "pairs", "lanes")
-    lined = prints.select("block", "next_block", "doc_id", "n_chars", "edited_sha256", "which", own.alias("own"), F.lead(own, 1).over(order).alias("edited"), F.lead(own, 2).over(order).alias("following")).filter("which = 0")
-    heads = prints.filter("place = 1 AND which = 0").select(F.col("block").alias("next_block"), own.alias("head"))
-    lined = lined.join(heads, "next_block", "left").withColumn("following", F.coalesce("head", "following"))
+    lined = prints.select("doc_id", "n_chars", "edited_sha256", "which", own.alias("own"), F.lead(own, 1).over(order).alias("edited"), F.lead(own, 2).over(order).alias("following")).filter("which = 0")
     parts = lambda name: [F.col(f"{name}.{x}") for x in ("exact", "pairs", "lanes")]
     return lined.select(
         "doc_id", "n_chars", "edited_sha256",
