@@ -1 +1 @@
-
+"""Column functions: text, numbers, vocabulary, signals and pitch."""

@@ -1 +1 @@
-
+"""Operators on tables of transcripts, takes, metrics and logs."""
