@@ -80,9 +80,8 @@ def semitones(a: Column, b: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals, halves of the exact binary value to even."""
-    exact = F.bround(x.cast("decimal(38,18)"), digits)
-    return F.format_string(f"%.{digits}f", exact)
+    """A number with so many decimals as text, halves (of its shortest decimal form) to even."""
+    return F.bround(x.cast("decimal(38,18)"), digits).cast("string")
 
 
 def vocabulary_map(vocabulary: str, alphabet: str) -> dict[str, str]:
