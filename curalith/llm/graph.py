@@ -1,13 +1,42 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links.
+
+Links are contracted in parts of bounded size, each by a union-find in one task, which leaves at
+most a link for each node of a part.  What one part holds is done then; links of several parts go
+on by alternating large and small stars until nothing changes.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curalith.llm.storage import stored
 
 MAX_ROUNDS = 60
+#: Links of a part.
+PART = 250_000
+
+
+def _forest(batches):
+    """Links (a, b) from every node of a partition's links to its least connected node."""
+    given = [np.stack([np.asarray(b.column("a")), np.asarray(b.column("b"))]) for b in batches if b.num_rows]
+    if not given:
+        return
+    names, ends = np.unique(np.concatenate(given, axis=1), return_inverse=True)
+    label, (x, y) = np.arange(len(names)), ends.reshape(2, -1)
+    while True:  # least label over each link, then over the label's own label
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[label[far]])], names=["a", "b"])
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -24,7 +53,13 @@ def _star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node that a link (a, b) names."""
-    now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    given = stored(links.select("a", "b").filter("a <> b"), "links")
+    parts = -(-given.count() // PART)
+    shape = "a long, b long"
+    if parts <= 1:
+        now = stored(given.coalesce(1).mapInArrow(_forest, shape), "links")
+        return _named(now)
+    now = stored(given.repartition(parts).mapInArrow(_forest, shape), "links")
     mark = None
     for _ in range(MAX_ROUNDS):
         now = stored(_star(now), "links")
@@ -35,4 +70,8 @@ def components(links: DataFrame) -> DataFrame:
         mark = new
     else:
         raise RuntimeError("components haven't settled")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _named(now)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -235,7 +235,11 @@ def test_op7_empty(documents):
     assert op7.jaccard_components(documents([])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [250_000, 3])
+def test_components(spark, monkeypatch, part):
+    from curalith.llm import graph
+
+    monkeypatch.setattr(graph, "PART", part)
     chain = [(k, k + 1) for k in range(30)] + [(50, 40), (60, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40, 60: 40}
