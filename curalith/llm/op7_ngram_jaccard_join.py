@@ -193,8 +193,9 @@ class Trie:
         self.order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
         self.root = self._node(0, len(sets), 0) if sets else None
 
-    def _node(self, lo: int, hi: int, depth: int) -> tuple:
-        """(depth, edge's members, least and largest size below, sets that end here, children)."""
+    def _node(self, lo: int, hi: int, depth: int) -> list:
+        """[depth, edge's members, least and largest size below, sets that end here, children, a set
+        below if all of them are known to be connected]."""
         first, last = self.sets[self.order[lo]], self.sets[self.order[hi - 1]]
         k = min(len(first), len(last))
         unlike = np.flatnonzero(first[depth:k] != last[depth:k])
@@ -210,13 +211,34 @@ class Trie:
             children.append(self._node(at, to, end))
             at = to
         sizes = [len(self.sets[k]) for k in ending] + [s for c in children for s in c[2:4]]
-        return end, first[depth:end], min(sizes), max(sizes), ending, children
-
-    def walk(self, mask: np.ndarray, n: int, num: int, den: int):
-        """(set, overlap) of the stored sets that are alike enough to the one that ``mask`` marks."""
+        return [end, first[depth:end], min(sizes), max(sizes), ending, children, None]
+
+    def _connected(self, node: list, top) -> int | None:
+        """The group of all sets below a node, if it is one; once so, it stays so."""
+        if node[6] is None:
+            some = None
+            for k in node[4]:
+                if some is not None and top(k) != some:
+                    return None
+                some = top(k)
+            for child in node[5]:
+                own = self._connected(child, top)
+                if own is None or (some is not None and own != some):
+                    return None
+                some = own
+            node[6] = some
+        return top(node[6])
+
+    def walk(self, mask: np.ndarray, n: int, num: int, den: int, top=None, own=None):
+        """(set, overlap) of the stored sets that are alike enough to the one that ``mask`` marks.
+        With ``top`` (a set's group now) and ``own`` (the group of the walking set now), subtrees
+        whose sets are all in that group already are left out."""
         stack = [(self.root, 0)] if self.root else []
         while stack:
-            (depth, edge, least, most, ending, children), overlap = stack.pop()
+            node, overlap = stack.pop()
+            if top is not None and self._connected(node, top) == own():
+                continue
+            depth, edge, least, most, ending, children, _ = node
             if den * most < num * n or num * least > den * n:  # no length below allows a link
                 continue
             overlap += int(np.count_nonzero(mask[edge]))
@@ -276,7 +298,7 @@ def _joined(num: int, den: int):
             mask = np.zeros(many, bool)
             for k in [k for k, p in enumerate(probe) if p] or range(len(nodes)):
                 mask[sets[k]] = True
-                for j, _ in trie.walk(mask, len(sets[k]), num, den):
+                for j, _ in trie.walk(mask, len(sets[k]), num, den, lambda j: groups.top(kept[j]), lambda k=k: groups.top(k)):
                     if groups.tie(k, kept[j]):
                         links.append((nodes[k], nodes[kept[j]]))
                 mask[sets[k]] = False
