@@ -28,9 +28,10 @@ def words(text: Column) -> Column:
 
 
 def ngrams(words_: Column, n: int) -> Column:
-    """Distinct runs of n words, joined by spaces; none when there are fewer."""
+    """Runs of n words, joined by spaces; none when there are fewer.  A run that comes again stands
+    again: array_distinct compares strings pair by pair, so make them distinct as rows."""
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return let(words_, lambda w: F.when(F.size(w) >= n, F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>")))
+    return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def letters(text: Column) -> Column:

@@ -1,11 +1,12 @@
 """Queries over records: splits, duplicates, joins, validation."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curalith.functions import text as X
 from curalith.operators import duplicates, joins, leak, split, validation
 from curalith.plans.registry import Registry, table
-from curalith.plans.texts import _LEAKS, _MAP, VOCABULARY
+from curalith.plans.texts import _LEAKS, _OUTSIDE, VOCABULARY
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -45,17 +46,17 @@ def epoch_batches(spark, sf_dir):
     return split.epoch_batches(table(spark, sf_dir, "documents"), "doc_id", 16, 42, 1)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id > f THEN f END AS first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS f FROM documents)")
+@query("SELECT doc_id, CASE WHEN doc_id > f THEN f ELSE -1 END AS first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS f FROM documents)")
 def dup_first(spark, sf_dir):
-    return duplicates.first_occurrence(table(spark, sf_dir, "documents"), F.lower("text"), "doc_id", "doc_id").select("doc_id", "first_id")
+    return duplicates.first_occurrence(table(spark, sf_dir, "documents"), F.lower("text"), "doc_id", "doc_id").select("doc_id", F.coalesce("first_id", F.lit(-1)).alias("first_id"))
 
 
 @query("""WITH a AS (SELECT 0 AS rank, item_id AS id, lower(text) AS key FROM benchmark UNION ALL SELECT 1, doc_id, lower(text) FROM documents)
-SELECT id, previous_id FROM (SELECT *, lag(id) OVER (PARTITION BY key ORDER BY rank, id) AS previous_id FROM a) WHERE rank = 1""")
+SELECT id, coalesce(previous_id, -1) AS previous_id FROM (SELECT *, lag(id) OVER (PARTITION BY key ORDER BY rank, id) AS previous_id FROM a) WHERE rank = 1""")
 def dup_prev(spark, sf_dir):
     rows = lambda name, key, rank: table(spark, sf_dir, name).select(F.lit(rank).alias("rank"), F.col(key).alias("id"), "text")
     both = rows("benchmark", "item_id", 0).unionByName(rows("documents", "doc_id", 1))
-    return duplicates.previous_occurrence(both, F.lower("text"), ["rank", "id"], "id").filter("rank = 1").select("id", "previous_id")
+    return duplicates.previous_occurrence(both, F.lower("text"), ["rank", "id"], "id").filter("rank = 1").select("id", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"))
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -75,8 +76,6 @@ def audio_transcripts(spark, sf_dir):
     joined = joins.with_transcripts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), scripts)
     # the place in the whole order, by ranges: rows with a script first
     numbered = joined.select("id", "has_text", F.array_join("errors", "; ").alias("error"), "place")
-    from pyspark.sql import Window
-
     ranked = numbered.withColumn("r", F.row_number().over(Window.partitionBy("has_text").orderBy("place")))
     known = numbered.filter("has_text").agg(F.count("*").alias("known"))
     return ranked.crossJoin(F.broadcast(known)).select("id", "has_text", "error", F.when(F.col("has_text"), F.col("r")).otherwise(F.col("r") + F.col("known")).alias("k"))
@@ -119,7 +118,7 @@ def clip_clauses(spark, sf_dir):
 
 _MARKS = "list_filter(['Ã', 'Ä', 'Å', 'Â±', '�', '﻿'], lambda m: contains(text, m))"
 _FLAGS = _LEAKS + f""",
-  f AS (SELECT d.doc_id, text, {_MARKS} AS marks, list_sort(list_distinct(list_filter(string_split(text, ''), lambda c: coalesce(m[c], ' ') = ' ' AND c <> ' '))) AS outside, first_gram FROM documents d LEFT JOIN found USING (doc_id), (SELECT {_MAP} AS m)),
+  f AS (SELECT d.doc_id, text, {_MARKS} AS marks, {_OUTSIDE} AS outside, first_gram FROM documents d LEFT JOIN found USING (doc_id)),
   e AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN ['empty transcript'] ELSE list_filter([CASE WHEN len(marks) > 0 THEN 'encoding problem in transcript: ' || array_to_string(marks, ' ') END,
     CASE WHEN len(outside) > 0 THEN 'unmappable characters: ' || array_to_string(outside, ' ') END, CASE WHEN first_gram IS NOT NULL THEN 'evaluation-set leakage: ' || first_gram END], lambda x: x IS NOT NULL) END AS errors FROM f)
 """

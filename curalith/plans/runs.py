@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from curalith.functions.text import fixed
 from curalith.operators import comparison, takes, training
+from curalith.operators.validation import messages
 from curalith.plans.registry import Registry, table
 from curalith.plans.texts import VOCABULARY
 
@@ -17,12 +18,12 @@ _TAKES = """WITH takes AS (SELECT l_orderkey AS clip, l_linenumber AS attempt, l
 
 
 def _takes(spark, sf_dir):
-    from curalith.operators.validation import messages
-
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("attempt"), (F.col("l_quantity") * 8).alias("min_f0_hz"), "l_discount", "l_tax", "l_partkey", "l_suppkey")
     rules = messages((F.col("min_f0_hz") < 180, "low_pitch"), (F.col("l_discount") > 0.05, "clipped"), (F.col("l_tax") > 0.06, "duration"))
     # a line's number can repeat in the stand-in; the choice of a take wants distinct attempts
-    return rows.groupBy("clip", "attempt").agg(F.min_by(F.struct("min_f0_hz", "l_discount", "l_tax"), F.struct("l_partkey", "l_suppkey", "min_f0_hz", "l_discount", "l_tax")).alias("x")).select("clip", "attempt", "x.*").withColumn("reasons", rules.alias("reasons") if False else messages((F.col("min_f0_hz") < 180, "low_pitch"), (F.col("l_discount") > 0.05, "clipped"), (F.col("l_tax") > 0.06, "duration"))).select("clip", "attempt", "min_f0_hz", "reasons")
+    metrics = F.struct("min_f0_hz", "l_discount", "l_tax")
+    first = rows.groupBy("clip", "attempt").agg(F.min_by(metrics, F.struct("l_partkey", "l_suppkey", "min_f0_hz", "l_discount", "l_tax")).alias("x"))
+    return first.select("clip", "attempt", "x.*").select("clip", "attempt", "min_f0_hz", rules.alias("reasons"))
 
 
 _DISTINCT = _TAKES.replace("FROM lineitem)", "FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity * 8, l_discount, l_tax) = 1))")
@@ -129,10 +130,10 @@ def weighted_loss(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-s AS (SELECT run, k, loss AS best, step AS at, 0 AS streak, NULL::BIGINT AS stop FROM e WHERE k = 1
-  UNION ALL SELECT e.run, e.k, CASE WHEN loss < best - 0.5::DOUBLE THEN loss ELSE best END, CASE WHEN loss < best - 0.5::DOUBLE THEN step ELSE at END, CASE WHEN loss < best - 0.5::DOUBLE THEN 0 ELSE streak + 1 END,
+s AS (SELECT run, k, loss AS best, step AS kept, 0 AS streak, NULL::BIGINT AS stop FROM e WHERE k = 1
+  UNION ALL SELECT e.run, e.k, CASE WHEN loss < best - 0.5::DOUBLE THEN loss ELSE best END, CASE WHEN loss < best - 0.5::DOUBLE THEN step ELSE kept END, CASE WHEN loss < best - 0.5::DOUBLE THEN 0 ELSE streak + 1 END,
     CASE WHEN NOT loss < best - 0.5::DOUBLE AND streak + 1 >= 4 THEN step END FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1 WHERE stop IS NULL)
-SELECT run, at AS best_step, best AS best_loss, stop AS stop_step FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k DESC) AS r FROM s) WHERE r = 1""")
+SELECT run, kept AS best_step, best AS best_loss, stop AS stop_step FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k DESC) AS r FROM s) WHERE r = 1""")
 def early_stop(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
     return training.early_stop(log, "run", patience=4, min_delta=0.5)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from curalith.functions import signal as S
 from curalith.operators import pitch, validation
+from curalith.operators.duplicates import first_occurrence
 from curalith.plans.registry import Registry, table
 
 query = Registry()
@@ -79,11 +80,9 @@ def concat_gap(spark, sf_dir):
     return _samples(spark, sf_dir).select("vec_id", F.size(joined).alias("n"), F.aggregate(joined, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id > f THEN f END AS first_id FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding::VARCHAR) AS f FROM embeddings)")
+@query("SELECT vec_id, CASE WHEN vec_id > f THEN f ELSE -1 END AS first_id FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding::VARCHAR) AS f FROM embeddings)")
 def duplicate_audio(spark, sf_dir):
-    from curalith.operators.duplicates import first_occurrence
-
-    return first_occurrence(table(spark, sf_dir, "embeddings"), F.to_json(F.struct("embedding")), "vec_id", "vec_id").select("vec_id", "first_id")
+    return first_occurrence(table(spark, sf_dir, "embeddings"), F.to_json(F.struct("embedding")), "vec_id", "vec_id").select("vec_id", F.coalesce("first_id", F.lit(-1)).alias("first_id"))
 
 
 @query()

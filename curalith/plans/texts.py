@@ -105,15 +105,19 @@ def _mapped() -> dict[str, str]:
 
 
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
-_MAP = "MAP {" + ", ".join(f"{_quote(k)}: {_quote(v)}" for k, v in ({c: c for c in VOCABULARY} | _mapped()).items()) + "}"
+_class = lambda chars: "".join(f"\\{c}" if ord(c) < 128 and not c.isalnum() and c != " " else c for c in dict.fromkeys(chars)).replace("'", "''")
+_SINGLE = {c: v for c, v in _mapped().items() if len(v) == 1}
+_DROPPED = "".join(c for c, v in _mapped().items() if v == "")
+#: The characters, but spaces, for which only a space could stand.
+_OUTSIDE = f"list_sort(list_distinct(list_filter(string_split(regexp_replace(text, '[{_class([*VOCABULARY, *(c for c, v in _mapped().items() if v != ' ')])}]', '', 'g'), ''), lambda c: c <> '')))"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(text, ''), lambda c: coalesce(m[c], ' ')), ''), '\\s+', ' ', 'g')) AS fitted FROM documents, (SELECT {_MAP} AS m)")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, {_quote(''.join(_SINGLE) + _DROPPED)}, {_quote(''.join(_SINGLE.values()))}), '[^{_class([*VOCABULARY, *_SINGLE.values()])}]', ' ', 'g'), '\\s+', ' ', 'g')) AS fitted FROM documents")
 def fit_vocab(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.fit_to_vocabulary(F.col("text"), VOCABULARY).alias("fitted"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(text, ''), lambda c: coalesce(m[c], ' ') = ' ' AND c <> ' '))), '|') AS outside FROM documents, (SELECT {_MAP} AS m)")
+@query(f"SELECT doc_id, array_to_string({_OUTSIDE}, '|') AS outside FROM documents")
 def unmappable(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.unmappable(F.col("text"), VOCABULARY), "|").alias("outside"))
 
