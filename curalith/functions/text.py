@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -85,6 +84,17 @@ def fixed(x: Column, digits: int) -> Column:
     return F.bround(x.cast("decimal(38,18)"), digits).cast("string")
 
 
+def char_class(chars: str) -> str:
+    """A pattern's class of these characters, in ranges: a class of many single ones is slow."""
+    points, ranges = sorted(set(map(ord, chars))), []
+    for p in points:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
 def vocabulary_map(vocabulary: str, alphabet: str) -> dict[str, str]:
     """What stands for each character of ``alphabet`` that isn't in ``vocabulary``: its fallback, lower
     case or base letter, else a space."""
@@ -107,13 +117,13 @@ def fit_to_vocabulary(text: Column, vocabulary: str) -> Column:
     kept = "".join(dict.fromkeys(vocabulary))
     single = {c: to for c, to in mapped.items() if len(to) == 1}
     dropped = "".join(c for c, to in mapped.items() if to == "")
-    fitted = F.translate(text, dropped + "".join(single), "") if not single else F.translate(text, "".join(single) + dropped, "".join(single.values()))
-    listed = re.escape("".join(dict.fromkeys(kept + "".join(single.values()))))
+    fitted = F.translate(text, "".join(single) + dropped, "".join(single.values()))
+    listed = char_class(kept + "".join(single.values()))
     return F.trim(F.regexp_replace(F.regexp_replace(fitted, f"[^{listed}]", " "), r"(?U)\s+", " "))
 
 
 def unmappable(text: Column, vocabulary: str) -> Column:
     """The distinct characters, sorted, for which only a space could stand."""
     mapped = vocabulary_map(vocabulary, LATIN)
-    fine = re.escape("".join(dict.fromkeys([*vocabulary, *(c for c, to in mapped.items() if to != " ")])))
+    fine = char_class("".join([*vocabulary, *(c for c, to in mapped.items() if to != " ")]))
     return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(text, f"[{fine}]", ""), ""), lambda c: c != "")))
