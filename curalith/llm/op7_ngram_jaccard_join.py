@@ -216,17 +216,17 @@ class Trie:
     def _connected(self, node: list, top) -> int | None:
         """The group of all sets below a node, if it is one; once so, it stays so."""
         if node[6] is None:
-            some = None
+            some, member = None, None
             for k in node[4]:
                 if some is not None and top(k) != some:
                     return None
-                some = top(k)
+                some, member = top(k), k
             for child in node[5]:
                 own = self._connected(child, top)
                 if own is None or (some is not None and own != some):
                     return None
-                some = own
-            node[6] = some
+                some, member = own, child[6]
+            node[6] = member
         return top(node[6])
 
     def walk(self, mask: np.ndarray, n: int, num: int, den: int, top=None, own=None):
@@ -383,7 +383,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 grams = [h[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("comp").slice(lo, k), batch.column("doc_id").slice(lo, k), pa.array(grams, pa.binary())], names=["comp", "node", "grams"])
 
-    sets = known.join(groups, "doc_id").mapInArrow(as_sets, "comp long, node long, grams binary").filter(F.length("grams") > 0)
+    sets = known.join(groups.hint("merge"), "doc_id").mapInArrow(as_sets, "comp long, node long, grams binary").filter(F.length("grams") > 0)
     linked = components(_union([*_verified(sets, num, den)]))
     own = rows.join(classes, ["low", "high"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     # a repeated doc_id is one node: its rows' classes are connected through it

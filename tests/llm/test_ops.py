@@ -318,3 +318,33 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert {2, 3, 11} <= left[0] - left[1] and {1, 4, 5, 6, 7, None} <= left[1] and left[2] == left[1]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == left[2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op7_block_with_probes(seed):
+    """Probes against stored sets of a block: what is connected is what brute force connects."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(4)]
+    sets = []
+    for k in range(60):
+        x = bases[k % 4].copy()
+        j = rng.choice(40, rng.integers(0, 6), replace=False)
+        x[j] = rng.integers(0, 1 << 62, len(j))
+        sets.append(x)
+    labels, probe = [k if k < 30 else 30 + k % 4 for k in range(60)], [k % 3 == 0 for k in range(60)]
+    t = pa.table({"node": list(range(60)), "label": labels, "probe": probe, "grams": [x.tobytes() for x in sets]})
+    links = op7._joined(80, 100)(t).to_pylist()
+
+    def groups(pairs):
+        g = op7.Groups(60)
+        first = {}
+        for k, label in enumerate(labels):
+            g.tie(k, first.setdefault(label, k))
+        for a, b in pairs:
+            g.tie(a, b)
+        return [g.top(k) for k in range(60)]
+
+    real = [(a, b) for a in range(60) for b in range(60) if probe[a] and not probe[b] and 100 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 80 * len(set(sets[a].tolist()) | set(sets[b].tolist()))]
+    assert groups((x["a"], x["b"]) for x in links) == groups(real)
