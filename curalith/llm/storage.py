@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset (as in tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = f"file://{tempfile.gettempdir()}/curalith-checkpoints" if local else "curalith-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    on_one_machine = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    return f"file://{tempfile.gettempdir()}/curalith-checkpoints" if on_one_machine else "curalith-checkpoints"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
