@@ -6,7 +6,7 @@ clause's symbols and remembers whether a negation, a report or a target stands b
 hit leaves by another arc when it is negated, reported or aimed at somebody.  A document's
 matched clauses are counted by arc, and its score is the logistic of the arcs' learned weights.
 
-Learned from at most ``TRAIN_DOCUMENTS`` labelled documents (those whose text has the smallest
+Learned from at most ``TRAIN_DOCUMENTS`` labelled documents (those whose doc_id has the smallest
 hash): the insult lexicon - words and word beginnings that stand out in toxic documents, with the
 logarithm of how much more often they do - and the arcs' weights.  A word counts by its own entry
 or else by its longest listed beginning.  The words of the other transducers are given, in the
@@ -157,11 +157,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
 
 
 def train(labelled: DataFrame) -> Grammar:
-    """A grammar from ``labelled`` (text, toxic 0/1); nothing else of a row is looked at."""
+    """A grammar from ``labelled`` (text, toxic 0/1), a bounded sample; nothing else of a row is looked at."""
     rows = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).filter("text IS NOT NULL AND toxic IN (0, 1)")
     # copies of a text would make its rare words look common
-    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    sample = stored(rows.orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCUMENTS).repartition(24), "labelled")
+    sample = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(24), "labelled")
     total = sample.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = total.toxic or 0, total.n - (total.toxic or 0)
     counts = sample.mapInArrow(_counted, "term string, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("n").alias("n"))
@@ -206,9 +205,11 @@ def held_out(doc_id: str) -> Column:
 
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> Grammar:
-    """A grammar from the labelled documents that aren't held out."""
-    known = labels.select("doc_id", "toxic").filter(~held_out("doc_id"))
-    return train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    """A grammar from at most TRAIN_DOCUMENTS of the labelled documents that aren't held out: few
+    enough labels to go to the documents, so that no text is shuffled but theirs."""
+    known = labels.select("doc_id", "toxic").filter(~held_out("doc_id") & F.col("toxic").isin(0, 1))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAIN_DOCUMENTS)
+    return train(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
