@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from curalith.llm.kernels import chunks, flat_texts
+from curalith.llm.storage import small_batches
 from curalith.llm.tokens import MEMO_CHUNKS, ChunkEncoder, flat_binary, spaced_chunks
 
 #: Bytes of words that go through one recursive query, and its steps before the state is taken
@@ -174,6 +175,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 own = batch.column("doc_id").slice(lo, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -210,6 +212,7 @@ def round_trip_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

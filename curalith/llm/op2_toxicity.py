@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalith.llm.storage import stored
+from curalith.llm.storage import small_batches, stored
 
 #: Bounds of what is learned from, and of the lexicon.
 TRAIN_DOCUMENTS, LEXICON = 20_000, 4_000
@@ -70,7 +70,7 @@ class Grammar:
         given = lambda symbol, words: Transducer(symbol, dict.fromkeys(words, 1.0))
         self.insults, self.weights, self.bias = insults, weights, bias
         self.parts = (Transducer("I", insults), given("H", THREAT), given("N", NEGATION), given("R", REPORT), given("T", TARGET))
-        self.symbol = lru_cache(maxsize=200_000)(self._symbol)
+        self.symbol = lru_cache(maxsize=100_000)(self._symbol)
 
     def _symbol(self, word: str) -> tuple[str, float] | None:
         if not word[0].isalpha():
@@ -194,7 +194,7 @@ def toxic_score(grammar: Grammar):
     return scored
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _kept(insults: tuple, weights: tuple, bias: float) -> Grammar:
     """One grammar for all batches of a Python worker."""
     return Grammar(dict(insults), dict(weights), bias)
@@ -207,6 +207,7 @@ def held_out(doc_id: str) -> Column:
 def trained_on(docs: DataFrame, labels: DataFrame) -> Grammar:
     """A grammar from at most TRAIN_DOCUMENTS of the labelled documents that aren't held out: few
     enough labels to go to the documents, so that no text is shuffled but theirs."""
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").filter(~held_out("doc_id") & F.col("toxic").isin(0, 1))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAIN_DOCUMENTS)
     return train(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))

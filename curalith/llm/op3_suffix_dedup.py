@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalith.llm.kernels import chunks, flat_texts, gram_hashes, mix, sliding, span_hashes
-from curalith.llm.storage import new_folder, shuffle_width
+from curalith.llm.storage import new_folder, shuffle_width, small_batches
 
 LENGTH, GRAM = 50, 18
 CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 19
@@ -349,6 +349,7 @@ def _cut(length: int, buckets: int, with_bytes: bool):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(spark)
     buckets = 4 * width
     name = f"chunks_{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalith.llm.kernels import flat_texts
-from curalith.llm.storage import stored
+from curalith.llm.storage import small_batches, stored
 from curalith.llm.tokens import word_encoder
 
 CAPACITY = 4096
@@ -58,6 +58,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, lower, mix, set_hashes, span_hashes, word_shingles, words
 from curalith.llm.op7_ngram_jaccard_join import _union, _verified
-from curalith.llm.storage import shuffle_width, stored
+from curalith.llm.storage import shuffle_width, small_batches, stored
 
 WIDTH, MIN_WORDS = 5, 20
 #: The share of pairs at the threshold that banding may miss.
@@ -124,6 +124,7 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataF
     that has an equal or near-equal one; two are near-equal when den * intersection >= num * union
     of their sets of five-word shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     rows, width = 3, shuffle_width(spark)
     bands = tuned_bands(num / den, rows=rows)
@@ -143,15 +144,12 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataF
         for batch, data, offsets in _each(batches):
             doc, _, _, key, grams, owner = paragraphs(data, offsets)
             h, at = distinct_sets(grams, owner, len(key))
-            found = [(c, k, i) for i, (d, k) in enumerate(zip(doc.tolist(), key.view(np.int64).tolist(), strict=True)) for c in (_want(batch, d).get(k),) if c is not None]
-            found = list({k: (c, k, i) for c, k, i in found}.values())
+            wanted = [{x["key"]: x["comp"] for x in own} for own in batch.column("wanted").to_pylist()]
+            found = {k: (c, k, i) for i, (d, k) in enumerate(zip(doc.tolist(), key.view(np.int64).tolist(), strict=True)) if (c := wanted[d].get(k)) is not None}.values()
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in found], pa.int64()), pa.array([k for _, k, _ in found], pa.int64()), pa.array([h[at[i] : at[i + 1]].tobytes() for _, _, i in found], pa.binary())], names=["comp", "node", "grams"])
 
-    def _want(batch: pa.RecordBatch, d: int) -> dict:
-        return {x["key"]: x["comp"] for x in batch.column("wanted")[d].as_py()}
-
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "comp")).alias("wanted"))
-    sets = docs.join(per_doc, "doc_id").mapInArrow(as_sets, "comp long, node long, grams binary").dropDuplicates(["node"])
+    sets = docs.join(per_doc.hint("merge"), "doc_id").mapInArrow(as_sets, "comp long, node long, grams binary").dropDuplicates(["node"])
     linked = components(_union(_verified(sets, num, den))).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
     named = classes.join(linked, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     clusters = named.groupBy("cluster").agg(F.min("first").alias("kept"), F.sum("copies").alias("all"))
@@ -164,7 +162,7 @@ def repeated_paragraphs(docs: DataFrame, num: int = 80, den: int = 100) -> DataF
 def without_repeats(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with its columns; removed paragraphs are cut out of text, n_chars follows if it is there."""
     gone = repeated_paragraphs(docs, num, den).filter("removed").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("paragraph").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone_id"), "left")
     lines = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("_gone", k))
     joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     if "n_chars" in docs.columns:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, mix, set_hashes, shingles
-from curalith.llm.storage import shuffle_width, stored
+from curalith.llm.storage import shuffle_width, small_batches, stored
 
 #: Counters of the global order (a table of fixed size).
 COUNTERS = 1 << 20
@@ -353,6 +353,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text): two documents are
     linked when den * intersection >= num * union of their sets of ``width``-word n-grams."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id IS NOT NULL")
     counters = spark.sparkContext.broadcast(count_order(known, width))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curalith.llm.kernels import flat_texts
-from curalith.llm.storage import new_folder, shuffle_width
+from curalith.llm.storage import new_folder, shuffle_width, small_batches
 from curalith.llm.tokens import word_encoder
 
 #: Bounds of the dictionary and of the documents that it is trained on.
@@ -59,6 +59,7 @@ def _dictionary(raw: bytes):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes the ids of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order."""
     spark = docs.sparkSession
+    small_batches(spark)
     raw = train_dictionary(docs, tokenizer, end_id)
     key = sha256(raw).hexdigest()
     spark.createDataFrame([(key, bytearray(raw))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
