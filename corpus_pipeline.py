@@ -29,7 +29,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     five-word shingles; equal rows of one doc_id stay once."""
     found = jaccard_components(docs)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone_id"), "left_anti")
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
