@@ -305,16 +305,16 @@ def test_op10_as_the_library_does(spark, documents):
 def test_pipeline_stages(spark, documents, tmp_path):
     import corpus_pipeline
 
-    rows = AWKWARD + [(60 + k, words(200 + k, 50) + (" you idiot scum" if k % 2 else "")) for k in range(20)]
+    rows = AWKWARD + [(60 + k, words(200 + k, 50) + (" you idiot scum" if k % 4 == 1 else "")) for k in range(60)]
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(60 + k, k % 2) for k in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(60 + k, int(k % 4 == 1)) for k in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, left = docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == columns, name
         left.append({r.doc_id for r in docs.select("doc_id").collect()})
-    assert left[0] >= {i for i, _ in AWKWARD} and {60, 62, 64} <= left[0] and not {61, 63, 65} & left[0]
+    assert left[0] >= {i for i, _ in AWKWARD} and {60, 62, 64} <= left[0] and not {61, 65, 69} & left[0]
     assert {2, 3, 11} <= left[0] - left[1] and {1, 4, 5, 6, 7, None} <= left[1] and left[2] == left[1]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == left[2]
