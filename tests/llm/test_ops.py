@@ -203,6 +203,24 @@ def test_op6_against_brute_force(spark, documents):
     assert op6.repeated_paragraphs(documents([])).count() == 0
 
 
+def test_op6_passages_and_short_lines(spark, documents):
+    passage, short = words(70, 51), words(71, 7)
+    w = passage.split()
+    rows = [
+        (1, words(72, 90) + " " + passage + " " + words(73, 80)),
+        (2, words(74, 70) + " " + passage + " " + words(75, 100) + "\n" + short),
+        (3, words(76, 60) + " " + " ".join(w[:25]) + "\n" + " ".join(w[25:]) + " " + words(77, 90)),
+        (4, "head\n" + short + "\n" + words(78, 60)),
+        (5, "ha " * 100),
+    ]
+    got = op6.repeated_paragraphs(documents(rows)).collect()
+    assert {(r.doc_id, r.paragraph, r.first_doc_id, r.removed, r.n_words) for r in got} == {(1, 0, 1, False, 51), (2, 0, 1, True, 51), (3, 0, 1, True, 51), (2, 1, 2, False, 7), (4, 1, 2, True, 7), (5, 0, 5, False, 25), (5, 0, 5, True, 75)}
+    kept = {r.doc_id: r for r in op6.without_repeats(documents(rows)).collect()}
+    assert kept[1].text == rows[0][1] and kept[2].text == words(74, 70) + " " + words(75, 100) + "\n" + short
+    assert kept[3].text == words(76, 60) + " \n" + words(77, 90) and kept[4].text == "head\n" + words(78, 60)
+    assert kept[5].text.split() == ["ha"] * 25 and all(r.n_chars == len(r.text) for r in kept.values())
+
+
 def _components(rows, width, num):
     sets = [(i, _word_sets(t, width)) for i, t in rows]
     up = {i: i for i, _ in sets if i is not None}
