@@ -56,8 +56,8 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     # in two steps: what stands beside explode() in one is worked out for each row that it makes
     hashed = texts.select(*keys, _exact(F.col("text")).alias("exact"), _pairs(F.col("text")).alias("pairs"))
     exploded = hashed.select(*keys, "exact", F.posexplode("pairs").alias("at", "h"))
-    # four counters of 16 bits in one number can't run over in a chunk of so many pairs
-    rows = exploded.withColumn("chunk", F.shiftright("at", 15)).withColumn("g", F.xxhash64("h"))
+    # four counters of 16 bits in one number stay below 2**62 in a chunk of 2**14 pairs
+    rows = exploded.withColumn("chunk", F.shiftright("at", 14)).withColumn("g", F.xxhash64("h"))
     counters = lambda k: F.shiftrightunsigned("h" if k < 16 else "g", k % 16).bitwiseAND(F.lit(_EVERY_16))
     summed = rows.groupBy(*keys, "exact", "chunk").agg(F.count("*").alias("n"), *[F.sum(counters(k)).alias(f"s{k}") for k in range(PACKED)])
     chunks = summed.select(*keys, "exact", "n", F.array(*[f"s{k}" for k in range(PACKED)]).alias("packed"))

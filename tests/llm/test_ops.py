@@ -286,6 +286,14 @@ def test_op8_is_homomorphic(spark):
     assert whole.select(op8.merged(F.col("a"), F.col("b")) == F.col("c"), op8.without(F.col("c"), F.col("b")) == F.col("a")).first() == (True, True)
 
 
+def test_op8_long_runs_of_equal_pairs(spark, documents):
+    rows = [(1, " " * 40_000), (2, "\n" * 40_000), (3, "a " * 40_000), (4, "a " * 40_000)]
+    got = {r.doc_id: r for r in op8.fingerprint_edits(documents(rows)).collect()}
+    assert [got[i].n_chars for i in (1, 2, 3, 4)] == [40_000, 40_000, 80_000, 80_000]
+    assert got[3].fingerprint == got[4].fingerprint and got[4].near_next == 1.0 and len({got[i].fingerprint for i in (1, 2, 3)}) == 3
+    assert [int(got[i].fingerprint.split("-")[1], 16) for i in (1, 2, 3)] == [40_001, 40_001, 40_001]
+
+
 def test_op9_files(spark, documents):
     rows = [r for r in AWKWARD if r[0] is not None]
     path = new_folder(spark, "test")
