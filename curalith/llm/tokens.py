@@ -7,9 +7,10 @@ different sides of a match, so the ids are those of the whole text.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,20 @@ def _edges(offsets: np.ndarray, n: int) -> np.ndarray:
     return edge
 
 
-def word_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def _spans(data: np.ndarray, offsets: np.ndarray, contents: tuple[bytes, ...]) -> list[tuple[int, int]]:
+    """Where one of ``contents`` stands inside a document, from left to right."""
+    raw = data.tobytes() if contents else b""
+    if not any(x in raw for x in contents):
+        return []
+    found = [m.span() for m in re.finditer(b"|".join(map(re.escape, contents)), raw)]
+    return [(a, b) for a, b in found if np.searchsorted(offsets, a, "right") == np.searchsorted(offsets, b, "left")]
+
+
+def word_chunks(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...] = ()) -> tuple[pa.Array, np.ndarray]:
     """For tokenizers that lower-case and drop white space: lower-cased chunks without ASCII white
     space, cut also between an ASCII letter and ASCII punctuation other than the apostrophe; and
-    the number of chunks before each document (n + 1)."""
+    the number of chunks before each document (n + 1).  Each of the ``added`` tokens, found in the
+    text as it stands, is a chunk of its own that isn't lower-cased."""
     low = lower(data)
     n = len(low)
     kind = _KIND[low]
@@ -48,6 +59,10 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     start = _edges(offsets, n)[:n]
     # between a letter (1) and punctuation (2), and after white space (0)
     start[1:] |= ((kind[:-1] ^ kind[1:]) == 3) & (kind[:-1] < 3) & (kind[1:] < 3) | ~kept[:-1]
+    for a, b in _spans(data, offsets, added):
+        low[a:b], kept[a:b], start[a:b] = data[a:b], True, False
+        start[a] = True
+        start[b : b + 1] = True
     start &= kept
     ends = np.append(np.flatnonzero(start[kept]), np.count_nonzero(kept)).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low[kept])])
@@ -150,4 +165,6 @@ def word_encoder(path: str) -> ChunkEncoder:
                 out[k] = np.asarray(x.ids, np.uint32).tobytes()
         return out
 
-    return ChunkEncoder(word_chunks, encode)
+    # longer ones first, as the library prefers them where several begin
+    added = sorted((t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    return ChunkEncoder(partial(word_chunks, added=tuple(added)), encode)

@@ -311,6 +311,20 @@ def test_op9_files(spark, documents):
     assert op9.read_tokens(spark, empty).count() == 0
 
 
+ADDED = [(1, "end<|endoftext|>now"), (2, "A<|EndOfText|>B <|endoftext|><|startoftext|>\u00e9<|STARTOFTEXT|> <|endoftext|>it's"), (3, "cut <|endof"), (4, "text|> cut"), (5, "<|startoftext|>")]
+
+
+def test_op4_and_op9_added_tokens(spark, documents):
+    want = {i: _ids(t) for i, t in ADDED}
+    assert want[1] == [806, 49407, 692]
+    path = new_folder(spark, "test")
+    op9.write_tokens(documents(ADDED), path, WORD_BPE)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op9.read_tokens(spark, path, digest=True).collect()}
+    crc = lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert got == {i: crc([*x, 2]) for i, x in want.items()}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in op4.pack_documents(documents(ADDED), WORD_BPE).collect()} == {i: crc([*x, 1]) for i, x in want.items()}
+
+
 def test_op10_as_the_library_does(spark, documents):
     import tiktoken
 
