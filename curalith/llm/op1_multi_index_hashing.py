@@ -165,16 +165,19 @@ def _in_blocks(queries: DataFrame, index: DataFrame, codes: Codes, radius: int,
 def nearest(vectors: DataFrame, is_query, top: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) for which the
     condition ``is_query`` holds, its ``top`` nearest other rows."""
-    rows = stored(valid_vectors(vectors), "vectors")
+    rows = stored(valid_vectors(vectors).dropDuplicates(["vec_id", "a", "b"]), "vectors")
     empty = "query_id long, rank int, vec_id long, score double"
     fitted = fit(rows, top)
     if fitted is None:
         return vectors.sparkSession.createDataFrame([], empty)
     codes, radius = fitted
+    asked = rows.filter(is_query)
+    # own rows are left out at the end: as many more are kept as one id has different vectors
+    own_rows = asked.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    wanted, top = top, top + own_rows - 1
     first = Window.partitionBy("a", "b").orderBy("vec_id")
     few = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= top + 1)
     index = stored(few.groupBy("a", "b").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "index")
-    asked = rows.filter(is_query)
     queries = stored(asked.join(index.select("a", "b"), ["a", "b"]).groupBy("a", "b").agg(F.first("v").alias("v")), "queries")
     found = stored(_in_blocks(queries, index, codes, radius, top), "found")
     enough = min(top + 1, rows.select("vec_id").limit(top + 1).count())
@@ -183,7 +186,7 @@ def nearest(vectors: DataFrame, is_query, top: int = 20) -> DataFrame:
         again = stored(_in_blocks(stored(short, "short"), index, codes, BITS, top), "again")
         found = found.join(again.select("a", "b"), ["a", "b"], "left_anti").unionByName(again)
     joined = asked.select(F.col("vec_id").alias("query_id"), "a", "b").join(found, ["a", "b"])
-    own = joined.select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("best"))
+    own = joined.select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, wanted).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 

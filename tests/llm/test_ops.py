@@ -67,6 +67,16 @@ def test_op1_finds_the_nearest(spark):
     assert {r["count"] for r in few} == {4}
 
 
+def test_op1_copies_of_a_query_row(spark):
+    x = np.random.default_rng(1).normal(size=(200, 16)).astype("float32")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 2 + [(20, x[20].tolist())] * 29 + [(40, (x[40] * (1 + k / 100)).tolist()) for k in range(1, 4)]
+    got = op1.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(0, 20)).collect()
+    assert {q: sorted(r["rank"] for r in got if r.query_id == q) for q in (0, 20)} == dict.fromkeys((0, 20), list(range(1, 21)))
+    assert all(r.vec_id != r.query_id for r in got)
+    several = op1.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 40).groupBy("query_id").count().collect()
+    assert [r["count"] for r in several] == [80]
+
+
 def test_op2_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     scored = op2.op2_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
