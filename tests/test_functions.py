@@ -9,20 +9,57 @@ from curalith.operators import duplicates, split, takes, training, validation
 from curalith.sources import readers, writers
 
 # Pairs of the source behaviour.
-CARDINALS = {0: "sıfır", 1: "bir", 10: "on", 19: "on dokuz", 100: "yüz", 101: "yüz bir", 200: "iki yüz", 1000: "bin", 1001: "bin bir", 2026: "iki bin yirmi altı", 12550: "on iki bin beş yüz elli", 1250000: "bir milyon iki yüz elli bin", 2 * 10**9: "iki milyar"}
-SUFFIXES = [("yirmi", "dir", False, "yirmidir"), ("beş", "te", False, "beşte"), ("iki", "nin", False, "ikinin"), ("kuruş", "tir", False, "kuruştur"), ("Türk lirası", "ye", True, "Türk lirasına"), ("Türk lirası", "den", True, "Türk lirasından"), ("ka de ve", "yi", False, "ka de veyi"), ("yirmi", "", False, "yirmi")]
+CARDINALS = {
+    0: "sıfır", 1: "bir", 10: "on", 19: "on dokuz", 100: "yüz", 101: "yüz bir", 200: "iki yüz", 1000: "bin", 1001: "bin bir", 2026: "iki bin yirmi altı", 5200: "beş bin iki yüz",
+    12550: "on iki bin beş yüz elli", 100000: "yüz bin", 1250000: "bir milyon iki yüz elli bin", 2 * 10**9: "iki milyar",
+}
+SUFFIXES = [
+    ("yirmi", "dir", False, "yirmidir"), ("otuz", "da", False, "otuzda"), ("beş", "te", False, "beşte"), ("beş", "e", False, "beşe"), ("iki", "ye", False, "ikiye"), ("iki", "nin", False, "ikinin"),
+    ("altı", "dır", False, "altıdır"), ("kuruş", "tir", False, "kuruştur"), ("Türk lirası", "dir", True, "Türk lirasıdır"), ("Türk lirası", "ye", True, "Türk lirasına"),
+    ("Türk lirası", "de", True, "Türk lirasında"), ("Türk lirası", "den", True, "Türk lirasından"), ("Türk lirası", "nin", True, "Türk lirasının"), ("Türk lirası", "yi", True, "Türk lirasını"),
+    ("ka de ve", "yi", False, "ka de veyi"), ("ka de ve", "nin", False, "ka de venin"), ("yirmi", "", False, "yirmi"), ("", "dir", False, "dir"),
+]
 SENTENCES = [
     ("KDV %20'dir. Toplam borç ₺12.550,75'tir.", "Ka de ve yüzde yirmidir. Toplam borç on iki bin beş yüz elli Türk lirası yetmiş beş kuruştur."),
+    ("Öğrencinin kalan borcu 5.200 TL'dir.", "Öğrencinin kalan borcu beş bin iki yüz Türk lirasıdır."),
+    ("Fatura tutarı 1.250.000 TL olarak hesaplandı.", "Fatura tutarı bir milyon iki yüz elli bin Türk lirası olarak hesaplandı."),
+    ("Tutar 100 TL'ye düşürüldü.", "Tutar yüz Türk lirasına düşürüldü."),
+    ("Tutar ₺250 oldu.", "Tutar iki yüz elli Türk lirası oldu."),
+    ("Tutar 99,90 ₺.", "Tutar doksan dokuz Türk lirası doksan kuruş."),
+    ("Tutar 10,00 TL.", "Tutar on Türk lirası."),
     ("Tutar 0,5 TL.", "Tutar sıfır Türk lirası elli kuruş."),
+    ("TL cinsinden girilmelidir.", "Türk lirası cinsinden girilmelidir."),
+    ("Tahsilat oranı %87,5 olarak gerçekleşti.", "Tahsilat oranı yüzde seksen yedi virgül beş olarak gerçekleşti."),
     ("İndirim % 15'tir.", "İndirim yüzde on beştir."),
+    ("Ödeme tarihi 30.09.2026'dır.", "Ödeme tarihi otuz Eylül iki bin yirmi altıdır."),
+    ("Tarih: 01/01/2027", "Tarih: bir Ocak iki bin yirmi yedi"),
+    ("Son ödeme tarihi 15 Ekim 2026'dır.", "Son ödeme tarihi on beş Ekim iki bin yirmi altıdır."),
     ("Geçersiz 45.13.2026 tarihi.", "Geçersiz kırk beş on üç iki bin yirmi altı tarihi."),
+    ("Toplantı saat 14:30'da başlayacaktır.", "Toplantı saat on dört otuzda başlayacaktır."),
     ("Saat 09:05'te", "Saat dokuz sıfır beşte"),
+    ("Saat 18:00", "Saat on sekiz"),
+    ("Oran 3,05 oldu.", "Oran üç virgül sıfır beş oldu."),
+    ("2026'da 3 şube açıldı.", "İki bin yirmi altıda üç şube açıldı."),
+    ("Kod 0006 girildi.", "Kod sıfır sıfır sıfır altı girildi."),
     ("Müşteri no 12345678.", "Müşteri no bir iki üç dört beş altı yedi sekiz."),
-    ("IBAN numarası TR12 0006 1005 1978 6457 8413 26 olarak kaydedildi.", "İban numarası te re, on iki, sıfır sıfır sıfır altı, bir sıfır sıfır beş, bir dokuz yedi sekiz, altı dört beş yedi, sekiz dört bir üç, iki altı olarak kaydedildi."),
+    (
+        "IBAN numarası TR12 0006 1005 1978 6457 8413 26 olarak kaydedildi.",
+        "İban numarası te re, on iki, sıfır sıfır sıfır altı, bir sıfır sıfır beş, bir dokuz yedi sekiz, altı dört beş yedi, sekiz dört bir üç, iki altı olarak kaydedildi.",
+    ),
+    ("IBAN bilgilerini kontrol ediniz.", "İban bilgilerini kontrol ediniz."),
+    ("CRM modülünde yeni bir kayıt var.", "Si ar em modülünde yeni bir kayıt var."),
+    ("ERP sistemi üzerinden cari hesap seçebilirsiniz.", "E re pe sistemi üzerinden cari hesap seçebilirsiniz."),
     ("KDV'yi ve SGK'nın payını hesaplayın.", "Ka de veyi ve se ge kanın payını hesaplayın."),
+    ("e-Fatura ve e-Arşiv başarıyla oluşturuldu.", "E fatura ve e arşiv başarıyla oluşturuldu."),
+    ("Faturalar, raporlar vb. gönderildi.", "Faturalar, raporlar ve benzeri gönderildi."),
+    ("Dashboard üzerindeki KPI değerleri", "Deşbord üzerindeki ke pe i değerleri"),
     ("Raporu Excel formatında export edebilirsiniz.", "Raporu Eksel formatında eksport edebilirsiniz."),
-    ("KDV %20’dir.", "Ka de ve yüzde yirmidir."),
+    ("Yeni öğrenci kaydı oluşturabilirsiniz.", "Yeni öğrenci kaydı oluşturabilirsiniz."),
+    ("Ankara'daki şubeye gönderildi.", "Ankara'daki şubeye gönderildi."),
     ("  Fazla   boşluk  ", "Fazla boşluk"),
+    ("KDV %20’dir.", "Ka de ve yüzde yirmidir."),
+    ("KDVSİZ ve TLX kodları", "KDVSİZ ve TLX kodları"),
+    ("Tamam. KDV %20'dir. ERP açık.", "Tamam. Ka de ve yüzde yirmidir. E re pe açık."),
 ]
 
 
@@ -30,6 +67,8 @@ def test_normalizer_pairs():
     assert {n: cardinal(n) for n in CARDINALS} == CARDINALS
     assert [suffixed(*x[:3]) for x in SUFFIXES] == [x[3] for x in SUFFIXES]
     assert [normalize(a) for a, _ in SENTENCES] == [b for _, b in SENTENCES]
+    assert all(normalize(b) == b for _, b in SENTENCES)
+    assert normalize("100TL, 12.5505, 5a, %5 TL TR120006100519786457841326") == "Yüz Türk lirası, on iki.beş bin beş yüz beş, 5a, %beş Türk lirası te re, on iki, sıfır sıfır sıfır altı, bir sıfır sıfır beş, bir dokuz yedi sekiz, altı dört beş yedi, sekiz dört bir üç, iki altı"
     assert normalize("ONLINE LOGIN %" + "9" * 20) == "Onlayn Login yüzde " + " ".join(["dokuz"] * 20)
 
 
