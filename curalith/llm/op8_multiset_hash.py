@@ -32,11 +32,13 @@ _EVERY_16 = 0x0001000100010001
 
 
 def _exact(text: Column) -> Column:
-    """The exact lanes: an array of 2 * EXACT numbers below 2**32."""
+    """The exact lanes: an array of 2 * EXACT numbers below 2**32.  A hash goes on from that of the
+    column before, so the seed comes first: each is a hash of its own of the paragraph."""
+
     def add(acc, paragraph):
         lanes = []
         for seed in range(EXACT):
-            h = F.xxhash64(paragraph, F.lit(seed))
+            h = F.xxhash64(F.lit(seed), paragraph)
             lanes += [h.bitwiseAND(F.lit(LANE)), F.shiftrightunsigned(h, 32)]
         return F.array(*[(acc[k] + x).bitwiseAND(F.lit(LANE)) for k, x in enumerate(lanes)])
 
