@@ -9,10 +9,15 @@ backslash is put between ``<`` and ``|`` (one more if there are some), and a lin
 becomes ``<|nl|>``; so control strings stand only where the template puts them, and both can be undone.
 The loss mask covers the text of assistant turns, without its marks.
 
+A conversation's output is one text, its turns with nothing between, and its loss mask is spans of
+that text.  It is written in pieces of bounded length that don't keep to turns, and read back from
+them alone: turns are found by their marks, the masked text by its spans.
+
 Defined results: null texts and roles are empty; turns are ordered by turn (null first), then role
 and text; null ids are one conversation; repeated rows are repeated turns; fields that no mapping
-names are ignored; a record with an unknown fingerprint has a null layout and no turns.  A
-conversation is read as a stream, so its length is not bounded by memory.
+names are ignored; a record with an unknown fingerprint has a null layout and no turns; a record's
+turn number that is no number is null; an empty table gives no rows.  A conversation is a stream of
+pieces, so its length is not bounded by memory; a single turn's text must fit in it.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import json
 import re
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,6 +124,15 @@ def _at(value, path: str):
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _whole(value) -> int | None:
+    """A turn number as JSON gives it; null where it is none."""
+    try:
+        number = int(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return number if -(1 << 63) <= number < 1 << 63 else None
+
+
 def json_turns(records: DataFrame, id_column: str, json_column: str, mappings=MAPPINGS) -> DataFrame:
     """Canonical turns of JSON records, each by its own fingerprint: conv_id, layout, turn, role,
     text.  A record that is no JSON object or has an unknown layout gives one row with nulls."""
@@ -134,7 +149,7 @@ def json_turns(records: DataFrame, id_column: str, json_column: str, mappings=MA
         if m.each:
             return [(m.name, k, m.roles.get(role := _at(x, m.role), role), _at(x, m.text)) for k, x in enumerate(record[m.each])]
         if m.order:
-            return [(m.name, int(record[m.order] or 0), _at(record, m.role), _at(record, m.text))]
+            return [(m.name, _whole(record[m.order]), _at(record, m.role), _at(record, m.text))]
         return [(m.name, k, role, "\n\n".join(t for p in paths if (t := _at(record, p)))) for k, (role, paths) in enumerate(m.parts)]
 
     def run(batches):
@@ -173,42 +188,94 @@ def in_order(formatted: DataFrame) -> DataFrame:
     return formatted.repartition(width, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_start", "loss_length")
 
 
-def parse_turn(formatted: str) -> tuple[str, str]:
-    """Role and text of a formatted turn."""
-    if not (formatted.startswith(START) and formatted.endswith(END + "\n")):
-        raise ValueError("a turn lacks its marks")
-    role, _, text = formatted[len(START) : -len(END) - 1].partition("\n")
-    return unescape(role.replace(LINE, "\n")), unescape(text)
+#: Code points of a piece of a conversation's output.
+PIECE = 1 << 16
+PIECES = "conv_id long, piece long, text string, loss array<struct<start: long, length: long>>, last boolean"
+_PIECES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("last", pa.bool_())])
+
+
+def _conversations(batches, columns):
+    """(key, rows) of each run of equal first columns, rows being read as they come."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+    return groupby(rows, key=lambda row: row[0])
+
 
+def assembled(ordered: DataFrame) -> DataFrame:
+    """conv_id, piece, text, loss, last: each conversation's output, cut every PIECE code points;
+    ``loss`` has the mask's spans (in the whole output) that begin in the piece."""
 
-def read_back(ordered: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted turns and loss mask alone."""
+    def cut(key, rows):
+        ready, done, total, spans, piece = "", 0, 0, [], 0
+        for _, turn, start, length in rows:
+            if length:
+                spans.append({"start": total + start, "length": length})
+            ready += turn
+            total += len(turn)
+            while len(ready) > PIECE:
+                own = [x for x in spans if x["start"] < done + PIECE]
+                yield key, piece, ready[:PIECE], own, False
+                spans, ready, done, piece = spans[len(own) :], ready[PIECE:], done + PIECE, piece + 1
+        yield key, piece, ready, spans, True
+
+    def run(batches):
+        pieces = (x for key, rows in _conversations(batches, ["conv_id", "formatted", "loss_start", "loss_length"]) for x in cut(key, rows))
+        while some := list(islice(pieces, 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), _PIECES, strict=True)], schema=_PIECES)
+
+    return ordered.mapInArrow(run, PIECES)
+
+
+class Reader:
+    """Reads one conversation's output piece by piece: what turns and masked texts it holds."""
+
+    def __init__(self):
+        self.text, self.at, self.spans = "", 0, []
+        self.turns, self.loss_chars, self.chars = 0, 0, 0
+        self.said, self.loss = sha256(), sha256()
+
+    def feed(self, text: str, spans: list[dict]) -> None:
+        self.text += text
+        self.chars += len(text)
+        self.spans += [(x["start"], x["start"] + x["length"]) for x in spans]
+        done = 0
+        while (end := self.text.find(END + "\n", done)) >= 0:
+            if not self.text.startswith(START, done):
+                raise ValueError("a turn lacks its first mark")
+            role, _, said = self.text[done + len(START) : end].partition("\n")
+            self.said.update(f"{unescape(role.replace(LINE, chr(10)))}\n{unescape(said)}\n".encode())
+            self.turns += 1
+            done = end + len(END) + 1
+        while self.spans and self.spans[0][1] <= self.at + done:
+            start, end = self.spans.pop(0)
+            masked = unescape(self.text[start - self.at : end - self.at])
+            self.loss.update(masked.encode())
+            self.loss_chars += len(masked)
+        self.text, self.at = self.text[done:], self.at + done
+
+    def row(self, key) -> tuple:
+        if self.text or self.spans:
+            raise ValueError("a turn lacks its last mark, or the loss mask goes beyond the text")
+        return key, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def read_back(pieces: DataFrame) -> DataFrame:
+    """Digests of each conversation, from the pieces of its output (in order) and their loss mask."""
 
     def run(batches):
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-        key, state = None, None
-        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        closed = lambda: (key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
-        for batch in batches:
-            done = []
-            for conv_id, turn, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or conv_id != key:
-                    if state is not None:
-                        done.append(closed())
-                    key, state = conv_id, [0, sha256(), 0, sha256(), 0]
-                role, text = parse_turn(turn)
-                loss = unescape(turn[start : start + length])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(turn)
-            if done:
-                yield packed(done)
-        if state is not None:
-            yield packed([closed()])
-
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+        def digests():
+            for key, rows in _conversations(batches, ["conv_id", "text", "loss"]):
+                reader = Reader()
+                for _, text, spans in rows:
+                    reader.feed(text, spans)
+                yield reader.row(key)
+
+        found = digests()
+        while some := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -217,7 +284,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return read_back(in_order(formatted_turns(typed_turns(rows.unionByName(control), "conv_id"))))
+    return read_back(assembled(in_order(formatted_turns(typed_turns(rows.unionByName(control), "conv_id")))))
 
 
 ORACLE_SQL = rf"""

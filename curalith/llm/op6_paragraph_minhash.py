@@ -33,7 +33,7 @@ from pyspark.sql.types import StringType
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, lower, mix, powers, set_hashes, sliding, span_hashes, word_shingles, words
 from curalith.llm.op7_ngram_jaccard_join import _union, _verified
-from curalith.llm.storage import shuffle_width, small_batches, stored
+from curalith.llm.storage import shuffle_width, stored, text_batches
 
 WIDTH, MIN_WORDS = 5, 5
 #: Words of a window of a passage; bits of the filter of documents that may share one.
@@ -76,7 +76,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _each(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
+    for batch in text_batches(batches):
         data, offsets = flat_texts(batch.column("text"))
         for lo, hi in chunks(offsets, 2 << 20):
             at = offsets[lo : hi + 1]
@@ -134,7 +134,6 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     that has an equal or near-equal one; two are near-equal when den * intersection >= num * union
     of their sets of five-word shingles."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     rows, width = 3, shuffle_width(spark)
     bands = tuned_bands(num / den, rows=rows)

@@ -15,13 +15,16 @@ one keeps common passages out of the front.
    counted once, and a subtree is left as soon as its remaining length can't reach the threshold.
    Pairs that are connected already aren't looked at.
 3. Components of more than one block: representatives of the blocks' components are joined again,
-   level by level; then every set outside its component's largest class of linked sets walks all
-   other blocks.  So no link between different components is lost, and the many sets of a large
-   group of near copies aren't compared in all pairs.
+   level by level; then every set outside its component's largest class of linked sets walks the
+   blocks of sets whose length allows a link.  So no link between different components is lost, and
+   the many sets of a large group of near copies aren't compared in all pairs.  No task holds more
+   than about BLOCK stored and PROBES walking sets of a component at once.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows with a null
 doc_id take no part and have a null component_id; rows that repeat a doc_id are one node with the
-links of all of them; equal sets are always in one component.
+links of all of them; equal sets are always in one component; an empty table gives no rows; other
+columns don't matter.  A text is handled whole, whatever its length: its words and shingles must
+fit a task's memory several times.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ from pyspark.sql import functions as F
 
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, mix, set_hashes, shingles
-from curalith.llm.storage import shuffle_width, small_batches, stored
+from curalith.llm.storage import shuffle_width, stored, text_batches
 
 #: Counters of the global order (a table of fixed size).
 COUNTERS = 1 << 20
 #: Classes that may meet at an n-gram and still be paired there; beyond, neighbours by length.
 PAIRED = 48
-#: Sets of a block.
-BLOCK = 512
+#: Sets of a block, and sets that walk it in one task.
+BLOCK, PROBES = 512, 2048
+#: A class with at least one of so many rows is a hot one: there are at most that many.
+HOT_SHARE = 2000
 
 
 def _need(n, m, num: int, den: int):
@@ -67,21 +72,27 @@ def count_order(docs: DataFrame, width: int) -> np.ndarray:
 
     def counted(batches):
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in text_batches(batches):
             for _, h, _ in _sets(batch, width):
                 counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        parts = np.split(counts, 64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], names=["part", "counts"])
+        used = np.flatnonzero(counts)
+        cuts = np.searchsorted(used, np.arange(65) * (COUNTERS // 64))
+        some = [used[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = [pa.array(np.arange(64)), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([counts[x].tobytes() for x in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "at", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
-        total = np.sum([np.asarray(x.values) for x in table["counts"]], axis=0)
-        return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([total.tolist()], pa.list_(pa.int64()))})
+        total = np.zeros(COUNTERS // 64, np.int64)
+        part = table["part"][0].as_py()
+        for at, counts in zip(table["at"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            total[np.frombuffer(at, np.int64) - part * len(total)] += np.frombuffer(counts, np.int64)
+        return pa.table({"part": pa.array([part]), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(counted, "part long, counts array<long>").groupBy("part").applyInArrow(summed, "part long, counts array<long>").collect()
-    out = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        out[r.part * (COUNTERS // 64) : (r.part + 1) * (COUNTERS // 64)] = r.counts
-    return out
+    parts = docs.select("text").mapInArrow(counted, "part long, at binary, counts binary").groupBy("part")
+    out = np.zeros((64, COUNTERS // 64), np.int64)
+    for r in parts.applyInArrow(summed, "part long, counts binary").collect():
+        out[r.part] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
 
 
 def _ordered(h: np.ndarray, offsets: np.ndarray, counters: np.ndarray) -> np.ndarray:
@@ -96,7 +107,7 @@ def _fronts(counters, width: int, num: int, den: int, buckets: int):
     table = counters.value if hasattr(counters, "value") else counters
 
     def run(batches):
-        for batch in batches:
+        for batch in text_batches(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, h, offsets in _sets(batch, width):
                 n = np.diff(offsets)
@@ -336,12 +347,28 @@ def _verified(sets: DataFrame, num: int, den: int) -> list[DataFrame]:
         found.append(join(_blocks(heads).withColumn("probe", F.lit(False)).withColumn("label", F.col("node"))))
     counts = named.groupBy("comp", "label").count()
     main = counts.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("count"), "label"))).filter("k = 1").select("comp", F.col("label").alias("main"))
-    probes = named.join(main, "comp").filter("label <> main").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    probes = probes.select("comp", F.col("to").alias("block"), "node", "label", F.lit(True).alias("probe"), "grams")
-    found.append(join(named.withColumn("probe", F.lit(False)).select("comp", "block", "node", "label", "probe", "grams").unionByName(probes)))
+    found.append(stored(_walked(named.drop("block", "blocks"), main, num, den).applyInArrow(run, "a long, b long"), "links"))
     return found
 
 
+def _walked(named: DataFrame, main: DataFrame, num: int, den: int):
+    """Groups of stored sets and of those that walk them.  Lengths are cut into ranges that grow by
+    den / num, so that a set can be linked with its own range's sets and both neighbours' only."""
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    turn = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    length = F.length("grams") / 8
+    ranged = named.withColumn("range", F.floor(F.log(length) / float(np.log(den / num))).cast("long"))
+    cells = ranged.groupBy("comp", "range").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    walking = ranged.join(main, "comp").filter("label <> main").drop("main")
+    # a hair's breadth of rounding at a range's border is covered by one range more on each side
+    reached = walking.withColumn("range", F.explode(F.transform(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]), lambda k: F.col("range") + k)))
+    tasks = reached.groupBy("comp", "range").agg(F.ceil(F.count("*") / PROBES).alias("slices")).join(cells, ["comp", "range"])
+    columns = ["comp", "range", "block", "slice", "node", "label", "probe", "grams"]
+    stored_sets = ranged.join(tasks, ["comp", "range"]).withColumn("block", turn("blocks")).withColumn("slice", spread("slices")).withColumn("probe", F.lit(False))
+    probes = reached.join(tasks, ["comp", "range"]).withColumn("slice", turn("slices")).withColumn("block", spread("blocks")).withColumn("probe", F.lit(True))
+    return stored_sets.select(*columns).unionByName(probes.select(*columns)).groupBy("comp", "range", "block", "slice")
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -349,24 +376,33 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (low, high) with the node of their class.  The rows of a hot class aren't shuffled:
+    hot classes are at most HOT_SHARE, so they are sent to every task."""
+    hot = classes.filter(F.col("copies") * HOT_SHARE >= max(1, rows.count()))
+    met = rows.join(F.broadcast(hot.select("low", "high", F.col("node").alias("hot_node"))), ["low", "high"], "left")
+    rest = met.filter("hot_node IS NULL").drop("hot_node").join(classes.select("low", "high", "node").hint("merge"), ["low", "high"], "left")
+    return rest.unionByName(met.filter("hot_node IS NOT NULL").withColumnRenamed("hot_node", "node"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text): two documents are
     linked when den * intersection >= num * union of their sets of ``width``-word n-grams."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id IS NOT NULL")
     counters = spark.sparkContext.broadcast(count_order(known, width))
 
     def measured(batches):
-        for batch in batches:
+        for batch in text_batches(batches):
             for lo, h, offsets in _sets(batch, width):
                 own = batch.column("doc_id").slice(lo, len(offsets) - 1)
                 low, high = set_hashes(h, offsets), set_hashes(mix(h), offsets)
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(offsets)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["doc_id", "n_shingles", "low", "high"])
 
     rows = stored(docs.mapInArrow(measured, "doc_id long, n_shingles long, low long, high long"), "rows")
-    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("low", "high").agg(F.min("doc_id").alias("node"))
+    known_rows = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = stored(known_rows.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
     width_of = shuffle_width(spark)
     fronts = known.mapInArrow(lambda batches: _fronts(counters, width, num, den, 4 * width_of)(batches), "bucket int, payload binary").repartition(width_of, "bucket")
     met = fronts.mapInArrow(_meetings(num, den), "a long, b long, n_a long, n_b long, met long")
@@ -378,7 +414,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     groups = components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
 
     def as_sets(batches):
-        for batch in batches:
+        for batch in text_batches(batches):
             for lo, h, offsets in _sets(batch, width):
                 k = len(offsets) - 1
                 grams = [h[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -386,7 +422,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     sets = known.join(groups.hint("merge"), "doc_id").mapInArrow(as_sets, "comp long, node long, grams binary").filter(F.length("grams") > 0)
     linked = components(_union([*_verified(sets, num, den)]))
-    own = rows.join(classes, ["low", "high"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+    own = _with_class(rows, classes).withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).withColumn("node", F.coalesce("node", "doc_id"))
     # a repeated doc_id is one node: its rows' classes are connected through it
     repeated = own.filter("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     again = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")

@@ -1,7 +1,8 @@
 """Token-id files: every document's ids compressed on their own with one shared zstandard dictionary.
 
 File format (a Parquet table, so that any Spark store can hold it): one row is a block of
-consecutive documents with ``part`` and ``block`` (their order), ``doc_ids``, ``n_tokens`` (each
+consecutive documents with ``part`` and ``block`` (their order), ``first_id`` and ``last_id`` (the
+least and the greatest of their ids, by which readers skip blocks), ``doc_ids``, ``n_tokens`` (each
 document's number of ids), ``frames`` (where each document's frame ends in ``payload``),
 ``payload`` (zstandard frames of little-endian unsigned 32-bit ids, one for each document) and
 ``dict_hash`` (SHA-256 of the dictionary).  The dictionary lies beside the blocks in a table of
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curalith.llm.kernels import flat_texts
-from curalith.llm.storage import new_folder, shuffle_width, small_batches
+from curalith.llm.storage import new_folder, shuffle_width, text_batches
 from curalith.llm.tokens import word_encoder
 
 #: Bounds of the dictionary and of the documents that it is trained on.
@@ -35,14 +36,17 @@ TRAIN_TEXT_BYTES = 16_384
 #: A block is closed at so many bytes of frames or so many documents.
 BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 1024
 
-BLOCKS = "part long, block long, doc_ids array<long>, n_tokens array<long>, frames array<long>, payload binary, dict_hash string"
+BLOCKS = "part long, block long, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, frames array<long>, payload binary, dict_hash string"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the id arrays of TRAIN_DOCUMENTS short documents, those whose text has the
     smallest hash; empty when there is too little to train on."""
     short = docs.select("text").filter(F.octet_length("text").between(1, TRAIN_TEXT_BYTES)).withColumn("h", F.xxhash64("text"))
-    texts = [r.text for r in short.orderBy("h", "text").limit(TRAIN_DOCUMENTS).collect()]
+    # the hashes alone first, so that no partition sends texts that aren't taken
+    hashes = [r.h for r in short.select("h").distinct().orderBy("h").limit(TRAIN_DOCUMENTS).collect()]
+    chosen = short.filter(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.min("text").alias("text"))
+    texts = [r.text for r in sorted(chosen.collect())] if hashes else []
     data, offsets = flat_texts(pa.array(texts, pa.string()))
     samples = [np.append(ids, np.uint32(end_id)).astype("<u4").tobytes() for _, ids in word_encoder(tokenizer).documents(data, offsets)]
     if len(samples) < 16 or sum(map(len, samples)) < 4 * DICTIONARY_BYTES:
@@ -59,7 +63,6 @@ def _dictionary(raw: bytes):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes the ids of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order."""
     spark = docs.sparkSession
-    small_batches(spark)
     raw = train_dictionary(docs, tokenizer, end_id)
     key = sha256(raw).hexdigest()
     spark.createDataFrame([(key, bytearray(raw))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -67,13 +70,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     def encode(batches):
         part = TaskContext.get().partitionId()
         encoder, pressed = word_encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw))
-        schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.list_(pa.int64())), ("payload", pa.binary()), ("dict_hash", pa.string())])
+        wide, longs = pa.int64(), pa.list_(pa.int64())
+        schema = pa.schema(
+            [("part", wide), ("block", wide), ("first_id", wide), ("last_id", wide), ("doc_ids", longs), ("n_tokens", longs), ("frames", longs), ("payload", pa.binary()), ("dict_hash", pa.string())]
+        )
         block, ids_of, counts, ends, frames = 0, [], [], [], []
 
         def closed():
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, block, ids_of, counts, ends, b"".join(frames), key), schema, strict=True)], schema=schema)
+            known = [x for x in ids_of if x is not None] or [None]
+            row = (part, block, known[0], known[-1], ids_of, counts, ends, b"".join(frames), key)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in text_batches(batches):
             doc_ids = batch.column("doc_id").to_pylist()
             data, offsets = flat_texts(batch.column("text"))
             for k, ids in encoder.documents(data, offsets):
@@ -141,9 +149,11 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of the rows with one doc_id, by the offset index: only their frames are opened."""
+    """The ids of the rows with one doc_id, by the offset index: only blocks
+    whose range of ids holds it are read, and only its frames opened."""
     key, raw = _stored_dictionary(spark, path)
-    rows = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(F.array_contains("doc_ids", doc_id)).orderBy("part", "block").toLocalIterator()
+    own = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", doc_id)
+    rows = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(own).orderBy("part", "block").toLocalIterator()
     return [ids.tolist() for row in rows for _, _, _, ids in _frames(raw, key)(row.asDict(), doc_id)]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,24 +22,38 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: texts are some KB each, and a batch stands in memory several times.
+BATCH_ROWS = 1000
+
+
+def text_batches(batches):
+    """Arrow batches of bounded size, whatever the session's own bound is."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(lo, BATCH_ROWS)
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of bounded size while an action of our own runs, then the session's own again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later steps never redo it."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-#: Rows of an Arrow batch: texts are some KB each, and a batch stands in memory several times.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches for texts, unless they are smaller already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))

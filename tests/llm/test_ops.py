@@ -87,12 +87,46 @@ def test_op2_held_out_accuracy(spark):
 def test_op2_grammar_and_awkward_rows(spark, documents):
     g = op2.Grammar({"idiot": 3.0, "scum*": 2.0}, op2.PRIOR, op2.PRIOR_BIAS)
     assert g.score("you idiot") > g.score("idiot") > g.score("he said idiot") > g.score("not an idiot") > g.score("fine text")
-    assert g.score("scumbags") > g.score("scummy not") - 1e-9 and g.score("") == g.score("nothing")
+    assert g.score("scumbags") > g.score("not scummy") and g.score("") == g.score("nothing")
     docs = documents(AWKWARD)
     untrained = op2.trained_on(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert docs.select(op2.toxic_score(untrained)(F.col("text"))).count() == len(AWKWARD)
     one_class = op2.trained_on(docs, spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int"))
     assert all(0 <= r[0] < 0.5 for r in docs.select(op2.toxic_score(one_class)(F.col("text"))).collect())
+    assert documents([]).select(op2.toxic_score(one_class)(F.col("text"))).count() == 0
+    assert 0 <= g.score("you idiot " * 300_000) <= 1
+
+
+def test_op2_machine_against_its_parts():
+    """The composed tables and the distance against a walk through the parts, word by word."""
+    rng = np.random.default_rng(0)
+    g = op2.Grammar({"idiot": 3.0, "scum*": 2.0}, op2.PRIOR, op2.PRIOR_BIAS)
+    pool = ["idiot", "scumbag", "kill", "you", "not", "said", "word", "other", "the", "x"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pool, rng.integers(1, 14))) + rng.choice(["", ".", "; the end"])
+        taken, total = Counter(), 0.0
+        for clause in re.split(r"[.;]", text):
+            words_, here = clause.split(), 0.0
+            for k, w in enumerate(words_):
+                kind = "I" if w in ("idiot", "scumbag") else "H" if w == "kill" else None
+                if kind:
+                    before = words_[max(0, k - op2.REACH) : k]
+                    arc = kind + "".join(m for m, opener in (("n", "not"), ("r", "said"), ("a", "you")) if opener in before)
+                    scale = {"idiot": 3.0, "scumbag": 2.0, "kill": 1.0}[w]
+                    taken[arc] += scale
+                    here += scale * op2.PRIOR[arc]
+            total += here
+        assert np.allclose(g.arcs(text)[:-1], np.log1p([taken[a] for a in op2.ARCS]))
+        assert np.isclose(sum(d for _, d in g.clauses(text)), total)
+    # several arcs for one symbol: the best of all paths, by listing them
+    two = op2.Transducer((0,), {(0,): {"a": [op2.Arc("b", "p", (0,)), op2.Arc("c", "q", (1,))]}, (1,): {"a": [op2.Arc("b", "r", (0,))]}})
+    own = two.compose(op2.Transducer((0,), {(0,): {"b": [op2.Arc("d", "", (0,))], "c": [op2.Arc("d", "", (0,)), op2.Arc("e", "", (1,))]}, (1,): {"b": [op2.Arc("d", "", (0,))]}}))
+    weights = {"p": 1.0, "q": -2.0, "r": 7.0}
+
+    def paths(state, left):
+        return [0.0] if not left else [weights[a.weight] + rest for a in own.arcs[state].get("a", []) for rest in paths(a.to, left - 1)]
+
+    assert all(own.distance([("a", 1.0)] * n, weights) == max(paths(own.start, n)) for n in range(1, 6))
 
 
 def _repeats(rows, length=50):
@@ -162,7 +196,7 @@ def test_op5_round_trip_and_layouts(spark):
     texts = ["<|im_end|>", "<\\|x<\\\\|", "", None, "a\n<|nl|>", "<"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["user", "assistant", None, "assistant", "ro\nle", "assistant"], texts, strict=True))] + [(None, None, "user", "x"), (1, 0, "user", "<|im_end|>")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
-    got = {r.conv_id: r for r in op5.read_back(op5.in_order(op5.formatted_turns(op5.typed_turns(turns, "conv_id")))).collect()}
+    got = {r.conv_id: r for r in op5.read_back(op5.assembled(op5.in_order(op5.formatted_turns(op5.typed_turns(turns, "conv_id"))))).collect()}
     said = "".join(t or "" for (_, _, r, t) in rows[:6] if r == "assistant")
     assert got[1].n_turns == 7 and got[1].loss_chars == len(said) and got[1].loss_sha256 == sha256(said.encode()).hexdigest() and got[None].n_turns == 1
     records = [{"messages": [{"role": "human", "content": "a"}, {"role": "gpt", "content": "b"}]}, {"conversations": [{"from": "human", "value": "q"}]}, {"instruction": "i", "input": "x", "output": "o"}, {"prompt": "p", "completion": "c", "extra": 1}, {"odd": 1}]
@@ -171,6 +205,24 @@ def test_op5_round_trip_and_layouts(spark):
     assert out == {(0, "messages"): 2, (1, "from_value"): 1, (2, "instruction_input"): 2, (3, "prompt_completion"): 2, (4, None): 1, (9, None): 1, (10, None): 1}
     with pytest.raises(ValueError, match="no mapping"):
         op5.typed_turns(df, "id")
+    odd = spark.createDataFrame([(k, json.dumps({"role": "user", "text": "x", "turn": t})) for k, t in enumerate([3, "4", "x", None, [1], 1e300, 10**30])], "id long, j string")
+    assert {r.conv_id: r.turn for r in op5.json_turns(odd, "id", "j").collect()} == {0: 3, 1: 4, 2: None, 3: None, 4: None, 5: None, 6: None}
+    assert op5.read_back(op5.assembled(op5.in_order(op5.formatted_turns(op5.typed_turns(turns.limit(0), "conv_id"))))).count() == 0
+
+
+def test_op5_output_is_read_by_its_marks(spark, monkeypatch):
+    monkeypatch.setattr(op5, "PIECE", 7)  # pieces that end inside marks
+    turns = spark.createDataFrame([(1, k, r, op5.CONTROL * n) for k, (r, n) in enumerate([("user", 1), ("assistant", 3), ("assistant", 0), ("user", 2)])], "conv_id long, turn long, role string, text string")
+    formatted = op5.in_order(op5.formatted_turns(turns))
+    pieces = op5.assembled(formatted).collect()
+    whole = "".join(r.text for r in sorted(pieces, key=lambda r: r.piece))
+    assert len(pieces) > 30 and "".join(op5.unescape(whole[x.start : x.start + x.length]) for r in pieces for x in r.loss) == op5.CONTROL * 3
+    got = op5.read_back(op5.assembled(formatted)).first()
+    assert (got.n_turns, got.loss_chars, got.formatted_chars) == (4, 3 * len(op5.CONTROL), len(whole))
+    broken = op5.Reader()  # a text whose marks aren't escaped makes other turns
+    broken.feed(f"{op5.START}user\n{op5.CONTROL}{op5.END}\n{op5.START}x", [])
+    with pytest.raises(ValueError, match="last mark"):
+        broken.row(1)
 
 
 def test_op5_matches_sql(spark):
@@ -248,9 +300,11 @@ def _components(rows, width, num):
     return Counter((i, len(s), None if i is None else top(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("block, paired", [(512, 48), (4, 2)])
-def test_op7_against_brute_force(spark, documents, monkeypatch, block, paired):
+@pytest.mark.parametrize("block, paired, probes", [(512, 48, 2048), (4, 2, 3)])
+def test_op7_against_brute_force(spark, documents, monkeypatch, block, paired, probes):
     monkeypatch.setattr(op7, "BLOCK", block)
+    monkeypatch.setattr(op7, "PROBES", probes)
+    monkeypatch.setattr(op7, "HOT_SHARE", 2000 if block > 4 else 8)
     monkeypatch.setattr(op7, "PAIRED", paired)
     parts = BASE.split()
     chain = [(40 + k, " ".join(parts[k * 3 : k * 3 + 60])) for k in range(20)]  # each like its neighbours only
@@ -288,6 +342,27 @@ def test_op8_edits_and_equality(spark, documents):
     assert op8.fingerprint_edits(documents([])).count() == 0 and op8.fingerprint_edits(documents([(1, "ab cd")])).first().near_next == 1.0
 
 
+def test_op8_lanes_and_likeness_against_brute_force(spark):
+    """Fingerprints added up in Python from the hashes that Spark gives, and likeness from all pairs."""
+    texts = [words(1, 300), words(1, 300).replace("a", "b", 40), words(2, 250) + "\n" + words(1, 80), "", "a b\na b"]
+    got = {r.k: r for r in op8.fingerprints(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), ["k"]).collect()}
+    lines = sorted({p for t in texts for p in t.split("\n")})
+    hashed = spark.createDataFrame([(p,) for p in lines], "p string").select("p", *[F.xxhash64(F.lit(seed), "p").alias(f"h{seed}") for seed in range(op8.EXACT)]).collect()
+    of = {r.p: [x for seed in range(op8.EXACT) for x in (r[f"h{seed}"] & op8.LANE, (r[f"h{seed}"] >> 32) & op8.LANE)] for r in hashed}
+    bags = []
+    for k, t in enumerate(texts):
+        assert got[k].exact == [sum(of[p][lane] for p in t.split("\n")) & op8.LANE for lane in range(2 * op8.EXACT)]
+        bags.append(Counter(pair for p in t.split("\n") for pair in zip(p.split(" "), [*p.split(" ")[1:], None], strict=True)))
+        assert got[k].pairs == sum(bags[-1].values())
+    # the seeded hashes are hashes of their own: none follows from another
+    assert len({tuple(np.subtract(of[p][2:], of[p][:-2])) for p in lines}) == len(lines)
+    rows = spark.createDataFrame([(i, j, *(got[i][x] for x in ("exact", "pairs", "lanes")), *(got[j][x] for x in ("exact", "pairs", "lanes"))) for i in range(3) for j in range(3)], "i int, j int, ea array<long>, pa long, la array<long>, eb array<long>, pb long, lb array<long>")
+    for r in rows.select("i", "j", op8.likeness(*map(F.col, ("ea", "pa", "la", "eb", "pb", "lb"))).alias("s")).collect():
+        a, b = bags[r.i], bags[r.j]
+        true = 2 * sum(a[x] * b[x] for x in a) / (sum(x * x for x in a.values()) + sum(x * x for x in b.values()))
+        assert r.s == 1.0 if r.i == r.j else abs(r.s - true) < 0.3
+
+
 def test_op8_is_homomorphic(spark):
     rows = spark.createDataFrame([(1, "a b\nc d"), (2, "c d\na b"), (3, "a b"), (4, "c d")], "k long, text string")
     p = {r.k: r for r in op8.fingerprints(rows, ["k"]).collect()}
@@ -348,10 +423,28 @@ def test_op10_as_the_library_does(spark, documents):
         ids = library.encode_ordinary(t or "")
         want[(i, len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((t or "").encode()).hexdigest())] += 1
     assert got == want
+    assert op10.round_trip_digests(documents([]), RANKS, P.PATTERN).count() == 0
     back = op10.decode_ids(op10.encode_texts(documents(rows), RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert Counter((r.doc_id, bytes(r.bytes)) for r in back) == Counter((i, (t or "").encode()) for i, t in rows)
 
 
+def test_op10_long_words():
+    """Words longer than any token, many at once or one very long one, as the library does."""
+    import tiktoken
+
+    own, _ = op10.bpe(RANKS, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})._core_bpe
+    rng = np.random.default_rng(0)
+    parts = ["th", "e", "an", "in", "aa", "a", "é", "st", "stst", "中", "tion"]
+    made = {"".join(rng.choice(parts, rng.integers(12, 200))).encode() for _ in range(150)}
+    made |= {(p * n).encode() for p in [*parts, "ab", "aba", "the", "=", " "] for n in (35, 101, 1500)} | {bytes(rng.choice(list(b"abcdefghij"), 16_000))}
+    for w, ids in own.encode_words(sorted(made)).items():
+        assert np.frombuffer(ids, np.uint32).tolist() == library.encode_single_piece(w), w[:40]
+    long = b"." * ((1 << 21) + 9) + b"-="  # places beyond 21 bits
+    ids = own.encode_words([long])[long]
+    assert own.decode([ids]) == [long] and np.frombuffer(ids, np.uint32).tolist() == library.encode_single_piece(long)
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     import corpus_pipeline
 
