@@ -17,19 +17,19 @@ import pyarrow as pa
 
 from curalith.llm.kernels import chunks, lower
 
-#: Chunks whose ids a Python worker remembers; beyond that it starts afresh.
-MEMO_CHUNKS = 250_000
+#: Entries that one of a Python worker's memories takes before it lets go of the older half, and
+#: the longest key that it keeps.
+MEMO_CHUNKS, MEMO_BYTES = 200_000, 256
 
 #: ASCII white space 0, letters 1, punctuation but the apostrophe 2; any other byte 4.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = 2
-_PRINTED = np.zeros(256, bool)
-_PRINTED[0x21:0x7F] = True
-#: First bytes of two-byte characters none of which is white space.
-_LATIN = np.zeros(256, bool)
-_LATIN[0xC3:0xE0] = True
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = 2
+_CLASS[48:58] = 3
 
 
 def _edges(offsets: np.ndarray, n: int) -> np.ndarray:
@@ -69,21 +69,35 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...]
     return found, np.searchsorted(np.flatnonzero(start), offsets, "left")
 
 
+def _classes(data: np.ndarray) -> np.ndarray:
+    """Of each byte: 1 for letters (ASCII, U+00C0 to U+023F but the two signs among them), 2 for
+    ASCII punctuation but the apostrophe, 3 for ASCII digits, 0 for anything else."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
+    sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))
+    lead = lead[~sign & (data[lead + 1] >= 0x80) & (data[lead + 1] < 0xC0)]
+    kind[lead] = kind[lead + 1] = 1
+    return kind
+
+
 def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """For byte-level patterns: cut before a single space between two characters that aren't
-    white space (a match with a space in it starts there), and at documents."""
+    """For byte-level patterns whose matches are letters, digits, other characters (each with one
+    space before them) or white space: cut at documents, between neighbours of different classes,
+    before a single space between two characters that aren't white space, and around a single line
+    end between such."""
     n = len(data)
-    cut = _edges(offsets, n)[:n]
-    space = data == 0x20
-    printed = _PRINTED[data]
-    latin = _LATIN[data]
-    before = np.zeros(n, bool)
-    before[1:] = printed[:-1]
-    before[2:] |= latin[:-2] & (data[1:-1] >= 0x80)
-    after = np.zeros(n, bool)
-    after[:-1] = printed[1:] | latin[1:]
-    cut |= space & before & after
-    starts = np.flatnonzero(cut)
+    cut = _edges(offsets, n)
+    kind = _classes(data)
+    here, there = kind[:-1], kind[1:]
+    cut[1:n] |= (here != there) & (here > 0) & (there > 0)
+    space, line = data == 0x20, data == 0x0A
+    known = (kind > 0) | (data == 0x27)
+    between = np.zeros(n, bool)
+    between[1:-1] = known[:-2] & known[2:]
+    at = np.flatnonzero((space | line) & between)
+    cut[at] = True
+    cut[at[line[at]] + 1] = True
+    starts = np.flatnonzero(cut[:n])
     ends = np.append(starts, n)
     found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     return found, np.searchsorted(starts, offsets, "left")
@@ -98,11 +112,35 @@ def flat_binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+class Memo:
+    """Values of keys, worked out by ``make`` (a list of keys to their values).  It remembers those
+    asked for last: a young generation, which becomes the old one when it is full."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int = MEMO_CHUNKS):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def __call__(self, keys: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = [young.get(x) for x in keys]
+        missing = [k for k, v in enumerate(out) if v is None]
+        for k in missing:
+            out[k] = old.get(keys[k])
+        new = [k for k in missing if out[k] is None]
+        for lo in range(0, len(new), 50_000):
+            part = new[lo : lo + 50_000]
+            for k, v in zip(part, self.make([keys[k] for k in part]), strict=True):
+                out[k] = v
+        young.update((keys[k], out[k]) for k in missing if len(keys[k]) <= MEMO_BYTES)
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return out
+
+
 class ChunkEncoder:
     """Remembers the ids of chunks; ``encode`` maps a list of new chunks to arrays of ids."""
 
     def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[bytes]]):
-        self.cut, self.encode, self.memo = cut, encode, {}
+        self.cut, self.memo = cut, Memo(encode)
 
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The ids of each chunk as bytes of uint32, in order; chunks before each document (n + 1)."""
@@ -110,16 +148,7 @@ class ChunkEncoder:
         if not len(found):
             return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
         coded = found.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        memo = self.memo
-        new = [x for x in distinct if x not in memo]
-        if len(memo) + len(new) > MEMO_CHUNKS:
-            memo.clear()
-            new = distinct
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            memo.update(zip(part, self.encode(part), strict=True))
-        return pa.array([memo[x] for x in distinct], pa.large_binary()).take(coded.indices), first
+        return pa.array(self.memo(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices), first
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all documents one after the other, and offsets (n + 1)."""
