@@ -16,7 +16,8 @@ a query that finds too few rows within it is searched again with the full radius
 
 Defined results: vectors that are null, zero, of another length than most, or hold nulls or
 non-finite numbers take no part; rows with the query's own vec_id are not its candidates; null
-vec_ids take no part; with too few candidates all are returned; ties go to smaller vec_ids.
+vec_ids take no part; with too few candidates all are returned; ties go to smaller vec_ids; equal
+rows count once; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ from curalith.llm.storage import stored
 BITS, SUBSTRINGS = 128, 8
 #: Vectors that the rotations and the radius are fitted on, and queries among them for the radius.
 FIT_VECTORS, FIT_QUERIES, SAMPLE_RECALL = 4096, 512, 0.98
-QUERY_BLOCK, SHARD = 1024, 8192
+QUERY_BLOCK, SHARD = 4096, 16_384
+#: All values of a substring by how many bits they have, and how many have at most so many.
+BY_BITS = np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)), kind="stable").astype(np.uint16)
+WITHIN = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)), minlength=17))
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (common.n if common else 0)).withColumns({"a": F.xxhash64("v"), "b": F.xxhash64("v", F.lit(1))})
+    return rows.filter(F.size("v") == (common.n if common else 0)).withColumns({k: F.xxhash64(F.lit(seed), "v") for seed, k in enumerate("ab")})
 
 
 class Codes:
@@ -89,10 +93,11 @@ def distances(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, top: int) -> tuple[Codes, int] | None:
-    """Codes and the radius, from the FIT_VECTORS vectors with the smallest keys."""
-    sample = rows.select("v", "a").orderBy("a").limit(FIT_VECTORS).collect()
-    if not sample:
+    """Codes and the radius, from those FIT_VECTORS of the distinct vectors with the smallest keys."""
+    keys = [r.a for r in rows.select("a").orderBy("a").limit(FIT_VECTORS).collect()]
+    if not keys:
         return None
+    sample = sorted(rows.filter(F.col("a") <= keys[-1]).select("a", "b", "v").collect())[:FIT_VECTORS]
     longest = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
     x = np.array([r.v for r in sample])
     codes = Codes(x, longest)
@@ -106,22 +111,31 @@ def fit(rows: DataFrame, top: int) -> tuple[Codes, int] | None:
 
 
 class Shard:
-    """A shard's index: for each substring its values and which codes have them."""
+    """A shard's index: for each substring a table by its value of the codes that have it."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.tables = []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+            first = np.searchsorted(codes[order, j], np.arange((1 << 16) + 1))
+            self.tables.append((np.unique(codes[:, j]), first, order))
 
     def within(self, one: np.ndarray, radius: int) -> np.ndarray:
-        """Places of all codes within ``radius`` of ``one``."""
+        """Places of all codes within ``radius`` of ``one``: every substring's table is probed with
+        all values near enough to the query's, or with those that it holds if they are fewer."""
         hit = np.zeros(len(self.codes), bool)
+        reach = min(16, radius // len(self.tables))
         for j, (values, first, order) in enumerate(self.tables):
-            near = np.bitwise_count(values ^ one[j]) <= radius // len(self.tables)
-            hit[order[np.repeat(near, np.diff(first))]] = True
+            if WITHIN[reach] <= len(values):
+                keys = BY_BITS[: WITHIN[reach]] ^ one[j]
+            else:
+                keys = values[np.bitwise_count(values ^ one[j]) <= reach]
+            begin = first[keys]
+            many = first[keys.astype(np.int64) + 1] - begin
+            used = many > 0
+            begin, many = begin[used], many[used]
+            hit[order[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]] = True
         found = np.flatnonzero(hit)
         return found[distances(self.codes[found], one) <= radius]
 
@@ -167,10 +181,6 @@ def nearest(vectors: DataFrame, is_query, top: int = 20) -> DataFrame:
     condition ``is_query`` holds, its ``top`` nearest other rows."""
     rows = stored(valid_vectors(vectors).dropDuplicates(["vec_id", "a", "b"]), "vectors")
     empty = "query_id long, rank int, vec_id long, score double"
-    fitted = fit(rows, top)
-    if fitted is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    codes, radius = fitted
     asked = rows.filter(is_query)
     # own rows are left out at the end: as many more are kept as one id has different vectors
     own_rows = asked.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
@@ -178,6 +188,10 @@ def nearest(vectors: DataFrame, is_query, top: int = 20) -> DataFrame:
     first = Window.partitionBy("a", "b").orderBy("vec_id")
     few = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= top + 1)
     index = stored(few.groupBy("a", "b").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "index")
+    fitted = fit(index, top)
+    if fitted is None:
+        return vectors.sparkSession.createDataFrame([], empty)
+    codes, radius = fitted
     queries = stored(asked.join(index.select("a", "b"), ["a", "b"]).groupBy("a", "b").agg(F.first("v").alias("v")), "queries")
     found = stored(_in_blocks(queries, index, codes, radius, top), "found")
     enough = min(top + 1, rows.select("vec_id").limit(top + 1).count())

@@ -16,7 +16,9 @@ twice all windows are compared, and all but the first occurrence's words go.
 Defined results: null and empty texts have no paragraphs; rows with a null doc_id take no part;
 rows that repeat a doc_id share their decisions on lines; shorter lines are never removed as
 lines; a paragraph repeated inside one document stays once, a passage too.  A class and a window
-are named by a 64-bit hash of their words.  A passage never reaches over a removed line.
+are named by a 64-bit hash of their words.  A passage never reaches over a removed line.  An empty
+table gives no rows; other columns don't matter (``without_repeats`` keeps them).  A text is read
+whole: its words and their hashes must fit a task's memory several times.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql.types import StringType
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, lower, mix, powers, set_hashes, sliding, span_hashes, word_shingles, words
 from curalith.llm.op7_ngram_jaccard_join import _union, _verified
-from curalith.llm.storage import shuffle_width, stored, text_batches
+from curalith.llm.storage import hot_join, shuffle_width, stored, text_batches
 
 WIDTH, MIN_WORDS = 5, 5
 #: Words of a window of a passage; bits of the filter of documents that may share one.
@@ -162,8 +164,8 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     linked = components(_union(_verified(sets, num, den))).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
     named = classes.join(linked, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     clusters = named.groupBy("cluster").agg(F.min("first").alias("kept"), F.sum("copies").alias("all"))
-    repeated = named.select("key", "cluster").join(clusters.filter(F.col("all") > 1), "cluster")
-    found = units.join(repeated, "key")
+    repeated = stored(named.select("key", "cluster", "copies").join(clusters.filter(F.col("all") > 1), "cluster"), "repeated")
+    found = hot_join(units, repeated, ["key"])
     removed = F.struct("doc_id", "paragraph") != F.struct(F.col("kept.doc_id").alias("doc_id"), F.col("kept.paragraph").alias("paragraph"))
     return found.select("doc_id", "paragraph", "n_words", "cluster", F.col("kept.doc_id").alias("first_doc_id"), removed.alias("removed"))
 
@@ -229,7 +231,7 @@ def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).filter("doc_id IS NOT NULL")
     lines = lines.select("doc_id", "paragraph").distinct()
     named = stored(docs.mapInArrow(_named, shape), "named")
-    shared = lambda rows: rows.join(rows.groupBy("key").count().filter("count > 1").select("key").hint("merge"), "key")
+    shared = lambda rows: hot_join(rows, stored(rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"), "shared"), ["key"])
     outside = stored(shared(named).join(lines.hint("merge"), ["doc_id", "paragraph"], "left_anti"), "named")
     near = shared(outside).groupBy("doc_id", "tag").agg(F.collect_list("place").alias("near"))
     gone = lines.groupBy("doc_id").agg(F.collect_list("paragraph").alias("gone"))
@@ -250,8 +252,8 @@ def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     some = docs.withColumn("place", place).mapInArrow(marked, "doc_id long, text string, tag long, place int").drop("place")
     met = some.join(near.hint("merge"), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
     found = stored(met.select("doc_id", "text", "tag", "near", "gone").mapInArrow(_around, shape), "windows")
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    found = found.join(first.hint("merge"), "key")
+    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    found = hot_join(found, stored(first, "first"), ["key"])
     same = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.tag") == F.col("tag"))
     # what overlaps its own first occurrence goes only from that one's end on
     apart = F.col("first.place") + F.when(F.col("place") > F.col("first.place"), WINDOW).otherwise(0)

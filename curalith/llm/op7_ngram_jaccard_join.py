@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, mix, set_hashes, shingles
-from curalith.llm.storage import shuffle_width, stored, text_batches
+from curalith.llm.storage import hot_join, shuffle_width, stored, text_batches
 
 #: Counters of the global order (a table of fixed size).
 COUNTERS = 1 << 20
@@ -44,8 +44,6 @@ COUNTERS = 1 << 20
 PAIRED = 48
 #: Sets of a block, and sets that walk it in one task.
 BLOCK, PROBES = 512, 2048
-#: A class with at least one of so many rows is a hot one: there are at most that many.
-HOT_SHARE = 2000
 
 
 def _need(n, m, num: int, den: int):
@@ -376,15 +374,6 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rows`` (low, high) with the node of their class.  The rows of a hot class aren't shuffled:
-    hot classes are at most HOT_SHARE, so they are sent to every task."""
-    hot = classes.filter(F.col("copies") * HOT_SHARE >= max(1, rows.count()))
-    met = rows.join(F.broadcast(hot.select("low", "high", F.col("node").alias("hot_node"))), ["low", "high"], "left")
-    rest = met.filter("hot_node IS NULL").drop("hot_node").join(classes.select("low", "high", "node").hint("merge"), ["low", "high"], "left")
-    return rest.unionByName(met.filter("hot_node IS NOT NULL").withColumnRenamed("hot_node", "node"))
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text): two documents are
     linked when den * intersection >= num * union of their sets of ``width``-word n-grams."""
@@ -422,7 +411,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     sets = known.join(groups.hint("merge"), "doc_id").mapInArrow(as_sets, "comp long, node long, grams binary").filter(F.length("grams") > 0)
     linked = components(_union([*_verified(sets, num, den)]))
-    own = _with_class(rows, classes).withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).withColumn("node", F.coalesce("node", "doc_id"))
+    own = hot_join(rows, classes, ["low", "high"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).withColumn("node", F.coalesce("node", "doc_id"))
     # a repeated doc_id is one node: its rows' classes are connected through it
     repeated = own.filter("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     again = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")

@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,3 +58,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A key with at least one of so many rows is a hot one: there are at most that many.
+HOT_SHARE = 2000
+
+
+def hot_join(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``found``, which has one row for each of its keys, its
+    number of rows in ``copies`` (left out here) and is read twice.  Rows of hot keys aren't
+    shuffled: those keys, at most HOT_SHARE, are sent to every task."""
+    hot = F.col("copies") * HOT_SHARE >= max(1, rows.count())
+    columns = [c for c in found.columns if c not in (*keys, "copies")]
+    few = F.broadcast(found.filter(hot).select(*keys, *columns, F.lit(True).alias("_hot")))
+    met = rows.join(few, keys, "left")
+    rest = met.filter("_hot IS NULL").select(*rows.columns).join(found.filter(~hot).select(*keys, *columns).hint("merge"), keys, how)
+    return rest.unionByName(met.filter("_hot").drop("_hot"))

@@ -24,6 +24,7 @@ from curalith.llm import op8_multiset_hash as op8
 from curalith.llm import op9_token_files as op9
 from curalith.llm import op10_byte_bpe as op10
 from curalith.llm.graph import components
+from curalith.llm import storage
 from curalith.llm.storage import new_folder
 
 WORD_BPE = P.path("word_bpe_49k.json")
@@ -48,7 +49,7 @@ def test_op1_finds_the_nearest(spark):
     x[100:400] = x[100]  # a very common vector
     x[7] *= 3
     rows = [(i, v.astype("float32").tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] + [0.0] * 14), (2080, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(*r, "x", 1.0, 2) for r in [*rows, rows[3]]], "vec_id long, embedding array<float>, a string, v double, ids int")
     got = op1.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
     y = x.astype("float32").astype(float)
     found = total = 0
@@ -63,10 +64,20 @@ def test_op1_finds_the_nearest(spark):
         total += 20
     assert found / total >= 0.9 and set(got.query_id) == set(range(0, 1500, 20))
     assert op1.nearest(df.limit(0), F.lit(True)).count() == 0
-    few = op1.nearest(spark.createDataFrame(rows[:5], df.schema), F.lit(True)).groupBy("query_id").count().collect()
+    few = op1.nearest(df.filter("vec_id < 5"), F.lit(True)).groupBy("query_id").count().collect()
     assert {r["count"] for r in few} == {4}
 
 
+def test_op1_probes_find_all_within_the_radius():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    codes[1000:] = codes[rng.integers(0, 1000, 2000)] ^ (1 << rng.integers(0, 16, (2000, 8)).astype(np.uint16))
+    shard = op1.Shard(codes)
+    for radius in (0, 7, 8, 15, 40, 57, 128):  # few values near the query, and more than the table holds
+        for one in codes[::300]:
+            assert shard.within(one, radius).tolist() == np.flatnonzero(op1.distances(codes, one) <= radius).tolist()
+
+
 def test_op1_copies_of_a_query_row(spark):
     x = np.random.default_rng(1).normal(size=(200, 16)).astype("float32")
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 2 + [(20, x[20].tolist())] * 29 + [(40, (x[40] * (1 + k / 100)).tolist()) for k in range(1, 4)]
@@ -255,7 +266,9 @@ def _paragraph_clusters(rows):
     return {(units[u][0], units[u][1], units[top(u)][0]) for u in range(len(units)) if size[top(u)] > 1}
 
 
-def test_op6_against_brute_force(spark, documents):
+@pytest.mark.parametrize("hot", [2000, 4])
+def test_op6_against_brute_force(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(storage, "HOT_SHARE", hot)
     near = BASE.replace(BASE.split()[60], "changed")
     rows = [r for r in AWKWARD if r[0] != 4] + [(30, "short line\n" + near + "\nend"), (31, BASE + "\n" + BASE), (32, words(7, 25) + "\n" + near), (4, words(2, 40))]
     got = op6.repeated_paragraphs(documents(rows)).collect()
@@ -304,7 +317,7 @@ def _components(rows, width, num):
 def test_op7_against_brute_force(spark, documents, monkeypatch, block, paired, probes):
     monkeypatch.setattr(op7, "BLOCK", block)
     monkeypatch.setattr(op7, "PROBES", probes)
-    monkeypatch.setattr(op7, "HOT_SHARE", 2000 if block > 4 else 8)
+    monkeypatch.setattr(storage, "HOT_SHARE", 2000 if block > 4 else 8)
     monkeypatch.setattr(op7, "PAIRED", paired)
     parts = BASE.split()
     chain = [(40 + k, " ".join(parts[k * 3 : k * 3 + 60])) for k in range(20)]  # each like its neighbours only
