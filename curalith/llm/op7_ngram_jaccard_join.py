@@ -31,15 +31,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curalith.llm.graph import components
 from curalith.llm.kernels import chunks, distinct_sets, flat_texts, mix, set_hashes, shingles
-from curalith.llm.storage import hot_join, shuffle_width, stored, text_batches
+from curalith.llm.storage import hot_join, shuffle_width, small_batches, stored, text_batches
 
 #: Counters of the global order (a table of fixed size).
 COUNTERS = 1 << 20
+#: Tasks whose counters are added up together; three such steps make one row of 64 parts up to
+#: FAN_IN**3 tasks, beyond that a few.
+FAN_IN = 128
 #: Classes that may meet at an n-gram and still be paired there; beyond, neighbours by length.
 PAIRED = 48
 #: Sets of a block, and sets that walk it in one task.
@@ -76,21 +80,27 @@ def count_order(docs: DataFrame, width: int) -> np.ndarray:
         used = np.flatnonzero(counts)
         cuts = np.searchsorted(used, np.arange(65) * (COUNTERS // 64))
         some = [used[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        columns = [pa.array(np.arange(64)), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([counts[x].tobytes() for x in some], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "at", "counts"])
+        columns = [pa.array(np.arange(64)), pa.array([TaskContext.get().partitionId()] * 64, pa.int64()), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([counts[x].tobytes() for x in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "task", "at", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS // 64, np.int64)
-        part = table["part"][0].as_py()
+        total, part = np.zeros(COUNTERS // 64, np.int64), table["part"][0].as_py()
         for at, counts in zip(table["at"].to_pylist(), table["counts"].to_pylist(), strict=True):
             total[np.frombuffer(at, np.int64) - part * len(total)] += np.frombuffer(counts, np.int64)
-        return pa.table({"part": pa.array([part]), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(counted, "part long, at binary, counts binary").groupBy("part")
-    out = np.zeros((64, COUNTERS // 64), np.int64)
-    for r in parts.applyInArrow(summed, "part long, counts binary").collect():
-        out[r.part] = np.frombuffer(r.counts, np.int64)
-    return out.ravel()
+        used = np.flatnonzero(total)
+        columns = [pa.array([part]), table["task"].slice(0, 1), pa.array([(used + part * len(total)).tobytes()], pa.binary()), pa.array([total[used].tobytes()], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["part", "task", "at", "counts"])
+
+    shape = "part long, task long, at binary, counts binary"
+    parts = docs.select("text").mapInArrow(counted, shape)
+    for _ in range(3):  # tasks' counters are added up by FAN_IN, so that no task reads those of all
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("part", "task").applyInArrow(summed, shape)
+    out = np.zeros(COUNTERS, np.int64)
+    with small_batches(docs.sparkSession):
+        rows = parts.collect()
+    for r in rows:
+        np.add.at(out, np.frombuffer(r.at, np.int64), np.frombuffer(r.counts, np.int64))
+    return out
 
 
 def _ordered(h: np.ndarray, offsets: np.ndarray, counters: np.ndarray) -> np.ndarray:
