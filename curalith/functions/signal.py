@@ -36,7 +36,7 @@ def peak(samples: Column) -> Column:
 
 
 def clipped_fraction(samples: Column, level: float = 0.999) -> Column:
-    return F.size(F.filter(samples, lambda x: F.abs(x.cast("double")) >= level)) / F.size(samples)
+    return F.size(F.filter(samples, lambda x: F.abs(x.cast("double")) >= level)).cast("double") / F.nullif(F.size(samples), F.lit(0))
 
 
 def end_level(samples: Column, rate: Column | int, window_s: float = 0.03) -> Column:

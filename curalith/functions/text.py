@@ -20,10 +20,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: White space of any script, and the separators that count as such.
+BLANK = r"\s\x1c-\x1f"
+_EDGES = r"[.,;:!?'\"]*"
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, f"(?U)^[{BLANK}]+|[{BLANK}]+$", "")
+
+
 def words(text: Column) -> Column:
     """Words by white space, punctuation stripped from their edges, lower-cased, none empty."""
-    stripped = F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?'\"]+|[.,;:!?'\"]+$", "")))
-    return F.filter(stripped, lambda w: w != "")
+    inner = F.regexp_replace(F.lower(text), f"(?U)^[{BLANK}.,;:!?'\"]+|[{BLANK}.,;:!?'\"]+$", "")
+    return F.filter(F.split(inner, f"(?U){_EDGES}[{BLANK}]+{_EDGES}"), lambda w: w != "")
 
 
 def ngrams(words_: Column, n: int) -> Column:
@@ -33,6 +43,12 @@ def ngrams(words_: Column, n: int) -> Column:
     return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
+def ngram_hashes(words_: Column, n: int) -> Column:
+    """64-bit hashes of the runs of n words, in order: equal runs have equal ones."""
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<bigint>")))
+
+
 def letters(text: Column) -> Column:
     """How many letters a text has."""
     return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
@@ -80,8 +96,33 @@ def semitones(a: Column, b: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals as text, halves (of its shortest decimal form) to even."""
-    return F.bround(x.cast("decimal(38,18)"), digits).cast("string")
+    """A number with so many decimals as text: its exact binary value is rounded, halves to even.
+    From 2**52 on, where all are whole numbers, digits after the 17th may be zeros."""
+    return let(x.cast("double"), lambda v: _fixed(v, digits))
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    scale = float(10**digits)
+    product = x * scale
+    # the product's rounding error, from halves of both factors whose products are exact
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    scale_high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    low, scale_low = x - high(x), scale - scale_high
+    error = ((high(x) * scale_high - product) + high(x) * scale_low + low * scale_high) + low * scale_low
+    near = F.rint(product)
+    off = product - near
+    step = F.when((off == 0.5) & (error > 0), 1).when((off == -0.5) & (error < 0), -1).otherwise(F.rint(F.when(F.abs(product) >= 2.0**52, error).otherwise(0.0)))
+    whole = F.abs(near.cast("long") + step.cast("long"))
+    unit = F.lit(10**digits).cast("long")
+    tail = F.concat(F.lit("."), F.lpad((whole % unit).cast("string"), digits, "0")) if digits else F.lit("")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.call_function("div", whole, unit).cast("string"), tail)
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.coalesce(odd, F.when(F.abs(x) >= 2.0**52, F.format_string(f"%.{digits}f", x)).otherwise(text))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A number rounded as ``fixed`` does."""
+    return fixed(x, digits).cast("double")
 
 
 def char_class(chars: str) -> str:

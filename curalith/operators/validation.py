@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalith.functions import signal as S
-from curalith.functions.text import MOJIBAKE, letters, message_type, unmappable
+from curalith.functions.text import MOJIBAKE, fixed, letters, message_type, rounded, unmappable
+from curalith.operators.duplicates import first_occurrence
+from curalith.operators.leak import leaks
 
 
 @dataclass(frozen=True)
@@ -22,7 +24,7 @@ class Thresholds:
     clip_level: float = 0.999
     max_clipped: float = 0.001
     min_peak_dbfs: float = -20.0
-    silence_rel_db: float = 40.0
+    silence_rel_db: float = -40.0
     no_speech_dbfs: float = -50.0
     max_edge_s: float = 1.0
     min_edge_s: float = 0.02
@@ -49,32 +51,110 @@ def text_errors(text: Column, vocabulary: str, leak: Column | None = None) -> Co
 
 
 def measured(audio: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """``audio`` (samples of one channel, sample_rate, text) with its levels, edges, noise and rate."""
+    """``audio`` (samples of one channel, sample_rate, text) with its levels, edges, noise and rate,
+    rounded as they are reported."""
     samples = F.col("samples")
-    df = audio.withColumns({"duration_s": F.size(samples) / F.col("sample_rate"), "levels": S.frame_levels(samples, S.hop(F.col("sample_rate"))), "clipped": S.clipped_fraction(samples, th.clip_level), "peak_dbfs": S.decibels(S.peak(samples))})
-    df = df.withColumn("loudest", F.array_max("levels")).withColumn("edge", F.when(F.col("loudest") >= th.no_speech_dbfs, S.voiced_edges(F.col("levels"), th.silence_rel_db)))
-    df = df.withColumns({"leading_s": F.col("edge.first") * S.FRAME_S, "trailing_s": (F.size("levels") - 1 - F.col("edge.last")) * S.FRAME_S, "noise": F.when(F.col("edge").isNotNull(), S.noise_ratio(F.col("levels"), F.col("edge.first"), F.col("edge.last")))})
+    levels = S.frame_levels(samples, S.hop(F.col("sample_rate")))
+    df = audio.withColumns({
+        "duration_s": rounded(F.size(samples) / F.nullif(F.col("sample_rate"), F.lit(0)), 3), "levels": levels,
+        "clipped": S.clipped_fraction(samples, th.clip_level), "peak_dbfs": rounded(S.decibels(S.peak(samples)), 1),
+    })
+    edge = F.when(F.col("loudest") >= th.no_speech_dbfs, S.voiced_edges(F.col("levels"), -th.silence_rel_db))
+    df = df.withColumn("loudest", F.array_max("levels")).withColumn("edge", edge)
+    noise = F.when(F.col("edge").isNotNull(), S.noise_ratio(F.col("levels"), F.col("edge.first"), F.col("edge.last")))
+    last = F.size("levels") - 1 - F.col("edge.last")
+    df = df.withColumns({"leading_s": rounded(F.col("edge.first") * S.FRAME_S, 2), "trailing_s": rounded(last * S.FRAME_S, 2), "noise": noise})
+    df = df.withColumns({"snr_db": rounded(F.col("noise.snr"), 1), "rough_snr_db": rounded(F.col("noise.rough"), 1)})
     span = (F.col("edge.last") - F.col("edge.first") + 1) * S.FRAME_S
-    return df.withColumn("letters_per_s", F.when(F.col("text") != "", letters(F.col("text")) / span))
+    return df.withColumn("letters_per_s", rounded(F.when(F.col("text") != "", letters(F.col("text")) / span), 1))
 
 
 def audio_messages(m: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """``measured`` rows (with channels and subtype) with errors and warnings."""
+    """``measured`` rows (with channels and subtype) with errors and warnings.  Empty audio has that
+    error alone; audio shorter than a frame isn't looked at further."""
     c = F.col
-    speech = c("edge").isNotNull()
-    edge = lambda name: [(speech & (c(f"{name}_s") > th.max_edge_s), f"long {name} silence"), (speech & (c(f"{name}_s") < th.min_edge_s), f"no {name} silence: speech may be cut off")]
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    some, speech, seconds = F.size("samples") > 0, c("edge").isNotNull(), fixed(c("duration_s"), 2)
+    rate, snr = c("sample_rate").cast("string"), lambda name: fixed(c(name), 1)
+
+    def edge(name):
+        value = c(f"{name}_s")
+        return [(speech & (value > th.max_edge_s), said(f"long {name} silence: ", fixed(value, 2), "s")), (speech & (value < th.min_edge_s), f"no {name} silence: speech may be cut off")]
+
     errors = messages(
-        (F.size("samples") == 0, "empty audio"), (c("sample_rate") < th.min_sample_rate, "low sample rate"), (c("duration_s") < th.min_duration_s, "too short"), (c("duration_s") > th.max_duration_s, "too long"),
-        (c("clipped") > th.max_clipped, "clipping"), (F.size("levels") == 0, "too short: shorter than one analysis frame"), (c("loudest") < th.no_speech_dbfs, "no speech detected"),
+        (~some, "empty audio (0 samples)"),
+        (some & (c("sample_rate") < th.min_sample_rate), said("low sample rate: ", rate, f" Hz < {th.min_sample_rate} Hz")),
+        (some & (c("duration_s") < th.min_duration_s), said("too short: ", seconds, f"s < {th.min_duration_s}s")),
+        (some & (c("duration_s") > th.max_duration_s), said("too long: ", seconds, f"s > {th.max_duration_s}s")),
+        (some & (c("clipped") > th.max_clipped), said("clipping: ", fixed(c("clipped") * 100, 2), "% of samples at full scale")),
+        (some & (F.size("levels") == 0), "too short: shorter than one analysis frame"),
+        (c("loudest") < th.no_speech_dbfs, said("no speech detected: loudest frame ", fixed(c("loudest"), 1), " dBFS")),
     )
     warnings = messages(
-        ((c("sample_rate") >= th.min_sample_rate) & (c("sample_rate") != th.sample_rate), "sample rate"), (c("channels") != 1, "channels"), (~c("subtype").isin("PCM_24", "PCM_32", "FLOAT", "DOUBLE"), "bit depth"),
-        (speech & (c("peak_dbfs") < th.min_peak_dbfs), "low level"), *edge("leading"), *edge("trailing"),
-        (c("noise.snr") < th.min_snr_db, "low estimated SNR"), (c("noise.snr").isNull() & (c("noise.rough") < th.min_snr_db), "low estimated SNR: rough estimate"), (~c("letters_per_s").between(th.min_rate, th.max_rate), "speaking rate"),
+        (some & (c("sample_rate") >= th.min_sample_rate) & (c("sample_rate") != th.sample_rate), said("sample rate: ", rate, f" Hz (expected {th.sample_rate})")),
+        (some & (c("channels") != 1), said("channels: ", c("channels").cast("string"), " (expected mono; will be downmixed)")),
+        (some & ~c("subtype").isin("PCM_24", "PCM_32", "FLOAT", "DOUBLE"), said("bit depth: ", c("subtype"), " (24-bit recommended)")),
+        (speech & (c("peak_dbfs") < th.min_peak_dbfs), said("low level: peak ", snr("peak_dbfs"), " dBFS")), *edge("leading"), *edge("trailing"),
+        (c("snr_db") < th.min_snr_db, said("low estimated SNR: ", snr("snr_db"), " dB")),
+        (c("snr_db").isNull() & (c("rough_snr_db") < th.min_snr_db), said("low estimated SNR: ~", snr("rough_snr_db"), " dB (no silent edges; rough estimate)")),
+        (~c("letters_per_s").between(th.min_rate, th.max_rate), said("speaking rate: ", snr("letters_per_s"), f" letters/s outside {th.min_rate}-{th.max_rate}: transcript may not match audio")),
     )
     return m.withColumns({"errors": errors, "warnings": warnings})
 
 
+def validate(script: DataFrame, audio: DataFrame, evaluation: DataFrame, vocabulary: str, th: Thresholds = Thresholds(), prepare=None) -> DataFrame:
+    """A record for each audio file: ``script`` (id, text, pos), ``audio`` (as ``read_wavs`` gives it)
+    and ``evaluation`` (text) -> id, text, its measures, errors, warnings, accepted.  Files that the
+    script doesn't name come last.  ``prepare`` is applied to texts before leaks are sought."""
+    c = F.col
+    named = script.select("id", F.coalesce("text", F.lit("")).alias("text"), c("pos").cast("long").alias("pos"), F.lit(True).alias("listed"))
+    rows = audio.withColumnRenamed("error", "unread").join(named, "id", "left").withColumns({"text": F.coalesce("text", F.lit("")), "listed": c("listed").isNotNull()})
+    rows = rows.withColumn("turn", F.struct((~c("listed")).alias("last"), "pos", "id"))
+    mono = lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))).otherwise(S.downmixed(x))
+    rows = rows.withColumn("samples", F.when(c("unread").isNull(), mono(c("samples"))))
+    rows = audio_messages(measured(rows, th), th).withColumnsRenamed({"errors": "heard", "warnings": "noticed"})
+    leaking = leaks(named.select(c("id").alias("doc_id"), "text"), evaluation, prepare=prepare).select(c("doc_id").alias("id"), c("reason").alias("leak"))
+    rows = rows.join(leaking, "id", "left")
+    rows = first_occurrence(rows, c("digest"), "turn", "id").withColumnRenamed("first_id", "same_audio")
+    spoken = F.when(c("listed") & (c("text") != ""), F.lower("text"))
+    rows = first_occurrence(rows, spoken, "turn", "id").withColumnRenamed("first_id", "same_text")
+    text = F.when(~c("listed"), F.array(F.lit("no transcript for this audio file (id not in script)"))).otherwise(text_errors(c("text"), vocabulary, c("leak")))
+    heard = F.when(c("unread").isNotNull(), F.array("unread")).otherwise(c("heard"))
+    again = messages((c("same_audio").isNotNull(), F.concat(F.lit("duplicate audio: same samples as "), "same_audio")))
+    noticed = F.when(c("unread").isNull(), c("noticed")).otherwise(F.array().cast("array<string>"))
+    repeated = messages((c("same_text").isNotNull(), F.concat(F.lit("same transcript: as "), "same_text")))
+    rows = rows.withColumns({"errors": F.concat(text, heard, again), "warnings": F.concat(noticed, repeated)})
+    shown = ("sample_rate", "channels", "subtype", "duration_s", "peak_dbfs", "leading_s", "trailing_s", "snr_db", "letters_per_s")
+    return rows.select("id", "text", *shown, "errors", "warnings", (F.size("errors") == 0).alias("accepted"))
+
+
+def counters(records: DataFrame) -> DataFrame:
+    """kind, value, n: how many records have each sample rate, number of channels and subtype; missing
+    values and zeros don't count."""
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in ("sample_rate", "channels", "subtype")]
+    rows = records.select(F.explode(F.array(*kinds)).alias("x")).select("x.kind", "x.value").filter("value IS NOT NULL AND value NOT IN ('', '0')")
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+def summary(script: DataFrame, records: DataFrame, letters_shown: str = "çğıöşü") -> dict:
+    """The summary of ``validate``'s records, a nested dictionary of a few numbers."""
+    taken = records.filter("accepted")
+    heads = records.agg(F.count("*").alias("audio_files"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("accepted") & (F.size("warnings") > 0)).alias("with_warnings")).first()
+    missing = script.select("id").distinct().join(records.select("id"), "id", "left_anti").count()
+
+    def durations(rows):
+        found = duration_stats(rows, "duration_s").first().asDict()
+        return {k: v if k == "n" else round(v, 2) for k, v in found.items()} if found["n"] else {"n": 0}
+
+    out = {"script_entries": script.select("id").distinct().count(), "audio_files": heads.audio_files, "missing_audio": missing, "accepted": heads.accepted, "rejected": heads.audio_files - heads.accepted, "with_warnings": heads.with_warnings}
+    out |= {"all_audio": durations(records), "accepted_audio": durations(taken)}
+    for r in sorted(counters(records).collect()):
+        out.setdefault({"channels": "channels"}.get(r.kind, f"{r.kind}s"), {})[r.value] = r.n
+    for r in sorted(message_counts(records).collect()):
+        out.setdefault(f"{r.kind.rstrip('s')}_types", {})[r.type] = r.n
+    return out | {"letter_counts": {r.letter: r.n for r in letter_counts(taken, letters_shown).collect()}}
+
+
 def message_counts(records: DataFrame) -> DataFrame:
     """kind, type, n: errors over the rejected records, warnings over all."""
     both = [records.select(F.lit(kind).alias("kind"), F.explode(kind).alias("m")) for kind in ("errors", "warnings")]
@@ -89,10 +169,10 @@ def duration_stats(rows: DataFrame, column: str) -> DataFrame:
 
 def letter_counts(texts: DataFrame, alphabet: str) -> DataFrame:
     """letter, n for each letter of ``alphabet`` (0 where it doesn't occur)."""
-    spark = texts.sparkSession
-    wanted = spark.createDataFrame([(c,) for c in dict.fromkeys(alphabet)], "letter string")
-    found = texts.select(F.explode(F.split(F.lower("text"), "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
-    return wanted.join(found, "letter", "left").select("letter", F.coalesce("n", F.lit(0)).alias("n"))
+    shown, low = list(dict.fromkeys(alphabet)), F.lower("text")
+    # each text gives one number for each letter, which are added up before anything is shuffled
+    totals = texts.agg(*[F.coalesce(F.sum(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))), F.lit(0)).alias(f"n{k}") for k, c in enumerate(shown)])
+    return totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.col(f"n{k}").alias("n")) for k, c in enumerate(shown)])).alias("x")).select("x.letter", "x.n")
 
 
 def too_long_to_read(text: Column, limit: float = 14.0) -> Column:

@@ -46,9 +46,9 @@ def epoch_batches(spark, sf_dir):
     return split.epoch_batches(table(spark, sf_dir, "documents"), "doc_id", 16, 42, 1)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id > f THEN f ELSE -1 END AS first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS f FROM documents)")
+@query("SELECT doc_id, CASE WHEN text <> '' AND doc_id > f THEN f ELSE -1 END AS first_id FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY lower(text)) AS f FROM documents)")
 def dup_first(spark, sf_dir):
-    return duplicates.first_occurrence(table(spark, sf_dir, "documents"), F.lower("text"), "doc_id", "doc_id").select("doc_id", F.coalesce("first_id", F.lit(-1)).alias("first_id"))
+    return duplicates.first_occurrence(table(spark, sf_dir, "documents"), F.when(F.col("text") != "", F.lower("text")), "doc_id", "doc_id").select("doc_id", F.coalesce("first_id", F.lit(-1)).alias("first_id"))
 
 
 @query("""WITH a AS (SELECT 0 AS rank, item_id AS id, lower(text) AS key FROM benchmark UNION ALL SELECT 1, doc_id, lower(text) FROM documents)

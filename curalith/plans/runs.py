@@ -109,9 +109,9 @@ def rtf_by_model(spark, sf_dir):
     return comparison.real_time_factors(_results(spark, sf_dir))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, printf('%.1f', round_even((l_quantity / 4)::DECIMAL(18,4), 1)::DOUBLE) AS shown FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, printf('%.2f', l_quantity::DOUBLE * 0.335) AS shown FROM lineitem")
 def fixed_decimals(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fixed(F.col("l_quantity") / 4, 1).alias("shown"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fixed(F.col("l_quantity").cast("double") * 0.335, 2).alias("shown"))
 
 
 @query("SELECT event_id AS step, CASE WHEN event_id < 500 THEN 0.0003::DOUBLE * event_id / 500 ELSE 0.05::DOUBLE * 0.0003::DOUBLE + 0.475::DOUBLE * 0.0003::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (event_id - 500) / 7500.0::DOUBLE))) END AS lr FROM events")

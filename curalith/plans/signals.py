@@ -88,7 +88,7 @@ def duplicate_audio(spark, sf_dir):
 @query()
 def audio_validation(spark, sf_dir):
     """Errors and warnings of samples as if they were recordings at 400 a second."""
-    th = validation.Thresholds(sample_rate=RATE, min_sample_rate=100, min_duration_s=0.05, silence_rel_db=6.0, clip_level=0.5)
+    th = validation.Thresholds(sample_rate=RATE, min_sample_rate=100, min_duration_s=0.05, silence_rel_db=-6.0, clip_level=0.5)
     audio = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(RATE).alias("sample_rate"), F.lit(1).alias("channels"), F.lit("PCM_16").alias("subtype"), F.lit("on iki harf").alias("text"))
     done = validation.audio_messages(validation.measured(audio, th), th)
     return done.select("vec_id", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import io
 import json
-import struct
 import wave
 from collections.abc import Iterator
+from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curalith.functions.text import stripped
+
 LOG = T.StructType([T.StructField(n, T.StringType()) for n in ("clip_id", "source", "source_id", "category", "text", "status")] + [T.StructField("scale", T.DoubleType()), T.StructField("attempts", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in ("duration_s", "opening_hz", "median_f0_hz", "min_f0_hz", "voiced_ratio", "max_drop_st", "letters_per_s", "clipped_fraction")] + [T.StructField("reasons", T.StringType()), T.StructField("compute_s", T.DoubleType())])
 MANIFEST = "id string, audio string, text string"
 
@@ -21,9 +24,9 @@ MANIFEST = "id string, audio string, text string"
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """id, category, text of a ``|``-separated sentence file; ``#`` lines and blank ones are skipped.
     Lines with empty or missing fields and repeated ids raise, with the first of them named."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim(F.regexp_replace("value", "^﻿", "")).alias("line")).filter("line <> '' AND NOT startswith(line, '#')")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), stripped(F.regexp_replace("value", "^﻿", "")).alias("line")).filter("line <> '' AND NOT startswith(line, '#')")
     parts = F.split("line", r"\|", 3)
-    rows = lines.select("file", "line", *[F.trim(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(("id", "category", "text"))])
+    rows = lines.select("file", "line", *[stripped(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(("id", "category", "text"))])
     bad = rows.filter("coalesce(id, '') = '' OR coalesce(category, '') = '' OR coalesce(text, '') = ''").first()
     if bad:
         raise ValueError(f"{bad.file}: expected id|category|text, found {bad.line!r}")
@@ -45,7 +48,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     df = read_tsv(spark, path)
     if not {"id", "train_text"} <= set(df.columns):
         raise ValueError(f"{path}: expected columns 'id' and 'train_text'")
-    rows = df.select(F.trim("id").alias("id"), F.coalesce(F.trim("train_text"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("pos"))
+    rows = df.select(stripped(F.col("id")).alias("id"), F.coalesce(stripped(F.col("train_text")), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("pos"))
     return rows.groupBy("id").agg(F.max_by("text", "pos").alias("text"), F.min("pos").alias("pos"))
 
 
@@ -67,8 +70,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """id, audio, text of a JSON lines manifest; blank lines are skipped."""
-    return spark.read.schema(MANIFEST).json(path).filter("id IS NOT NULL OR audio IS NOT NULL OR text IS NOT NULL")
+    """id, audio, text of a JSON lines manifest; blank lines are skipped, a malformed line raises."""
+    rows = spark.read.schema(f"{MANIFEST}, _malformed string").option("columnNameOfCorruptRecord", "_malformed").json(path)
+    broken = F.when(F.col("_malformed").isNotNull(), F.raise_error(F.concat(F.lit("a manifest line is no JSON object: "), "_malformed"))).cast("string")
+    rows = rows.filter("_malformed IS NOT NULL OR id IS NOT NULL OR audio IS NOT NULL OR text IS NOT NULL")
+    return rows.select(F.coalesce(broken, "id").alias("id"), "audio", "text")
 
 
 def load_config(text: str, overrides: list[str]) -> dict:
@@ -84,35 +90,42 @@ def load_config(text: str, overrides: list[str]) -> dict:
 
 
 def decode_wav(content: bytes) -> dict:
-    """Header and samples (channel by channel, from -1 to 1) of a PCM WAV file, or an error."""
-    empty = {"sample_rate": None, "channels": None, "subtype": None, "samples": None}
+    """Header, samples (channel by channel, from -1 to 1) and their digest (of 32-bit floats, channels
+    interleaved) of a PCM WAV file, or an error."""
+    empty = {"digest": None, "sample_rate": None, "channels": None, "subtype": None, "samples": None}
     try:
         with wave.open(io.BytesIO(content)) as w:
             n, width, rate = w.getnchannels(), w.getsampwidth(), w.getframerate()
             raw = w.readframes(w.getnframes())
         if len(raw) % (n * width) or width not in (1, 2, 3, 4):
             raise ValueError("truncated or unknown samples")
-        if width == 1:
-            values = [x / 128 - 1 for x in raw]
-        elif width == 3:
-            values = [int.from_bytes(raw[k : k + 3], "little", signed=True) / (1 << 23) for k in range(0, len(raw), 3)]
-        else:
-            values = [x / (1 << 8 * width - 1) for (x,) in struct.iter_unpack("<h" if width == 2 else "<i", raw)]
-        return {"sample_rate": rate, "channels": n, "subtype": "PCM_U8" if width == 1 else f"PCM_{8 * width}", "samples": [values[c::n] for c in range(n)], "error": None}
-    except (wave.Error, EOFError, ValueError, struct.error) as e:
+        parts = np.frombuffer(raw, np.uint8).reshape(-1, width).astype(np.int64)
+        values = (parts << (8 * np.arange(width))).sum(axis=1)
+        values = values - 128 if width == 1 else values - ((values >> (8 * width - 1)) << 8 * width)
+        levels = values / (1 << 8 * width - 1)
+        subtype = "PCM_U8" if width == 1 else f"PCM_{8 * width}"
+        digest = sha256(levels.astype("<f4").tobytes()).hexdigest() if len(levels) else None
+        return {"digest": digest, "sample_rate": rate, "channels": n, "subtype": subtype, "samples": [levels[c::n].tolist() for c in range(n)], "error": None}
+    except (wave.Error, EOFError, ValueError) as e:
         return empty | {"error": f"unreadable audio: {type(e).__name__}: {e}"}
 
 
 def read_wavs(spark: SparkSession, folder: str) -> DataFrame:
-    """id (the file's stem), digest, sample_rate, channels, subtype, samples (an array for each
-    channel) and error of every WAV file; a broken one is a row with an error, not a failure."""
+    """id (the file's stem), digest of the samples, sample_rate, channels, subtype, samples (an array
+    for each channel) and error of every WAV file; a broken one is a row with an error, not a
+    failure; a missing folder gives no rows."""
     schema = "id string, digest string, sample_rate int, channels int, subtype string, samples array<array<double>>, error string"
 
     def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [decode_wav(bytes(c)) for c in frame["content"]]
-            yield pd.DataFrame(rows).assign(id=frame["id"].values, digest=frame["digest"].values)[["id", "digest", "sample_rate", "channels", "subtype", "samples", "error"]].astype({"sample_rate": "Int32", "channels": "Int32"})
+            yield pd.DataFrame(rows).assign(id=frame["id"].values)[["id", "digest", "sample_rate", "channels", "subtype", "samples", "error"]].astype({"sample_rate": "Int32", "channels": "Int32"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
-    named = files.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("id"), F.sha2("content", 256).alias("digest"), "content")
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    named = files.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("id"), "content")
     return named.mapInPandas(decoded, schema)

@@ -1,5 +1,6 @@
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +83,17 @@ def test_native_numbers_agree(spark):
 def test_rounding_and_holdout(spark):
     rows = spark.createDataFrame([(n,) for n in (2, 3, 30, 50, 70)], "n long").select(split.holdout(F.col("n"), 0.05).alias("h")).collect()
     assert [r.h for r in rows] == [0, 1, 2, 2, 4]
-    assert spark.range(1).select(text.fixed(F.lit(6.25), 1)).first()[0] == "6.2"
+    values = [6.25, 2.675, -2.675, 1.005, 0.125, 0.375, 99.995, -0.001, 45035996273704.955, 4503599627370495.5, 1e15 / 3, float("nan"), float("inf")]
+    shown = spark.createDataFrame([(x,) for x in values], "x double").select(*[text.fixed(F.col("x"), d).alias(f"d{d}") for d in (0, 1, 2)]).collect()
+    assert [tuple(r) for r in shown] == [tuple(f"{x:.{d}f}" for d in (0, 1, 2)) for x in values]
+    assert spark.range(1).select(text.fixed(F.lit(1e25), 2), text.fixed(F.lit(None), 2)).first() == ("1" + "0" * 25 + ".00", None)
+
+
+def test_words_and_hashes(spark):
+    df = spark.createDataFrame([(" 'Bir\u00a0iki\u2003üç. . dört's\tbeş! \x1c",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(text.words(F.col("t"))).collect()]
+    assert got == [["bir", "iki", "üç", "dört's", "beş"], [], None]
+    assert [len(r[0] or []) for r in df.select(text.ngram_hashes(text.words(F.col("t")), 5)).collect()] == [1, 0, 0]
 
 
 def test_vocabulary(spark):
@@ -144,6 +155,9 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("train", "1", "a", "t")], "split string, id string, audio string, text string")
     writers.write_manifests(df, f"{tmp_path}/m")
     assert readers.read_manifest(spark, f"{tmp_path}/m/split=train").first().id == "1"
+    (tmp_path / "m" / "split=train" / "broken.json").write_text('{"id": "2"\n')
+    with pytest.raises(Exception, match="no JSON object"):
+        readers.read_manifest(spark, f"{tmp_path}/m/split=train").collect()
     assert "none" in writers.text_report({"ERRORS": []}) and writers.missing_files(spark, [f"{tmp_path}/no"]) == [f"{tmp_path}/no"]
 
 
@@ -153,6 +167,74 @@ def test_messages(spark):
     assert kinds[0] == ["empty transcript"] and kinds[1][0] == "encoding problem in transcript" and kinds[2] == []
 
 
+def _sound(seconds=2.0, rate=48_000, gain=1.0, noise=1e-4, edge=0.2, f0=190.0, seed=0):
+    """A harmonic tone of five partials under a 4 Hz envelope, between silent edges."""
+    n, quiet = int(seconds * rate), int(edge * rate)
+    t = np.arange(n) / rate
+    tone = sum(np.sin(2 * np.pi * f0 * k * t) / k for k in range(1, 6)) * (0.6 + 0.4 * np.sin(2 * np.pi * 4 * t)) * 0.2 * gain
+    x = np.concatenate([np.zeros(quiet), tone, np.zeros(quiet)])
+    return np.clip(x + np.random.default_rng(seed).normal(0, noise, len(x)), -1, 1)
+
+
+def _write(path, x, rate=48_000, width=3, channels=1):
+    values = np.clip(np.round(np.repeat(x, channels) * (1 << 8 * width - 1)), -(1 << 8 * width - 1), (1 << 8 * width - 1) - 1).astype("<i4")
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        w.writeframes(values.view(np.uint8).reshape(-1, 4)[:, :width].tobytes())
+
+
+def test_validate_a_dataset(spark, tmp_path):
+    """Every kind of defect, one file each, and the summary."""
+    said = "bugün hava çok güzel ve şehir sakin"
+    texts = {i: f"{said} {n}" for i, n in zip("ok1 ok2 short long clip silent lowsr dup mojibake leak corrupt sr44 stereo pcm16 mismatch noedge noisy missing empty0".split(), "abcçdefgğhıijklmnoö", strict=True)}
+    texts |= {"emptytext": "", "mojibake": "gÃ¼zel bir gÃ¼n", "leak": "bu cümle ölçüm kümesinde aynen duruyor işte", "mismatch": " ".join([said] * 4), "ok2": f"{said} ve deniz"}
+    for k, i in enumerate([*texts, "orphan"]):
+        if i == "missing":
+            continue
+        x, rate, width, channels = _sound(seed=k), 48_000, 3, 1
+        if i == "short":
+            x = _sound(0.3, edge=0.02)
+        elif i == "long":
+            x = _sound(15.0)
+        elif i == "clip":
+            x = _sound(gain=5.0)
+        elif i == "silent":
+            x = np.zeros(3 * 48_000)
+        elif i in ("lowsr", "sr44"):
+            rate = 16_000 if i == "lowsr" else 44_100
+            x = _sound(rate=rate, seed=k)
+        elif i == "dup":
+            x = _sound(seed=0)
+        elif i == "noedge":
+            x = x[int(0.25 * 48_000) :]
+        elif i == "noisy":
+            x = _sound(noise=0.02, seed=k)
+        elif i == "empty0":
+            x = np.zeros(0)
+        width, channels = (2 if i == "pcm16" else width), (2 if i == "stereo" else 1)
+        _write(tmp_path / f"{i}.wav", x, rate, width, channels)
+    (tmp_path / "corrupt.wav").write_bytes((tmp_path / "ok2.wav").read_bytes()[:20])
+    script = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts.items())], "id string, text string, pos long")
+    evaluation = spark.createDataFrame([("bu cümle ölçüm kümesinde aynen duruyor işte",)], "text string")
+    records = validation.validate(script, readers.read_wavs(spark, str(tmp_path)), evaluation, "abcçdefgğhıijklmnoöprsştuüvyz ").cache()
+    got = {r.id: r for r in records.collect()}
+    want = {
+        "short": "too short", "long": "too long", "clip": "clipping", "silent": "no speech detected", "lowsr": "low sample rate", "dup": "duplicate audio", "emptytext": "empty transcript",
+        "mojibake": "encoding problem in transcript", "leak": "evaluation-set leakage", "corrupt": "unreadable audio", "orphan": "no transcript for this audio file (id not in script)", "empty0": "empty audio (0 samples)",
+    }
+    assert {i: r.errors[0].split(":")[0] for i, r in got.items() if not r.accepted} == want
+    noticed = {"sr44": "sample rate", "stereo": "channels", "pcm16": "bit depth", "mismatch": "speaking rate", "noedge": "no leading silence", "noisy": "low estimated SNR"}
+    assert {i: w for i, w in noticed.items() if w not in [m.split(":")[0] for m in got[i].warnings]} == {}
+    assert got["ok1"].errors == got["ok1"].warnings == got["ok2"].warnings == [] and got["noisy"].snr_db is None
+    assert got["dup"].errors == ["duplicate audio: same samples as ok1"] and got["lowsr"].errors == ["low sample rate: 16000 Hz < 22050 Hz"] and got["short"].errors == ["too short: 0.34s < 0.5s"]
+    assert got["sr44"].warnings == ["sample rate: 44100 Hz (expected 48000)"] and got["pcm16"].warnings == ["bit depth: PCM_16 (24-bit recommended)"]
+    s = validation.summary(script, records)
+    assert (s["script_entries"], s["audio_files"], s["missing_audio"], s["accepted"], s["rejected"], s["with_warnings"]) == (20, 20, 1, 8, 12, 6)
+    assert s["sample_rates"] == {"48000": 17, "16000": 1, "44100": 1} and s["channels"] == {"1": 18, "2": 1} and s["subtypes"] == {"PCM_24": 18, "PCM_16": 1}
+    assert s["error_types"]["duplicate audio"] == 1 and s["warning_types"]["speaking rate"] >= 1 and s["letter_counts"]["ç"] >= 8 and s["accepted_audio"]["n"] == 8
+    assert readers.read_wavs(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stream_resumes(spark, tmp_path):
     from curalith.streaming.resume import append_new
 
