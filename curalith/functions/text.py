@@ -44,9 +44,11 @@ def ngrams(words_: Column, n: int) -> Column:
 
 
 def ngram_hashes(words_: Column, n: int) -> Column:
-    """64-bit hashes of the runs of n words, in order: equal runs have equal ones."""
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-    return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<bigint>")))
+    """128-bit hashes (a, b) of the runs of n words, in order: equal runs have equal ones."""
+    run = lambda w, i: [F.get(w, i + k) for k in range(n)]
+    both = lambda w: lambda i: F.struct(*[F.xxhash64(F.lit(seed), *run(w, i)).alias(name) for seed, name in enumerate("ab")])
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), both(w))
+    return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>")))
 
 
 def letters(text: Column) -> Column:
