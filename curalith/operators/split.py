@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalith.operators.ranking import ranked_by_hash
+
 
 def seeded(seed: int | str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
@@ -17,12 +19,11 @@ def holdout(n: Column, ratio: float) -> Column:
 
 def assign_splits(records: DataFrame, seed: int = 42, val_ratio: float = 0.05, test_ratio: float = 0.05) -> DataFrame:
     """``records`` (id, text, category) with split: texts that are equal but for case stay together,
-    under the category of their first id, and are ranked in it by a seeded hash.  A null category
-    is "unknown".  Ranks need a category's groups (not its records) in order."""
-    keyed = records.withColumn("key", F.lower("text"))
+    under the category of their first id, and are ranked in it by a seeded hash, found by ranges
+    of the hash.  A null category is "unknown"; a null text has no split.  Texts aren't shuffled."""
+    keyed = records.select("id", "category", seeded(seed, F.lower("text")).alias("key")).filter("key IS NOT NULL")
     groups = keyed.groupBy("key").agg(F.min_by(F.coalesce("category", F.lit("unknown")), "id").alias("stratum"))
-    order = Window.partitionBy("stratum").orderBy(seeded(seed, F.col("key")))
-    ranked = groups.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("stratum"))})
+    ranked = ranked_by_hash(groups, "stratum", "key")
     n_test = holdout(F.col("n"), test_ratio)
     n_val = holdout(F.col("n") - n_test, val_ratio)
     ranked = ranked.select("key", "stratum", F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_val, "val").otherwise("train").alias("split"))

@@ -11,6 +11,7 @@ from curalith.functions import signal as S
 from curalith.functions.text import MOJIBAKE, fixed, letters, message_type, rounded, unmappable
 from curalith.operators.duplicates import first_occurrence
 from curalith.operators.leak import leaks
+from curalith.operators.ranking import exact_median
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,7 @@ def message_counts(records: DataFrame) -> DataFrame:
 def duration_stats(rows: DataFrame, column: str) -> DataFrame:
     """Count, total, mean, median, least and most of the values that are neither null nor 0."""
     kept = rows.filter(F.col(column) != 0)
-    return kept.agg(F.count("*").alias("n"), (F.sum(column) / 60).alias("total_min"), F.avg(column).alias("mean_s"), F.median(column).alias("median_s"), F.min(column).alias("min_s"), F.max(column).alias("max_s"))
+    return kept.agg(F.count("*").alias("n"), (F.sum(column) / 60).alias("total_min"), F.avg(column).alias("mean_s"), F.lit(exact_median(kept, column)).cast("double").alias("median_s"), F.min(column).alias("min_s"), F.max(column).alias("max_s"))
 
 
 def letter_counts(texts: DataFrame, alphabet: str) -> DataFrame:
@@ -175,6 +176,11 @@ def letter_counts(texts: DataFrame, alphabet: str) -> DataFrame:
     return totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.col(f"n{k}").alias("n")) for k, c in enumerate(shown)])).alias("x")).select("x.letter", "x.n")
 
 
+def read_seconds(text: Column) -> Column:
+    """How long a sentence takes to read: 14 characters a second and 0.35 s for each comma."""
+    return F.length(text) / 14.0 + 0.35 * (F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))))
+
+
 def too_long_to_read(text: Column, limit: float = 14.0) -> Column:
-    """Whether a sentence's estimated length (14 characters a second, 0.35 s a comma) is over the limit."""
-    return F.length(text) / 14.0 + 0.35 * (F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))) > limit
+    """Whether a sentence's estimated length is over the limit."""
+    return read_seconds(text) > limit

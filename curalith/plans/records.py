@@ -1,10 +1,9 @@
 """Queries over records: splits, duplicates, joins, validation."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curalith.functions import text as X
-from curalith.operators import duplicates, joins, leak, split, validation
+from curalith.operators import duplicates, joins, leak, ranking, script, split, validation
 from curalith.plans.registry import Registry, table
 from curalith.plans.texts import _LEAKS, _OUTSIDE, VOCABULARY
 
@@ -56,7 +55,7 @@ SELECT id, coalesce(previous_id, -1) AS previous_id FROM (SELECT *, lag(id) OVER
 def dup_prev(spark, sf_dir):
     rows = lambda name, key, rank: table(spark, sf_dir, name).select(F.lit(rank).alias("rank"), F.col(key).alias("id"), "text")
     both = rows("benchmark", "item_id", 0).unionByName(rows("documents", "doc_id", 1))
-    return duplicates.previous_occurrence(both, F.lower("text"), ["rank", "id"], "id").filter("rank = 1").select("id", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"))
+    return duplicates.previous_occurrence(both, F.lower("text"), ["rank", "id"], "id", F.struct("rank", F.floor(F.col("id") / 1_000_000).alias("million"))).filter("rank = 1").select("id", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"))
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -75,10 +74,8 @@ def audio_transcripts(spark, sf_dir):
     scripts = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("text"), (-F.col("doc_id")).alias("pos"))
     joined = joins.with_transcripts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), scripts)
     # the place in the whole order, by ranges: rows with a script first
-    numbered = joined.select("id", "has_text", F.array_join("errors", "; ").alias("error"), "place")
-    ranked = numbered.withColumn("r", F.row_number().over(Window.partitionBy("has_text").orderBy("place")))
-    known = numbered.filter("has_text").agg(F.count("*").alias("known"))
-    return ranked.crossJoin(F.broadcast(known)).select("id", "has_text", "error", F.when(F.col("has_text"), F.col("r")).otherwise(F.col("r") + F.col("known")).alias("k"))
+    placed = joined.select("id", "has_text", F.array_join("errors", "; ").alias("error"), "place.orphan", F.coalesce("pos", "id").alias("at"))
+    return ranking.numbered(placed, "orphan", "at", ["id"], "k").select("id", "has_text", "error", "k")
 
 
 @query("SELECT clip_id FROM (SELECT doc_id::VARCHAR AS clip_id FROM documents) WHERE clip_id NOT IN (SELECT doc_id::VARCHAR FROM labels)")
@@ -140,6 +137,26 @@ def error_types(spark, sf_dir):
     return validation.message_counts(_flagged(spark, sf_dir).withColumn("warnings", F.array().cast("array<string>")))
 
 
+_SCRIPT = _LEAKS + f""",
+  a AS (SELECT 0 AS turn, conv_id AS pos, turn AS second, 'conversations:' || conv_id AS label, NULL AS id, text FROM conversations UNION ALL SELECT 1, doc_id, 0, doc_id::VARCHAR, doc_id, text FROM documents),
+  p AS (SELECT *, lag(label) OVER (PARTITION BY lower(text) ORDER BY turn, pos, label) AS previous FROM a),
+  s AS (SELECT id, text, previous, length(text) / 14.0::DOUBLE + 0.35::DOUBLE * (length(text) - length(replace(text, ',', ''))) AS seconds, {_OUTSIDE} AS outside FROM p WHERE turn = 1)
+SELECT s.id, lang AS category, printf('%.1f', seconds) AS est_seconds, array_to_string(list_filter([CASE WHEN s.id IN (SELECT conv_id FROM conversations) THEN 'id is used in another script' END,
+  CASE WHEN same.doc_id IS NOT NULL THEN 'identical sentence' WHEN found.doc_id IS NOT NULL THEN 'shared run: ' || first_gram END, 'duplicate of ' || previous,
+  CASE WHEN len(outside) > 0 THEN 'unmappable characters: ' || array_to_string(outside, ' ') END, CASE WHEN seconds > 14 THEN 'estimated ' || printf('%.1f', seconds) || 's exceeds 14.0s' END], lambda x: x IS NOT NULL), '; ') AS errors
+FROM s JOIN documents d ON d.doc_id = s.id LEFT JOIN found ON found.doc_id = s.id LEFT JOIN same ON same.doc_id = s.id"""
+
+
+@query(_SCRIPT)
+def recording_script(spark, sf_dir):
+    """A script of the documents; the conversations' turns are another one.  Texts are read as they
+    stand, which SQL can say too."""
+    docs = _records(spark, sf_dir).withColumn("pos", F.col("id"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text", F.lit("conversations").alias("origin"), F.col("conv_id").alias("pos"))
+    found = script.recording_script(docs, table(spark, sf_dir, "benchmark"), VOCABULARY, turns, prepare=None)
+    return found.select("id", "category", "est_seconds", F.array_join("errors", "; ").alias("errors"))
+
+
 @query("SELECT count(*) AS n, sum(value) / 60 AS total_min, avg(value) AS mean_s, median(value) AS median_s, min(value) AS min_s, max(value) AS max_s FROM events WHERE value <> 0")
 def duration_stats(spark, sf_dir):
     return validation.duration_stats(table(spark, sf_dir, "events"), "value")

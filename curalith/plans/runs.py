@@ -66,8 +66,7 @@ def finalize_consistency(spark, sf_dir):
 @query(_LOG + "SELECT source, count(*) AS clips, count(*) FILTER (k) AS kept, count(*) FILTER (k) / count(*) AS kept_ratio, coalesce(sum(duration_s) FILTER (k), 0) / 60 AS kept_minutes FROM (SELECT log.*, coalesce(verdict = 'kept', false) AS k FROM log LEFT JOIN (SELECT clip_id, verdict FROM v) USING (clip_id)) GROUP BY source")
 def per_source_kept(spark, sf_dir):
     log = _log(spark, sf_dir)
-    verdicts = takes.finalize(log).select("clip_id", "verdict")
-    return takes.kept_by_source(log.join(verdicts, "clip_id", "left").withColumn("k", F.coalesce(F.col("verdict") == "kept", F.lit(False))), F.col("k"))
+    return takes.kept_by_source(takes.judged(log, takes.voice_median(log)), F.col("verdict") == "kept")
 
 
 @query(_LOG + "SELECT string_split(r, ':')[1] AS reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, '; ')) AS r FROM log WHERE status = 'rejected') WHERE r <> '' GROUP BY 1")
@@ -85,6 +84,31 @@ def stat_triple(spark, sf_dir):
     return takes.stat_triple(_log(spark, sf_dir), "end_db")
 
 
+_TRIPLE = "SELECT '{p}' AS part, unnest(['n', 'median', 'max']) AS name, unnest([count({c})::DOUBLE, printf('%.2f', median({c}))::DOUBLE, printf('%.2f', max({c}))::DOUBLE]) AS value FROM a WHERE {w}"
+_SUMMARY = _LOG + """, a AS (SELECT log.*, coalesce(verdict, 'rejected') AS verdict, coalesce(verdict = 'kept', false) AS k, 'c' || (clip_id % 3) AS category, clip_id % 5 + 1 AS attempts, median_f0_hz - 80 AS min_f0_hz, CASE WHEN clip_id % 4 > 0 THEN duration_s / 7 END AS max_drop_st FROM log LEFT JOIN (SELECT clip_id, verdict FROM v) USING (clip_id)),
+  t AS (SELECT count(*)::DOUBLE AS clips_total, count(*) FILTER (status = 'accepted')::DOUBLE AS accepted_by_generation, count(*) FILTER (verdict = 'inconsistent')::DOUBLE AS excluded_by_consistency, count(*) FILTER (verdict = 'end_cut')::DOUBLE AS excluded_by_end_cut, count(*) FILTER (k)::DOUBLE AS kept,
+    printf('%.3f', count(*) FILTER (k) / count(*))::DOUBLE AS kept_ratio, printf('%.2f', sum(duration_s) FILTER (k) / 60)::DOUBLE AS kept_minutes, printf('%.3f', sum(compute_s) / 3600)::DOUBLE AS compute_hours, printf('%.1f', median(median_f0_hz) FILTER (status = 'accepted'))::DOUBLE AS voice_median_f0_hz, printf('%.2f', sum(compute_s) / sum(duration_s) FILTER (k))::DOUBLE AS compute_s_per_kept_audio_s FROM a)
+SELECT 'total' AS part, name, value FROM (UNPIVOT t ON * INTO NAME name VALUE value)
+UNION ALL SELECT 'source_clips', source, count(*) FROM a GROUP BY source
+UNION ALL SELECT 'source_kept', source, count(*) FILTER (k) FROM a GROUP BY source
+UNION ALL SELECT 'source_kept_minutes', source, printf('%.2f', coalesce(sum(duration_s) FILTER (k), 0) / 60)::DOUBLE FROM a GROUP BY source
+UNION ALL SELECT 'category_of_kept', category, count(*) FROM a WHERE k GROUP BY category
+UNION ALL SELECT 'scale_of_kept', scale::VARCHAR, count(*) FROM a WHERE k GROUP BY scale
+UNION ALL SELECT 'attempts_of_kept', attempts::VARCHAR, count(*) FROM a WHERE k GROUP BY attempts
+UNION ALL SELECT 'reject_reasons', string_split(r, ':')[1], count(*) FROM (SELECT unnest(string_split(reasons, '; ')) AS r FROM a WHERE status = 'rejected') WHERE r <> '' GROUP BY 2
+UNION ALL """ + " UNION ALL ".join(_TRIPLE.format(p=p, c=c, w=w) for p, c, w in (("min_f0_hz_kept", "min_f0_hz", "k"), ("min_f0_hz_rejected", "min_f0_hz", "status = 'rejected'"), ("max_drop_st_kept", "max_drop_st", "k")))
+
+
+@query(_SUMMARY)
+def finalize_summary(spark, sf_dir):
+    clip = F.col("clip_id")
+    log = _log(spark, sf_dir).withColumns({
+        "category": F.concat(F.lit("c"), (clip % 3).cast("string")), "attempts": clip % 5 + 1, "min_f0_hz": F.col("median_f0_hz") - 80,
+        "max_drop_st": F.when(clip % 4 > 0, F.col("duration_s") / 7),
+    })
+    return takes.summary(log)
+
+
 @query(_LOG + "SELECT sum(compute_s) / sum(CASE WHEN status = 'accepted' THEN duration_s ELSE 0 END) AS compute_per_audio FROM log")
 def compute_ratio(spark, sf_dir):
     return takes.compute_ratio(_log(spark, sf_dir), F.col("status") == "accepted")
@@ -104,6 +128,21 @@ def compare_pivot(spark, sf_dir):
     return comparison.side_by_side(sentences, _results(spark, sf_dir), "sentence_id", ["O", "F"], ["time_s", "duration_s"])
 
 
+_SHOWN = ", ".join(f"coalesce({m}.audio, '') AS {m.upper()}_audio, coalesce(printf('%.2f', {m}.time_s), '') AS {m.upper()}_time_s, coalesce(printf('%.2f', {m}.duration_s), '') AS {m.upper()}_duration_s, coalesce(printf('%.1f', {m}.drop_st), '') AS {m.upper()}_drop_st" for m in "of")
+_SHEET = "WITH r AS (SELECT o_custkey AS sentence_id, o_orderstatus AS model, 'order ' || o_orderkey AS audio, o_totalprice::DOUBLE / 1000 AS time_s, o_totalprice::DOUBLE / 70 AS duration_s, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice::DOUBLE / 30000 END AS drop_st FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY 'order ' || o_orderkey) = 1) "
+
+
+@query(_SHEET + f"SELECT c_custkey AS sentence_id, c_mktsegment AS category, {_SHOWN} FROM customer LEFT JOIN (SELECT * FROM r WHERE model = 'O') o ON o.sentence_id = c_custkey LEFT JOIN (SELECT * FROM r WHERE model = 'F') f ON f.sentence_id = c_custkey")
+def compare_sheet(spark, sf_dir):
+    price = F.col("o_totalprice").cast("double")
+    results = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("sentence_id"), F.col("o_orderstatus").alias("model"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("audio"),
+        (price / 1000).alias("time_s"), (price / 70).alias("duration_s"), F.when(F.col("o_orderkey") % 3 > 0, price / 30000).alias("drop_st"),
+    )
+    sentences = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sentence_id"), F.col("c_mktsegment").alias("category"))
+    return comparison.comparison_sheet(sentences, results, "sentence_id", ["O", "F"])
+
+
 @query(_RESULTS + "SELECT model, count(*) AS n, sum(time_s) / sum(duration_s) AS rtf, count(*) FILTER (drop_st >= 5) AS drifted FROM r GROUP BY model")
 def rtf_by_model(spark, sf_dir):
     return comparison.real_time_factors(_results(spark, sf_dir))

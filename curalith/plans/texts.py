@@ -7,6 +7,7 @@ from curalith.functions import text as X
 from curalith.functions.normalizer import normalized
 from curalith.operators import leak
 from curalith.operators.validation import letter_counts as count_letters
+from curalith.operators.validation import read_seconds
 from curalith.plans.registry import Registry, table
 
 query = Registry()
@@ -35,6 +36,13 @@ def leak_exact(spark, sf_dir):
     return leak.exact_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("SELECT doc_id FROM documents WHERE lower(text) IN (SELECT lower(text) FROM documents JOIN labels USING (doc_id))")
+def leak_exact_labelled(spark, sf_dir):
+    """As leak_exact; the evaluation sentences are the texts of the labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    return leak.exact_leaks(docs, docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"))
+
+
 @query(_LEAKS + "SELECT coalesce(f.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NOT NULL THEN 'identical sentence' ELSE 'shared run: ' || first_gram END AS reason FROM found f FULL JOIN same s ON f.doc_id = s.doc_id")
 def leak_reasons(spark, sf_dir):
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -130,4 +138,4 @@ def letter_counts(spark, sf_dir):
 @query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(text) / 14.0::DOUBLE + 0.35::DOUBLE * (length(text) - length(replace(text, ',', ''))) AS seconds FROM documents")
 def length_estimates(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.letters(text).alias("letters"), (F.length(text) / 14.0 + 0.35 * (F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))))).alias("seconds"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.letters(text).alias("letters"), read_seconds(text).alias("seconds"))
