@@ -28,6 +28,8 @@ from curalith.llm.storage import shuffle_width
 #: pair's two hashes each.
 EXACT, PACKED = 4, 32
 LANE = (1 << 32) - 1
+#: Bytes of text for each task; blocks for each task, so that their hashes fill the tasks evenly.
+TASK_BYTES, BLOCKS = 1 << 26, 8
 _EVERY_16 = 0x0001000100010001
 
 
@@ -96,23 +98,33 @@ def likeness(exact_a: Column, pairs_a: Column, lanes_a: Column, exact_b: Column,
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``docs`` (doc_id, text) with block: ranges of doc_id, higher ones for higher ids; -1 for null."""
+    """``docs`` (doc_id, h) with block: ranges of doc_id, higher ones for higher ids.  Rows without a
+    doc_id, which are ordered by h, have the blocks -1 to -16 by its highest bits."""
     quantiles = [k / blocks for k in range(1, blocks)]
-    bounds = docs.agg(F.percentile_approx("doc_id", quantiles, 10_000)).first()[0] if quantiles else None
+    bounds = docs.agg(F.percentile_approx("doc_id", quantiles, max(10_000, 4 * blocks))).first()[0] if quantiles else None
     inner = sorted(set(bounds or []))
-    block = F.size(F.filter(F.array(*[F.lit(x) for x in inner]), lambda x: x <= F.col("doc_id"))) if inner else F.lit(0)
-    return docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(block))
+    step = max(1, int(len(inner) ** 0.5))
+    array = lambda xs: F.expr("CAST(array(" + ", ".join(map(str, xs)) + ") AS array<bigint>)")
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+    # first among every step-th bound, then among those up to the next of these
+    docs = docs.withColumn("coarse", upto(array(inner[::step])))
+    passed = F.greatest(F.col("coarse") - 1, F.lit(0)) * step
+    fine = passed + upto(F.slice(array(inner), passed + 1, step))
+    unnamed = -1 - (F.shiftright("h", 60) + 8).cast("int")
+    return docs.withColumn("block", F.when(F.col("doc_id").isNull(), unnamed).when(F.col("coarse") == 0, 0).otherwise(fine)).drop("coarse")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows in descending doc_id with the next one's text: block, place (from 1 in its block),
     last (whether it is its block's last), doc_id, text, next_text."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = in_blocks(docs, shuffle_width(docs.sparkSession)).withColumn("h", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(shuffle_width(docs.sparkSession), -(-size // TASK_BYTES))
+    docs = in_blocks(docs.withColumn("h", F.xxhash64("text")), BLOCKS * tasks).repartition(tasks, "block")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
     rows = docs.select("block", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"))
     heads = rows.filter("place = 1").select("block", F.col("text").alias("head_text"))
-    # one row for each block: as many as there are shuffle partitions
+    # one row for each block
     everywhere = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = Window.orderBy(F.desc("block"))
     following = heads.select(F.col("block").alias("of"), F.coalesce(F.lead("head_text").over(turn), F.first("head_text").over(everywhere)).alias("head_text"))

@@ -355,6 +355,18 @@ def test_op8_edits_and_equality(spark, documents):
     assert op8.fingerprint_edits(documents([])).count() == 0 and op8.fingerprint_edits(documents([(1, "ab cd")])).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("task_bytes", [1 << 26, 500])
+def test_op8_order_over_blocks(spark, documents, monkeypatch, task_bytes):
+    """The next document over many blocks, ids far apart and rows without an id, which are ordered by hash."""
+    monkeypatch.setattr(op8, "TASK_BYTES", task_bytes)
+    rows = [(i * i * 1000 - 5000, f"text {i} " + words(i, i % 9)) for i in range(150)] + [(None, f"no id {i}") for i in range(60)]
+    hashes = {r.text: r.h for r in documents(rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted((r for r in rows if r[0] is not None), reverse=True)] + sorted((t for i, t in rows if i is None), key=hashes.get)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    got = {r.text: r.next_text for r in op8.with_next(documents(rows)).collect()}
+    assert got == following and op8.fingerprint_edits(documents(rows)).count() == len(rows)
+
+
 def test_op8_lanes_and_likeness_against_brute_force(spark):
     """Fingerprints added up in Python from the hashes that Spark gives, and likeness from all pairs."""
     texts = [words(1, 300), words(1, 300).replace("a", "b", 40), words(2, 250) + "\n" + words(1, 80), "", "a b\na b"]
