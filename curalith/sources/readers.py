@@ -129,3 +129,10 @@ def read_wavs(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     named = files.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("id"), "content")
     return named.mapInPandas(decoded, schema)
+
+
+def read_latents(spark: SparkSession, path: str) -> DataFrame:
+    """Shards of latents (Parquet with id, text and latent, an array of frames, as ``write_shards``
+    leaves them): id, text (empty where there is none), latent, n_frames, ready for ``training.admitted``."""
+    frames = F.coalesce(F.size(F.filter("latent", lambda x: x.isNotNull())), F.lit(0))
+    return spark.read.parquet(path).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "latent", frames.alias("n_frames"))
