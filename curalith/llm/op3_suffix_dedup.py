@@ -5,14 +5,18 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document wi
 1. Each string's anchor is the least hash among its grams of ``GRAM`` bytes, so equal strings have
    equal anchors.  Texts are read once into a table of chunks, bucketed by chunk; the anchors of
    each chunk are dealt out by hash, and those that stand in two documents are sent back.  All
-   strings without such an anchor are alone.
+   strings without such an anchor are alone.  An anchor of more than ``HOT_CHUNKS`` chunks (a line
+   that very many documents have, in other surroundings each) is sent back marked as hot: each
+   string that has it gets the hash of all its bytes as an anchor of its own, and these are dealt
+   and sent back in the same way.
 2. Runs of strings with one anchor are dealt out by it as text, each run of a chunk once with its
    least doc_id.  Their suffixes are sorted by the first LENGTH bytes: multikey quicksort, eight
    bytes a key, to a shallow depth; a group that is still together is compared with its first
    member, and what differs goes through a blind trie.  That gives each string's least doc_id.
 3. The answers go back to the chunks, whose documents lose the bytes.
 
-A string that very many documents share makes one run for each chunk, not for each document.
+A string that very many documents share makes one run for each chunk, not for each document, and
+all runs of one anchor together are those of at most HOT_CHUNKS chunks, or copies of one string.
 Chunks join their anchors and answers where they lie (the table's buckets).
 
 Defined results: null texts are empty; rows with a null doc_id come after all others (their bytes
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from hashlib import sha256
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,8 @@ CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 19
 #: Bytes of the multikey quicksort; blind tries go on from there.
 SHALLOW = 24
 PEELED = 3
+#: Anchors of more chunks than this are hot: their strings are dealt one by one.
+HOT_CHUNKS = 64
 _LAST = np.iinfo(np.int64).max
 
 
@@ -69,6 +76,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return first, many, anchor, np.searchsorted(offsets, first, "right") - 1
 
 
+def _is_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def _each(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from ``first`` on, ``many`` of them, for each run."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 class Chunk:
     """A row of the table of chunks."""
 
@@ -78,14 +96,29 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(1, int(self.offsets[-1]))), np.uint8)
 
-    def shared_runs(self, anchors: np.ndarray, length: int, buckets: int):
-        """The runs whose anchor is in ``anchors`` (ascending), and the distinct ones among them:
-        first, many, document, which distinct run each is, and of the distinct ones a place, the
-        least id and the bucket, in an order that depends on the chunk and ``anchors`` only."""
-        first, many, anchor, doc = runs(self.data, self.offsets, length)
-        at = np.searchsorted(anchors, anchor)
-        keep = anchors[np.minimum(at, len(anchors) - 1)] == anchor if len(anchors) else np.zeros(len(anchor), bool)
-        first, many, anchor, doc = first[keep], many[keep], anchor[keep], doc[keep]
+    def single_strings(self, found: tuple, hot: np.ndarray, length: int):
+        """Of the runs ``found`` those with a hot anchor, string by string, as runs of one string
+        with the hash of all its bytes for an anchor."""
+        first, many, anchor, doc = found
+        own = _is_in(anchor, hot)
+        at = _each(first[own], many[own])
+        whole = mix(span_hashes(self.data, at, at + length) ^ np.uint64(0x2545F4914F6CDD1D)) & ~np.uint64(1)
+        return at, np.ones(len(at), np.int64), whole, np.repeat(doc[own], many[own])
+
+    def shared_runs(self, row: dict, length: int, buckets: int):
+        """The runs that share an anchor of ``row``, and the distinct ones among them: first, many,
+        document, which distinct run each is, and of the distinct ones a place, the least id and
+        the bucket, in an order that depends on the chunk and the anchors only."""
+        anchors, singles = _joined_anchors(row["anchors"]), _joined_anchors(row["singles"])
+        is_hot = anchors & np.uint64(1) > 0
+        found = runs(self.data, self.offsets, length)
+        cool = _is_in(found[2], anchors[~is_hot])
+        parts = [tuple(x[cool] for x in found)]
+        if is_hot.any():
+            alone = self.single_strings(found, anchors[is_hot] - np.uint64(1), length)
+            keep = _is_in(alone[2], singles)
+            parts.append(tuple(x[keep] for x in alone))
+        first, many, anchor, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         text = span_hashes(self.data, first, first + many + length - 1) ^ mix(anchor + many.astype(np.uint64))
         bucket = (mix(anchor) >> np.uint64(20)).astype(np.int64) % buckets
         order = np.lexsort((self.ids[doc], text, bucket))
@@ -116,53 +149,80 @@ def _chunked(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["chunk", "ids", "offsets", "texts"])
 
 
-def _anchors(length: int, buckets: int):
+def _dealt(chunk: Chunk, anchor: np.ndarray, doc: np.ndarray, buckets: int):
     """(bucket, chunk, payload): a chunk's distinct anchors, the lowest bit set where two of its
     documents have one."""
+    order = np.lexsort((doc, anchor))
+    a, d = anchor[order], chunk.ids[doc[order]]
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    a = a[first] | several.astype(np.uint64)
+    bucket = (mix(a & ~np.uint64(1)) >> np.uint64(20)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    out = [a[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk.number] * len(used), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "payload"])
+
+
+def _anchors(length: int, buckets: int):
+    """The anchors of all strings of a chunk."""
 
     def run(batches):
         for row in _rows(batches):
             chunk = Chunk(row)
             _, _, anchor, doc = runs(chunk.data, chunk.offsets, length)
-            order = np.lexsort((doc, anchor))
-            a, d = anchor[order], chunk.ids[doc[order]]
-            first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else order
-            if not len(a):
-                continue
-            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-            a = a[first] | several.astype(np.uint64)
-            bucket = (mix(a & ~np.uint64(1)) >> np.uint64(20)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            out = [a[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk.number] * len(used), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "payload"])
+            if len(anchor):
+                yield _dealt(chunk, anchor, doc, buckets)
 
     return run
 
 
-def _shared(batches):
-    """(chunk, anchors): of the anchors dealt to a partition those that two documents have."""
-    found, owners, numbers = [], [], []
-    for batch in batches:
-        for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            found.append(np.frombuffer(raw, np.uint64))
-            owners.append(np.full(len(found[-1]), len(numbers), np.int64))
-            numbers.append(chunk)
-    if not found:
-        return
-    a, of = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(a, kind="stable")
-    plain = (a[order] >> np.uint64(1)) << np.uint64(1)
-    first = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
-    many = np.diff(np.append(first, len(plain)))
-    keep = np.repeat((many > 1) | (np.maximum.reduceat(a[order] & np.uint64(1), first) > 0), many)
-    plain, chunk = plain[keep], np.asarray(numbers)[of[order[keep]]]
-    order = np.argsort(chunk, kind="stable")
-    plain, chunk = plain[order], chunk[order]
-    first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
-    for lo, hi in zip(first, [*first[1:], len(chunk)], strict=True) if len(chunk) else ():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk[lo]], pa.int64()), pa.array([plain[lo:hi].tobytes()], pa.binary())], names=["chunk", "anchors"])
+def _single_anchors(length: int, buckets: int):
+    """The anchors of the single strings of a chunk."""
+
+    def run(batches):
+        for row in _rows(batches):
+            chunk, anchors = Chunk(row), _joined_anchors(row["anchors"])
+            hot = anchors[anchors & np.uint64(1) > 0] - np.uint64(1)
+            if len(hot):
+                _, _, anchor, doc = chunk.single_strings(runs(chunk.data, chunk.offsets, length), hot, length)
+                yield _dealt(chunk, anchor, doc, buckets)
+
+    return run
+
+
+def _by_bucket(batches, *columns: str):
+    """The rows of each bucket in turn; a bucket's rows are neighbours."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns)), strict=True))
+    for bucket, own in groupby(rows, lambda row: row[0]):
+        yield bucket, [row[1:] for row in own]
+
+
+def _shared(hot_chunks: int | None):
+    """(chunk, anchors): of the anchors of each bucket those that two documents have, the lowest bit
+    set where more than ``hot_chunks`` chunks have one."""
+
+    def run(batches):
+        for _, rows in _by_bucket(batches, "chunk", "payload"):
+            numbers = np.array([chunk for chunk, _ in rows], np.int64)
+            found = [np.frombuffer(raw, np.uint64) for _, raw in rows]
+            a, of = np.concatenate(found), np.repeat(numbers, [len(x) for x in found])
+            order = np.argsort(a, kind="stable")
+            plain = a[order] & ~np.uint64(1)
+            first = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
+            many = np.diff(np.append(first, len(plain)))
+            keep = np.repeat((many > 1) | (np.maximum.reduceat(a[order] & np.uint64(1), first) > 0), many)
+            if hot_chunks is not None:
+                plain |= np.repeat(many > hot_chunks, many).astype(np.uint64)
+            plain, chunk = plain[keep], of[order[keep]]
+            order = np.argsort(chunk, kind="stable")
+            plain, chunk = plain[order], chunk[order]
+            first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
+            parts = [x.tobytes() for x in np.split(plain, first[1:])] if len(chunk) else []
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[first], pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "anchors"])
+
+    return run
 
 
 def _joined_anchors(parts: list[bytes] | None) -> np.ndarray:
@@ -176,13 +236,13 @@ def _texts(length: int, buckets: int):
         press = zstandard.ZstdCompressor(level=1)
         for row in _rows(batches):
             chunk = Chunk(row)
-            *_, first, many, least, bucket = chunk.shared_runs(_joined_anchors(row["anchors"]), length, buckets)
+            *_, first, many, least, bucket = chunk.shared_runs(row, length, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             out_bucket, out = [], []
             for b in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[b], cuts[b + 1])
                 size = many[own] + length - 1
-                at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                at = _each(first[own], size)
                 out_bucket.append(int(b))
                 out.append(press.compress(np.int64(len(size)).tobytes() + least[own].tobytes() + many[own].astype(np.uint32).tobytes() + chunk.data[at].tobytes()))
             if out:
@@ -274,13 +334,8 @@ def _least_ids(length: int):
     each, as lengths and values of stretches."""
 
     def run(batches):
-        by_bucket: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for bucket, chunk, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "payload")), strict=True):
-                by_bucket.setdefault(bucket, []).append((chunk, raw))
         press = zstandard.ZstdDecompressor()
-        for bucket in list(by_bucket):
-            given = by_bucket.pop(bucket)
+        for bucket, given in _by_bucket(batches, "chunk", "payload"):
             texts, starts, ids, totals, before = [], [], [], [], 0
             for _, raw in given:
                 raw = press.decompress(raw)
@@ -289,7 +344,7 @@ def _least_ids(length: int):
                 texts.append(np.frombuffer(raw, np.uint8, offset=8 + 12 * n))
                 size = many + length - 1
                 begin = np.cumsum(size) - size + before
-                starts.append(np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+                starts.append(_each(begin, many))
                 ids.append(np.repeat(least, many))
                 totals.append(int(many.sum()))
                 before += len(texts[-1])
@@ -322,11 +377,10 @@ def _cut(length: int, buckets: int, with_bytes: bool):
             data, offsets, ids = chunk.data, chunk.offsets, chunk.ids
             gone = np.zeros(len(data) + 1, np.int32)
             if row["anchors"]:
-                first, many, doc, which, *_, size, _, bucket = chunk.shared_runs(_joined_anchors(row["anchors"]), length, buckets)
+                first, many, doc, which, *_, size, _, bucket = chunk.shared_runs(row, length, buckets)
                 answer = np.concatenate([_stretched(x["answer"]) for x in sorted(row["answers"] or [], key=lambda x: x["bucket"])] or [np.zeros(0, np.int64)])
                 start = np.cumsum(size) - size  # of each distinct run in the answers
-                at = np.repeat(start[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                at, place = _each(start[which], many), _each(first, many)
                 hit = place[answer[at] < np.repeat(ids[doc], many)]
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + length, -1)
@@ -355,12 +409,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     made = docs.select("doc_id", "text").mapInArrow(_chunked, "chunk long, ids binary, offsets binary, texts binary")
     made.write.bucketBy(width, "chunk").option("path", new_folder(spark, "chunks")).format("parquet").saveAsTable(name)
     table = spark.table(name)
-    dealt = table.mapInArrow(_anchors(length, buckets), "bucket int, chunk long, payload binary").repartition(width, "bucket")
-    anchors = dealt.mapInArrow(_shared, "chunk long, anchors binary").groupBy("chunk").agg(F.collect_list("anchors").alias("anchors"))
-    path = new_folder(spark, "anchors")
-    anchors.write.parquet(path)
-    anchors = spark.read.schema(anchors.schema).parquet(path)
-    texts = table.join(anchors, "chunk").mapInArrow(_texts(length, buckets), "bucket int, chunk long, payload binary").repartition(width, "bucket")
+    payload = "bucket int, chunk long, payload binary"
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width, "bucket").sortWithinPartitions("bucket")
+
+    def sent_back(dealt: DataFrame, hot_chunks: int | None, column: str) -> DataFrame:
+        parts = by_bucket(dealt).mapInArrow(_shared(hot_chunks), "chunk long, anchors binary")
+        found = parts.groupBy("chunk").agg(F.collect_list("anchors").alias(column))
+        path = new_folder(spark, column)
+        found.write.parquet(path)
+        return spark.read.schema(found.schema).parquet(path)
+
+    common = sent_back(table.mapInArrow(_anchors(length, buckets), payload), HOT_CHUNKS, "anchors")
+    singles = sent_back(table.join(common, "chunk").mapInArrow(_single_anchors(length, buckets), payload), None, "singles")
+    anchors = common.join(singles, "chunk", "left")
+    texts = by_bucket(table.join(anchors, "chunk").mapInArrow(_texts(length, buckets), payload))
     answers = texts.mapInArrow(_least_ids(length), "chunk long, bucket int, answer binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     whole = table.join(anchors, "chunk", "left").join(answers, "chunk", "left")
     return whole.mapInArrow(_cut(length, buckets, with_bytes), RESULT + (", kept binary" if with_bytes else ""))
