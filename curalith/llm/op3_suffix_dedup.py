@@ -5,8 +5,8 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document wi
 1. Each string's anchor is the least hash among its grams of ``GRAM`` bytes, so equal strings have
    equal anchors.  Texts are read once into a table of chunks, bucketed by chunk; the anchors of
    each chunk are dealt out by hash, and those that stand in two documents are sent back.  All
-   strings without such an anchor are alone.  An anchor of more than ``HOT_CHUNKS`` chunks (a line
-   that very many documents have, in other surroundings each) is sent back marked as hot: each
+   strings without such an anchor are alone.  An anchor of more than ``HOT_RUNS`` different runs (a
+   line that very many documents have, in other surroundings each) is sent back marked as hot: each
    string that has it gets the hash of all its bytes as an anchor of its own, and these are dealt
    and sent back in the same way.
 2. Runs of strings with one anchor are dealt out by it as text, each run of a chunk once with its
@@ -16,7 +16,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document wi
 3. The answers go back to the chunks, whose documents lose the bytes.
 
 A string that very many documents share makes one run for each chunk, not for each document, and
-all runs of one anchor together are those of at most HOT_CHUNKS chunks, or copies of one string.
+the runs of one anchor are about HOT_RUNS at most, or one string, once for each chunk.
 Chunks join their anchors and answers where they lie (the table's buckets).
 
 Defined results: null texts are empty; rows with a null doc_id come after all others (their bytes
@@ -45,8 +45,9 @@ CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 19
 #: Bytes of the multikey quicksort; blind tries go on from there.
 SHALLOW = 24
 PEELED = 3
-#: Anchors of more chunks than this are hot: their strings are dealt one by one.
-HOT_CHUNKS = 64
+#: Anchors of more runs than this are hot: their strings are dealt one by one.  So many runs are at
+#: most about a million strings, some 100 MB in a task.
+HOT_RUNS = 1 << 15
 _LAST = np.iinfo(np.int64).max
 
 
@@ -96,6 +97,10 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(1, int(self.offsets[-1]))), np.uint8)
 
+    def texts_of(self, first: np.ndarray, many: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of whole runs."""
+        return span_hashes(self.data, first, first + many + length - 1) ^ mix(anchor + many.astype(np.uint64))
+
     def single_strings(self, found: tuple, hot: np.ndarray, length: int):
         """Of the runs ``found`` those with a hot anchor, string by string, as runs of one string
         with the hash of all its bytes for an anchor."""
@@ -119,7 +124,7 @@ class Chunk:
             keep = _is_in(alone[2], singles)
             parts.append(tuple(x[keep] for x in alone))
         first, many, anchor, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        text = span_hashes(self.data, first, first + many + length - 1) ^ mix(anchor + many.astype(np.uint64))
+        text = self.texts_of(first, many, anchor, length)
         bucket = (mix(anchor) >> np.uint64(20)).astype(np.int64) % buckets
         order = np.lexsort((self.ids[doc], text, bucket))
         new = np.ones(len(order), bool)
@@ -149,19 +154,24 @@ def _chunked(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["chunk", "ids", "offsets", "texts"])
 
 
-def _dealt(chunk: Chunk, anchor: np.ndarray, doc: np.ndarray, buckets: int):
+def _dealt(chunk: Chunk, found: tuple, length: int, buckets: int):
     """(bucket, chunk, payload): a chunk's distinct anchors, the lowest bit set where two of its
-    documents have one."""
-    order = np.lexsort((doc, anchor))
-    a, d = anchor[order], chunk.ids[doc[order]]
+    documents have one, and the logarithms of how many different runs have each."""
+    first, many, anchor, doc = found
+    text = chunk.texts_of(first, many, anchor, length)
+    order = np.lexsort((text, anchor))
+    a, text, d = anchor[order], text[order], chunk.ids[doc[order]]
     first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
     several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    new = np.append(True, (a[1:] != a[:-1]) | (text[1:] != text[:-1]))
+    size = np.log2(np.add.reduceat(new.astype(np.int64), first)).astype(np.uint8)
     a = a[first] | several.astype(np.uint64)
     bucket = (mix(a & ~np.uint64(1)) >> np.uint64(20)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     used = np.flatnonzero(np.diff(cuts))
-    out = [a[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used]
+    own = [order[cuts[b] : cuts[b + 1]] for b in used]
+    out = [a[x].tobytes() + size[x].tobytes() for x in own]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk.number] * len(used), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "payload"])
 
 
@@ -171,9 +181,9 @@ def _anchors(length: int, buckets: int):
     def run(batches):
         for row in _rows(batches):
             chunk = Chunk(row)
-            _, _, anchor, doc = runs(chunk.data, chunk.offsets, length)
-            if len(anchor):
-                yield _dealt(chunk, anchor, doc, buckets)
+            found = runs(chunk.data, chunk.offsets, length)
+            if len(found[0]):
+                yield _dealt(chunk, found, length, buckets)
 
     return run
 
@@ -186,8 +196,7 @@ def _single_anchors(length: int, buckets: int):
             chunk, anchors = Chunk(row), _joined_anchors(row["anchors"])
             hot = anchors[anchors & np.uint64(1) > 0] - np.uint64(1)
             if len(hot):
-                _, _, anchor, doc = chunk.single_strings(runs(chunk.data, chunk.offsets, length), hot, length)
-                yield _dealt(chunk, anchor, doc, buckets)
+                yield _dealt(chunk, chunk.single_strings(runs(chunk.data, chunk.offsets, length), hot, length), length, buckets)
 
     return run
 
@@ -199,22 +208,23 @@ def _by_bucket(batches, *columns: str):
         yield bucket, [row[1:] for row in own]
 
 
-def _shared(hot_chunks: int | None):
+def _shared(hot_runs: int | None):
     """(chunk, anchors): of the anchors of each bucket those that two documents have, the lowest bit
-    set where more than ``hot_chunks`` chunks have one."""
+    set where more than ``hot_runs`` runs have one."""
 
     def run(batches):
         for _, rows in _by_bucket(batches, "chunk", "payload"):
             numbers = np.array([chunk for chunk, _ in rows], np.int64)
-            found = [np.frombuffer(raw, np.uint64) for _, raw in rows]
+            found = [np.frombuffer(raw, np.uint64, len(raw) // 9) for _, raw in rows]
+            size = np.concatenate([np.frombuffer(raw, np.uint8, offset=len(raw) // 9 * 8) for _, raw in rows]).astype(np.int64)
             a, of = np.concatenate(found), np.repeat(numbers, [len(x) for x in found])
             order = np.argsort(a, kind="stable")
             plain = a[order] & ~np.uint64(1)
             first = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
             many = np.diff(np.append(first, len(plain)))
             keep = np.repeat((many > 1) | (np.maximum.reduceat(a[order] & np.uint64(1), first) > 0), many)
-            if hot_chunks is not None:
-                plain |= np.repeat(many > hot_chunks, many).astype(np.uint64)
+            if hot_runs is not None:
+                plain |= np.repeat(np.add.reduceat(1 << size[order], first) > hot_runs, many).astype(np.uint64)
             plain, chunk = plain[keep], of[order[keep]]
             order = np.argsort(chunk, kind="stable")
             plain, chunk = plain[order], chunk[order]
@@ -414,14 +424,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(width, "bucket").sortWithinPartitions("bucket")
 
-    def sent_back(dealt: DataFrame, hot_chunks: int | None, column: str) -> DataFrame:
-        parts = by_bucket(dealt).mapInArrow(_shared(hot_chunks), "chunk long, anchors binary")
+    def sent_back(dealt: DataFrame, hot_runs: int | None, column: str) -> DataFrame:
+        parts = by_bucket(dealt).mapInArrow(_shared(hot_runs), "chunk long, anchors binary")
         found = parts.groupBy("chunk").agg(F.collect_list("anchors").alias(column))
         path = new_folder(spark, column)
         found.write.parquet(path)
         return spark.read.schema(found.schema).parquet(path)
 
-    common = sent_back(table.mapInArrow(_anchors(length, buckets), payload), HOT_CHUNKS, "anchors")
+    common = sent_back(table.mapInArrow(_anchors(length, buckets), payload), HOT_RUNS, "anchors")
     singles = sent_back(table.join(common, "chunk").mapInArrow(_single_anchors(length, buckets), payload), None, "singles")
     anchors = common.join(singles, "chunk", "left")
     texts = by_bucket(table.join(anchors, "chunk").mapInArrow(_texts(length, buckets), payload))

@@ -166,10 +166,10 @@ def test_op3_against_brute_force(spark, documents):
     assert op3.remove_repeats(documents([])).count() == 0
 
 
-@pytest.mark.parametrize("hot_chunks", [0, 3])
-def test_op3_hot_anchors(spark, documents, monkeypatch, hot_chunks):
-    monkeypatch.setattr(op3, "HOT_CHUNKS", hot_chunks)
-    line = words(70, 14)  # in most documents of all four chunks, in other surroundings each
+@pytest.mark.parametrize("hot_runs", [0, 12])
+def test_op3_hot_anchors(spark, documents, monkeypatch, hot_runs):
+    monkeypatch.setattr(op3, "HOT_RUNS", hot_runs)
+    line = words(70, 14)  # in most documents, in other surroundings each
     rows = [(i, f"{words(100 + i, 12)} {line if i % 3 else line[: 40 + i]} {words(200 + i, 12)}") for i in range(40)]
     rows += AWKWARD + [(60, rows[4][1]), (61, line), (61, line), (62, line[1:])]
     assert sorted(map(tuple, op3.remove_repeats(documents(rows)).collect()), key=repr) == _repeats(rows)
