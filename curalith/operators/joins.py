@@ -31,6 +31,18 @@ def with_category(records: DataFrame, categories: DataFrame, on: str) -> DataFra
     return records.join(categories.select(on, "category"), on, "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
 
 
+def text_collisions(rows: DataFrame, text: str, script: str, id_: str) -> DataFrame:
+    """The ``rows`` whose text, but for case, another script (of few scripts) has too: its name and
+    its least id there, in other_script and other_id; of several the first.  Texts are joined with
+    their scripts, not with each other, so a common text costs no more than its rows."""
+    keyed = rows.withColumn("_key", F.sha2(F.lower(text).cast("binary"), 256))
+    scripts = keyed.filter("_key IS NOT NULL").groupBy("_key", script).agg(F.min(id_).alias("i"))
+    two = F.slice(F.array_sort(F.collect_list(F.struct(F.col(script).alias("s"), "i"))), 1, 2)
+    found = scripts.filter(F.col(script).isNotNull()).groupBy("_key").agg(two.alias("_two")).filter(F.size("_two") > 1)
+    other = F.when(F.col(script) == F.col("_two")[0]["s"], F.col("_two")[1]).otherwise(F.col("_two")[0])
+    return keyed.join(found, "_key").withColumns({"other_script": other["s"], "other_id": other["i"]}).drop("_key", "_two")
+
+
 def clauses(rows: DataFrame, split: Column, id_: str) -> DataFrame:
     """A row for each clause of ``split`` (an array column), with clip_id and clause."""
     return rows.withColumn("_all", split).select("*", F.posexplode("_all").alias("_k", "clause")).select(*rows.columns, clip_id(F.col(id_).cast("string"), F.size("_all"), F.col("_k") + 1).alias("clip_id"), "clause")

@@ -100,10 +100,13 @@ def id_collisions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi")
 
 
-@query("SELECT conv_id, turn, doc_id FROM conversations c JOIN documents d ON lower(c.text) = lower(d.text)")
+@query("""WITH s AS (SELECT lower(text) AS key, source, min(doc_id) AS id FROM documents WHERE source IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source) AS k FROM s)
+SELECT doc_id, d.source, r.source AS other_script, r.id AS other_id FROM documents d JOIN (SELECT key, source FROM r WHERE k = 1) f ON f.key = lower(d.text) JOIN r ON r.key = f.key AND r.k = CASE WHEN f.source = d.source THEN 2 ELSE 1 END
+WHERE f.key IN (SELECT key FROM r WHERE k = 2)""")
 def text_collisions(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("key"))
-    return turns.join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("key")), "key").select("conv_id", "turn", "doc_id")
+    """A source's documents stand for a script."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return joins.text_collisions(docs, "text", "source", "doc_id").select("doc_id", "source", "other_script", "other_id")
 
 
 @query(r"""WITH c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)

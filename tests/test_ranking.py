@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from curalith.operators import comparison, duplicates, ranking, script, takes
+from curalith.operators import comparison, duplicates, joins, ranking, script, takes
 
 
 def test_numbered_is_the_order_of_all_rows(spark):
@@ -41,6 +41,14 @@ def test_previous_row_over_slices(spark):
         assert {r.id: r.previous_id for r in duplicates.previous_occurrence(df, F.col("text"), ["id"], "id", slices).collect()} == want
 
 
+def test_texts_of_other_scripts(spark):
+    rows = [(1, "a", "Bir"), (2, "b", "bir"), (3, "c", "BIR"), (4, "a", "bir"), (5, "a", "iki"), (6, "a", "iki"), (7, None, "bir"), (8, "b", None), (9, "c", None), (10, "b", ""), (11, "c", "")]
+    df = spark.createDataFrame(rows, "id long, file string, text string")
+    got = {r.id: (r.other_script, r.other_id) for r in joins.text_collisions(df, "text", "file", "id").collect()}
+    assert got == {1: ("b", 2), 4: ("b", 2), 2: ("a", 1), 3: ("a", 1), 7: ("a", 1), 10: ("c", 11), 11: ("b", 10)}
+    assert joins.text_collisions(df.limit(0), "text", "file", "id").count() == 0
+
+
 def test_script_says_what_speaks_against_a_sentence(spark):
     sentences = spark.createDataFrame([("s1", "Saat 3'te geldi.", "time", 1), ("s2", "Başka bir cümle", "plain", 2), ("s3", "başka bir cümle", "plain", 3), ("s4", "bu cümle sınavdan alınmış bir cümledir", "plain", 4), ("s5", "ж " + "çok uzun, " * 30, "plain", 5), ("s6", None, "plain", 6), ("s7", "önceki", "plain", 7)], "id string, text string, category string, pos long")
     evaluation = spark.createDataFrame([("Bu cümle sınavdan alınmış bir şeydir",)], "text string")
