@@ -366,14 +366,16 @@ def _walked(named: DataFrame, main: DataFrame, num: int, den: int):
     turn = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     length = F.length("grams") / 8
     ranged = named.withColumn("range", F.floor(F.log(length) / float(np.log(den / num))).cast("long"))
-    cells = ranged.groupBy("comp", "range").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cells = ranged.groupBy("comp", "range").agg(F.count("*").alias("held"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
     walking = ranged.join(main, "comp").filter("label <> main").drop("main")
     # a hair's breadth of rounding at a range's border is covered by one range more on each side
     reached = walking.withColumn("range", F.explode(F.transform(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]), lambda k: F.col("range") + k)))
-    tasks = reached.groupBy("comp", "range").agg(F.ceil(F.count("*") / PROBES).alias("slices")).join(cells, ["comp", "range"])
+    many = reached.groupBy("comp", "range").agg(F.count("*").alias("reaching"), F.ceil(F.count("*") / PROBES).alias("slices"))
+    tasks = stored(many.join(cells, ["comp", "range"]), "tasks")
+    met = lambda rows, own: hot_join(rows, tasks.select("comp", "range", "blocks", "slices", F.col(own).alias("copies")), ["comp", "range"])
     columns = ["comp", "range", "block", "slice", "node", "label", "probe", "grams"]
-    stored_sets = ranged.join(tasks, ["comp", "range"]).withColumn("block", turn("blocks")).withColumn("slice", spread("slices")).withColumn("probe", F.lit(False))
-    probes = reached.join(tasks, ["comp", "range"]).withColumn("slice", turn("slices")).withColumn("block", spread("blocks")).withColumn("probe", F.lit(True))
+    stored_sets = met(ranged, "held").withColumn("block", turn("blocks")).withColumn("slice", spread("slices")).withColumn("probe", F.lit(False))
+    probes = met(reached, "reaching").withColumn("slice", turn("slices")).withColumn("block", spread("blocks")).withColumn("probe", F.lit(True))
     return stored_sets.select(*columns).unionByName(probes.select(*columns)).groupBy("comp", "range", "block", "slice")
 
 
