@@ -10,6 +10,7 @@ from curalith.llm.op7_ngram_jaccard_join import op7_ngram_jaccard_join
 from curalith.llm.op8_multiset_hash import op8_multiset_hash
 from curalith.llm.op9_token_files import op9_token_files
 from curalith.llm.op10_byte_bpe import op10_byte_bpe
+from curalith.llm.op11_token_alignment import op11_token_alignment
 
 QUERIES = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_multiset_hash": op8_multiset_hash,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE: dict[str, str] = {

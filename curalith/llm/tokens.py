@@ -165,6 +165,13 @@ class ChunkEncoder:
                 yield lo + k, ids[at[k] : at[k + 1]]
 
 
+def _written() -> dict[int, str]:
+    """How byte-level files write bytes as characters: printed Latin-1 as itself, others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> ChunkEncoder:
     """Ids by a tokenizers file whose pattern drops white space and whose normaliser lower-cases."""
@@ -172,10 +179,7 @@ def word_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
-    # how the file writes bytes as characters: printed Latin-1 as itself, others from 256 on
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    written = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    written = _written()
     latin = {c: "".join(written[b] for b in chr(c).lower().encode()) for c in [*range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]}
     letters = frozenset(map(chr, latin))
 
@@ -197,3 +201,69 @@ def word_encoder(path: str) -> ChunkEncoder:
     # longer ones first, as the library prefers them where several begin
     added = sorted((t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
     return ChunkEncoder(partial(word_chunks, added=tuple(added)), encode)
+
+
+def space_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """For vocabularies in which no piece goes on over a space or holds a line end: cut at documents,
+    before each run of spaces and around each line end."""
+    n = len(data)
+    cut = _edges(offsets, n)
+    space, line = data == 0x20, data == 0x0A
+    cut[1:n] |= space[1:] & ~space[:-1] | line[1:] | line[:-1]
+    starts = np.flatnonzero(cut[:n])
+    ends = np.append(starts, n).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return found, np.searchsorted(starts, offsets, "left")
+
+
+class Vocabulary:
+    """An encoder of whole texts and the bytes of each of its tokens.  Chunks whose tokens don't
+    spell them have no ids."""
+
+    def __init__(self, cut: Callable, spelled: list[bytes], encode: Callable[[list[str]], list[list[int]]]):
+        self.spelled, self.lengths = spelled, np.array([len(x) for x in spelled], np.int64)
+
+        def checked(new: list[bytes]) -> list[bytes]:
+            coded = encode([x.decode("utf-8", "replace") for x in new])
+            return [array("I", ids).tobytes() if b"".join([spelled[i] for i in ids]) == x else b"" for ids, x in zip(coded, new, strict=True)]
+
+        self.encoder = ChunkEncoder(cut, checked)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all documents one after the other, offsets (n + 1), and whether a document is spelled."""
+        runs, first = self.encoder.runs(data, offsets)
+        flat, bounds = flat_binary(runs)
+        unspelled = np.append(0, np.cumsum(np.diff(bounds) == 0))[first]
+        return flat.view(np.uint32).astype(np.int64), bounds[first] // 4, np.diff(unspelled) == 0
+
+
+@lru_cache(maxsize=2)
+def byte_vocabulary(path: str) -> Vocabulary:
+    """A byte-level tokenizers file; the strings of its special tokens are plain text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    read = {c: b for b, c in _written().items()}
+    vocabulary = tokenizer.get_vocab()
+    spelled = [b""] * (max(vocabulary.values()) + 1)
+    for token, k in vocabulary.items():
+        spelled[k] = bytes(read[c] for c in token) if all(c in read for c in token) else token.encode()
+    return Vocabulary(spaced_chunks, spelled, lambda new: [x.ids for x in tokenizer.encode_batch(new, add_special_tokens=False)])
+
+
+@lru_cache(maxsize=2)
+def piece_vocabulary(path: str) -> Vocabulary:
+    """A sentencepiece file that writes spaces as U+2581 and adds one before a text.  Texts are given
+    with that space."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    pieces = [model.id_to_piece(k) for k in range(model.get_piece_size())]
+    spelled = [bytes([int(x[3:5], 16)]) if model.is_byte(k) else x.replace("\u2581", " ").encode() for k, x in enumerate(pieces)]
+    crossing = [x for x in pieces if "\n" in x or re.search("[^\u2581]\u2581", x)]
+    if crossing:
+        raise ValueError(f"texts can't be cut at spaces and line ends: {crossing[:3]}")
+    # a line end stands before each chunk, so that the model's own space doesn't touch it
+    lead = len(model.encode("\n"))
+    return Vocabulary(space_chunks, spelled, lambda new: [x[lead:] for x in model.encode(["\n" + x for x in new], num_threads=1)])
