@@ -11,6 +11,7 @@ from curalith.llm.op8_multiset_hash import op8_multiset_hash
 from curalith.llm.op9_token_files import op9_token_files
 from curalith.llm.op10_byte_bpe import op10_byte_bpe
 from curalith.llm.op11_token_alignment import op11_token_alignment
+from curalith.llm.op12_simhash_variants import op12_simhash_variants
 
 QUERIES = {
     "op1_multi_index_hashing": op1_multi_index_hashing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_alignment": op11_token_alignment,
+    "op12_simhash_variants": op12_simhash_variants,
 }
 
 ORACLE: dict[str, str] = {

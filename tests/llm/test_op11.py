@@ -1,5 +1,6 @@
 from collections import Counter
 from hashlib import sha256
+from itertools import accumulate
 
 import public_tokenizers as P
 import pytest
@@ -31,11 +32,16 @@ def brute_force(rows):
         if not text or b"".join(of_a) != (" " + text).encode() or b"".join(of_b) != (" " + text).encode():
             found.append((i, 0, 0, 0, [], ""))
             continue
-        ends = lambda x: [sum(map(len, x[: k + 1])) for k in range(len(x))]
-        ea, eb = ends(of_a), ends(of_b)
-        common = sorted(set(ea) & set(eb))
-        groups = [(",".join(str(k) for k, e in zip(ids_a, ea, strict=True) if lo < e <= hi), ",".join(str(k) for k, e in zip(ids_b, eb, strict=True) if lo < e <= hi)) for lo, hi in zip([0, *common], common, strict=False)]
-        links = [(p, q) for p, x, e in zip(ids_a, of_a, ea, strict=True) for q, y, f in zip(ids_b, of_b, eb, strict=True) if max(e - len(x), f - len(y)) < min(e, f)]
+        ea, eb = (list(accumulate(map(len, x))) for x in (of_a, of_b))
+        byte_a, byte_b = ([k for k, t in enumerate(x) for _ in t] for x in (of_a, of_b))  # each byte's token
+        links = [(ids_a[p], ids_b[q]) for p, q in dict.fromkeys(zip(byte_a, byte_b, strict=True))]
+        groups, common = [([], [])], set(ea) & set(eb)
+        for p, q in dict.fromkeys(zip(byte_a, byte_b, strict=True)):
+            for side, k in zip(groups[-1], (p, q), strict=True):
+                side.extend([k] if k not in side[-1:] else [])
+            if ea[p] == eb[q] and ea[p] in common:
+                groups.append(([], []))
+        groups = [(",".join(str(ids_a[k]) for k in x), ",".join(str(ids_b[k]) for k in y)) for x, y in groups[:-1]]
         counts.update(set(links))
         found.append((i, len(ids_a), len(ids_b), len(groups), links, sha256(";".join("|".join(g) for g in groups).encode()).hexdigest()))
     best = {}
