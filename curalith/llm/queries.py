@@ -1,6 +1,6 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from curalith.llm import op5_chat_format
+from curalith.llm import op5_chat_format, op13_dual_tree
 from curalith.llm.op1_multi_index_hashing import op1_multi_index_hashing
 from curalith.llm.op2_toxicity import op2_toxicity
 from curalith.llm.op3_suffix_dedup import op3_suffix_dedup
@@ -26,8 +26,10 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_alignment": op11_token_alignment,
     "op12_simhash_variants": op12_simhash_variants,
+    "op13_dual_tree": op13_dual_tree.op13_dual_tree,
 }
 
 ORACLE: dict[str, str] = {
     "op5_chat_format": op5_chat_format.ORACLE_SQL,
+    "op13_dual_tree": op13_dual_tree.ORACLE_SQL,
 }
