@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Error of the approximate quantiles: a rank is off by at most one in so many rows.
 ACCURACY = 10_000
-#: So many values are put in order in one task.
-FEW = 1_000_000
 
 
 def numbered(rows: DataFrame, section: str, value: str, ties: list[str], name: str, ranges: int | None = None) -> DataFrame:
@@ -39,23 +37,41 @@ def ranked_by_hash(rows: DataFrame, by: str, h: str) -> DataFrame:
     return cut.withColumn("_inside", inside).join(before, [by, "_range"]).withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str | Column, points: dict[str, float]) -> DataFrame:
+    """``by``..., n and a column for each of ``points`` (name: share from 0 to 1): the exact quantiles,
+    between values by linear interpolation, of each group's values that aren't null.
+
+    One lazy plan for all groups: a sketch brackets each quantile, a second reading counts what lies
+    below its bracket and how often each value inside comes, and only those (about one row in
+    ACCURACY / 8) are put in order.  No group's values are held together."""
+    keys, names = [f"_k{k}" for k in range(max(1, len(by)))], list(points)
+    # null keys are groups too, and joins don't match nulls
+    key = [F.struct(F.col(c)) for c in by] or [F.struct(F.lit(0))]
+    values = rows.select(*[k.alias(n) for k, n in zip(key, keys, strict=True)], (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    margin = 4 / ACCURACY
+    around = [x for p in points.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    cuts = values.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", around, ACCURACY).alias("_cuts"))
+    near = values.join(cuts, keys)
+    low, high = (lambda k: F.col("_cuts")[2 * k]), (lambda k: F.col("_cuts")[2 * k + 1])
+    inside = F.filter(F.array(*[F.when(F.col("_v").between(low(k), high(k)), k) for k in range(len(names))]), lambda k: k.isNotNull())
+    # values beside all brackets come to one row with how many lie below each
+    marked = near.withColumn("_in", inside).withColumn("_at", F.when(F.size("_in") > 0, F.col("_v")))
+    counted = marked.groupBy(*keys, "_at").agg(F.first("n").alias("n"), F.first("_in").alias("_in"), F.count("*").alias("_m"), *[F.count_if(F.col("_v") < low(k)).alias(f"_b{k}") for k in range(len(names))])
+    each = Window.partitionBy(*keys)
+    counted = counted.withColumns({f"_b{k}": F.sum(f"_b{k}").over(each) for k in range(len(names))}).filter("_at IS NOT NULL")
+    exploded = counted.withColumn("_q", F.explode("_in"))
+    below = F.element_at(F.array(*[F.col(f"_b{k}") for k in range(len(names))]), F.col("_q") + 1)
+    upto = F.sum("_m").over(Window.partitionBy(*keys, "_q").orderBy("_at")) + below
+    place = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in points.values()]), F.col("_q") + 1)
+    reached = exploded.withColumns({"_upto": upto, "_place": place})
+    first, last = (F.min(F.when(F.col("_upto") > f("_place"), F.col("_at"))) for f in (F.floor, F.ceil))
+    found = reached.groupBy(*keys, "n", "_q", "_place").agg(first.alias("_x"), last.alias("_y"))
+    found = found.withColumn("_value", F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_place") - F.floor("_place")))
+    named = found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_q") == k, F.col("_value"))).alias(name) for k, name in enumerate(names)])
+    return named.select(*[F.col(f"{n}.{c}").alias(c) for n, c in zip(keys, by, strict=False)], "n", *names)
+
+
 def exact_median(rows: DataFrame, value: str | Column) -> float | None:
-    """The median of the values that aren't null, null without any.  Approximate quantiles on both
-    sides of the middle narrow the values down until few are left to be put in order."""
-    values = rows.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).filter("v IS NOT NULL")
-    size, below = values.count(), 0
-    if not size:
-        return None
-    first, last = (size - 1) // 2, size // 2
-    while size > FEW:
-        margin = 4 / ACCURACY
-        around = [max(0.0, (first - below) / size - margin), min(1.0, (last - below) / size + margin)]
-        low, high = values.agg(F.percentile_approx("v", around, ACCURACY)).first()[0]
-        under, within = values.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-        if within == size or not below + under <= first <= last < below + under + within:
-            break
-        values, below, size = values.filter(F.col("v").between(low, high)), below + under, within
-    counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    reached = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")) + below)
-    low, high = reached.agg(F.min(F.when(F.col("upto") > first, F.col("v"))), F.min(F.when(F.col("upto") > last, F.col("v")))).first()
-    return (low + high) / 2
+    """The median of the values that aren't null, null without any."""
+    found = quantiles(rows, [], value, {"m": 0.5}).first()
+    return found.m if found else None

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalith.functions.text import message_type, rounded, semitones
-from curalith.operators.ranking import exact_median
+from curalith.operators.ranking import exact_median, quantiles
 from curalith.operators.validation import messages
 
 
@@ -132,7 +132,9 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
 
 
 def stat_triple(rows: DataFrame, column: str) -> DataFrame:
-    return rows.agg(F.count(column).alias("n"), F.lit(exact_median(rows, column)).cast("double").alias("median"), F.max(column).alias("max"))
+    """n, median and max of a column's values that aren't null."""
+    one = rows.agg(F.count(column).alias("n"), F.max(column).alias("max"))
+    return one.join(quantiles(rows, [], column, {"median": 0.5}), "n", "left").select("n", "median", "max")
 
 
 def compute_ratio(rows: DataFrame, kept: Column) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curalith.functions import signal as S
-from curalith.functions.text import MOJIBAKE, fixed, letters, message_type, rounded, unmappable
+from curalith.functions.text import MOJIBAKE, char_class, fixed, letters, message_type, rounded, unmappable
 from curalith.operators.duplicates import first_occurrence
 from curalith.operators.leak import leaks
-from curalith.operators.ranking import exact_median
+from curalith.operators.ranking import quantiles
 
 
 @dataclass(frozen=True)
@@ -51,23 +51,42 @@ def text_errors(text: Column, vocabulary: str, leak: Column | None = None) -> Co
     return F.when(empty, F.array(F.lit("empty transcript"))).otherwise(messages(*rules))
 
 
-def measured(audio: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """``audio`` (samples of one channel, sample_rate, text) with its levels, edges, noise and rate,
+#: What is measured of a recording's sound: columns of ``sound`` and of ``chunks.sound``.
+SOUND = ("n_samples", "n_frames", "duration_s", "clipped", "peak_dbfs", "loudest", "leading_s", "trailing_s", "snr_db", "rough_snr_db", "speech_s")
+
+
+def sound(audio: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """``audio`` (samples of one channel, sample_rate) with the measures of SOUND in their place,
     rounded as they are reported."""
     samples = F.col("samples")
-    levels = S.frame_levels(samples, S.hop(F.col("sample_rate")))
-    df = audio.withColumns({
-        "duration_s": rounded(F.size(samples) / F.nullif(F.col("sample_rate"), F.lit(0)), 3), "levels": levels,
-        "clipped": S.clipped_fraction(samples, th.clip_level), "peak_dbfs": rounded(S.decibels(S.peak(samples)), 1),
-    })
+    df = audio.withColumns({"levels": S.frame_levels(samples, S.hop(F.col("sample_rate"))), "n_samples": F.size(samples)})
+    df = df.withColumns({"clipped": S.clipped_fraction(samples, th.clip_level), "peak": S.peak(samples), "n_frames": F.size("levels"), "loudest": F.array_max("levels")})
     edge = F.when(F.col("loudest") >= th.no_speech_dbfs, S.voiced_edges(F.col("levels"), -th.silence_rel_db))
-    df = df.withColumn("loudest", F.array_max("levels")).withColumn("edge", edge)
+    df = df.withColumn("edge", edge)
     noise = F.when(F.col("edge").isNotNull(), S.noise_ratio(F.col("levels"), F.col("edge.first"), F.col("edge.last")))
-    last = F.size("levels") - 1 - F.col("edge.last")
-    df = df.withColumns({"leading_s": rounded(F.col("edge.first") * S.FRAME_S, 2), "trailing_s": rounded(last * S.FRAME_S, 2), "noise": noise})
-    df = df.withColumns({"snr_db": rounded(F.col("noise.snr"), 1), "rough_snr_db": rounded(F.col("noise.rough"), 1)})
-    span = (F.col("edge.last") - F.col("edge.first") + 1) * S.FRAME_S
-    return df.withColumn("letters_per_s", rounded(F.when(F.col("text") != "", letters(F.col("text")) / span), 1))
+    df = df.withColumn("noise", noise).withColumns({"first": F.col("edge.first"), "last": F.col("edge.last"), "snr": F.col("noise.snr"), "rough": F.col("noise.rough")})
+    return reported(df).drop("samples", "levels", "peak", "edge", "noise", "first", "last", "snr", "rough")
+
+
+def reported(df: DataFrame) -> DataFrame:
+    """Measures as they are reported: from n_samples, n_frames, peak, first and last (places of the
+    edges' frames), snr and rough."""
+    speech = (F.col("last") - F.col("first") + 1) * S.FRAME_S
+    return df.withColumns({
+        "duration_s": rounded(F.col("n_samples") / F.nullif(F.col("sample_rate"), F.lit(0)), 3), "peak_dbfs": rounded(S.decibels(F.col("peak")), 1),
+        "leading_s": rounded(F.col("first") * S.FRAME_S, 2), "trailing_s": rounded((F.col("n_frames") - 1 - F.col("last")) * S.FRAME_S, 2),
+        "snr_db": rounded(F.col("snr"), 1), "rough_snr_db": rounded(F.col("rough"), 1), "speech_s": speech,
+    })
+
+
+def with_rate(rows: DataFrame) -> DataFrame:
+    """Rows (text, speech_s) with letters_per_s; null without a text or speech."""
+    return rows.withColumn("letters_per_s", rounded(F.when(F.col("text") != "", letters(F.col("text")) / F.col("speech_s")), 1))
+
+
+def measured(audio: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """``audio`` (samples of one channel, sample_rate, text) with its measures and speaking rate."""
+    return with_rate(sound(audio, th))
 
 
 def audio_messages(m: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
@@ -75,7 +94,7 @@ def audio_messages(m: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     error alone; audio shorter than a frame isn't looked at further."""
     c = F.col
     said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    some, speech, seconds = F.size("samples") > 0, c("edge").isNotNull(), fixed(c("duration_s"), 2)
+    some, speech, seconds = c("n_samples") > 0, c("speech_s").isNotNull(), fixed(c("duration_s"), 2)
     rate, snr = c("sample_rate").cast("string"), lambda name: fixed(c(name), 1)
 
     def edge(name):
@@ -88,7 +107,7 @@ def audio_messages(m: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
         (some & (c("duration_s") < th.min_duration_s), said("too short: ", seconds, f"s < {th.min_duration_s}s")),
         (some & (c("duration_s") > th.max_duration_s), said("too long: ", seconds, f"s > {th.max_duration_s}s")),
         (some & (c("clipped") > th.max_clipped), said("clipping: ", fixed(c("clipped") * 100, 2), "% of samples at full scale")),
-        (some & (F.size("levels") == 0), "too short: shorter than one analysis frame"),
+        (some & (c("n_frames") == 0), "too short: shorter than one analysis frame"),
         (c("loudest") < th.no_speech_dbfs, said("no speech detected: loudest frame ", fixed(c("loudest"), 1), " dBFS")),
     )
     warnings = messages(
@@ -103,17 +122,29 @@ def audio_messages(m: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     return m.withColumns({"errors": errors, "warnings": warnings})
 
 
+def measures(audio: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """id, digest, unread, sample_rate, channels, subtype and SOUND of each file of ``audio`` (as
+    ``read_wavs`` gives it): all that is ever asked of its samples."""
+    mono = lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))).otherwise(S.downmixed(x))
+    rows = audio.withColumnRenamed("error", "unread").withColumn("samples", F.when(F.col("unread").isNull(), mono(F.col("samples"))))
+    return sound(rows, th).select("id", "digest", "unread", "sample_rate", "channels", "subtype", *SOUND)
+
+
 def validate(script: DataFrame, audio: DataFrame, evaluation: DataFrame, vocabulary: str, th: Thresholds = Thresholds(), prepare=None) -> DataFrame:
     """A record for each audio file: ``script`` (id, text, pos), ``audio`` (as ``read_wavs`` gives it)
     and ``evaluation`` (text) -> id, text, its measures, errors, warnings, accepted.  Files that the
     script doesn't name come last.  ``prepare`` is applied to texts before leaks are sought."""
+    return records(script, measures(audio, th), evaluation, vocabulary, th, prepare)
+
+
+def records(script: DataFrame, measured_files: DataFrame, evaluation: DataFrame, vocabulary: str, th: Thresholds = Thresholds(), prepare=None) -> DataFrame:
+    """The same from files that are ``measures``d already.  They are read several times, so store
+    them first where their samples are far away (``dataset.validated`` does)."""
     c = F.col
     named = script.select("id", F.coalesce("text", F.lit("")).alias("text"), c("pos").cast("long").alias("pos"), F.lit(True).alias("listed"))
-    rows = audio.withColumnRenamed("error", "unread").join(named, "id", "left").withColumns({"text": F.coalesce("text", F.lit("")), "listed": c("listed").isNotNull()})
+    rows = measured_files.join(named, "id", "left").withColumns({"text": F.coalesce("text", F.lit("")), "listed": c("listed").isNotNull()})
     rows = rows.withColumn("turn", F.struct((~c("listed")).alias("last"), "pos", "id"))
-    mono = lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))).otherwise(S.downmixed(x))
-    rows = rows.withColumn("samples", F.when(c("unread").isNull(), mono(c("samples"))))
-    rows = audio_messages(measured(rows, th), th).withColumnsRenamed({"errors": "heard", "warnings": "noticed"})
+    rows = audio_messages(with_rate(rows), th).withColumnsRenamed({"errors": "heard", "warnings": "noticed"})
     leaking = leaks(named.select(c("id").alias("doc_id"), "text"), evaluation, prepare=prepare).select(c("doc_id").alias("id"), c("reason").alias("leak"))
     rows = rows.join(leaking, "id", "left")
     rows = first_occurrence(rows, c("digest"), "turn", "id").withColumnRenamed("first_id", "same_audio")
@@ -129,6 +160,14 @@ def validate(script: DataFrame, audio: DataFrame, evaluation: DataFrame, vocabul
     return rows.select("id", "text", *shown, "errors", "warnings", (F.size("errors") == 0).alias("accepted"))
 
 
+def observed(rows: DataFrame, name: str = "validation") -> tuple[DataFrame, Observation]:
+    """Records that are counted while they are written: the counts of audio_files, accepted,
+    rejected and with_warnings come from the same run."""
+    watch, taken = Observation(name), F.col("accepted")
+    counts = {"audio_files": F.count("*"), "accepted": F.count_if(taken), "rejected": F.count_if(~taken), "with_warnings": F.count_if(taken & (F.size("warnings") > 0))}
+    return rows.observe(watch, *[x.alias(k) for k, x in counts.items()]), watch
+
+
 def counters(records: DataFrame) -> DataFrame:
     """kind, value, n: how many records have each sample rate, number of channels and subtype; missing
     values and zeros don't count."""
@@ -137,42 +176,46 @@ def counters(records: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
-def summary(script: DataFrame, records: DataFrame, letters_shown: str = "çğıöşü") -> dict:
-    """The summary of ``validate``'s records, a nested dictionary of a few numbers."""
-    taken = records.filter("accepted")
-    heads = records.agg(F.count("*").alias("audio_files"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("accepted") & (F.size("warnings") > 0)).alias("with_warnings")).first()
-    missing = script.select("id").distinct().join(records.select("id"), "id", "left_anti").count()
-
-    def durations(rows):
-        found = duration_stats(rows, "duration_s").first().asDict()
-        return {k: v if k == "n" else round(v, 2) for k, v in found.items()} if found["n"] else {"n": 0}
-
-    out = {"script_entries": script.select("id").distinct().count(), "audio_files": heads.audio_files, "missing_audio": missing, "accepted": heads.accepted, "rejected": heads.audio_files - heads.accepted, "with_warnings": heads.with_warnings}
-    out |= {"all_audio": durations(records), "accepted_audio": durations(taken)}
-    for r in sorted(counters(records).collect()):
-        out.setdefault({"channels": "channels"}.get(r.kind, f"{r.kind}s"), {})[r.value] = r.n
-    for r in sorted(message_counts(records).collect()):
-        out.setdefault(f"{r.kind.rstrip('s')}_types", {})[r.type] = r.n
-    return out | {"letter_counts": {r.letter: r.n for r in letter_counts(taken, letters_shown).collect()}}
-
-
 def message_counts(records: DataFrame) -> DataFrame:
     """kind, type, n: errors over the rejected records, warnings over all."""
-    both = [records.select(F.lit(kind).alias("kind"), F.explode(kind).alias("m")) for kind in ("errors", "warnings")]
-    return both[0].unionByName(both[1]).groupBy("kind", message_type(F.col("m")).alias("type")).agg(F.count("*").alias("n"))
+    said = lambda kind: F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), message_type(m).alias("type")))
+    return records.select(F.explode(F.concat(said("errors"), said("warnings"))).alias("x")).groupBy("x.kind", "x.type").agg(F.count("*").alias("n"))
+
+
+def summary(script: DataFrame, records: DataFrame, letters_shown: str = "çğıöşü") -> dict:
+    """The summary of ``validate``'s records, a nested dictionary of a few numbers.  The records are
+    read for the counts, for the durations, and for the letters of the accepted ones."""
+    ids = script.select("id").distinct().join(records.select("id").distinct().withColumn("found", F.lit(True)), "id", "left")
+    entries = ids.agg(F.count("*").alias("n"), F.count_if(F.col("found").isNull()).alias("missing")).first()
+    long = records.filter("duration_s <> 0").select(F.explode(F.array(F.lit("all_audio"), F.when(F.col("accepted"), "accepted_audio"))).alias("which"), "duration_s").filter("which IS NOT NULL")
+    lengths = {r.which: r for r in long.groupBy("which").agg((F.sum("duration_s") / 60).alias("total_min"), F.avg("duration_s").alias("mean_s"), F.min("duration_s").alias("min_s"), F.max("duration_s").alias("max_s")).join(quantiles(long, ["which"], "duration_s", {"median_s": 0.5}), "which").collect()}
+    marks = [F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in ("sample_rate", "channels", "subtype")]
+    heads = [F.struct(F.lit("head").alias("kind"), F.when(x, k).alias("value")) for k, x in (("audio_files", F.lit(True)), ("accepted", F.col("accepted")), ("with_warnings", F.col("accepted") & (F.size("warnings") > 0)))]
+    typed = lambda kind: F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), message_type(m).alias("value")))
+    counted = records.select(F.explode(F.concat(F.array(*heads, *marks), typed("errors"), typed("warnings"))).alias("x")).filter("x.value IS NOT NULL AND x.value NOT IN ('', '0')").groupBy("x.kind", "x.value").count().collect()
+    of = lambda kind: dict(sorted((r.value, r["count"]) for r in counted if r.kind == kind))
+    head = {"audio_files": 0, "accepted": 0, "with_warnings": 0} | of("head")
+    shown = lambda r: {"n": r.n} | {k: round(r[k], 2) for k in ("total_min", "mean_s", "median_s", "min_s", "max_s")}
+    out = {"script_entries": entries.n, "audio_files": head["audio_files"], "missing_audio": entries.missing, "accepted": head["accepted"], "rejected": head["audio_files"] - head["accepted"], "with_warnings": head["with_warnings"]}
+    out |= {k: shown(lengths[k]) if k in lengths else {"n": 0} for k in ("all_audio", "accepted_audio")}
+    out |= {"sample_rates": of("sample_rate"), "channels": of("channels"), "subtypes": of("subtype"), "error_types": of("errors"), "warning_types": of("warnings")}
+    return out | {"letter_counts": {r.letter: r.n for r in letter_counts(records.filter("accepted"), letters_shown).collect()}}
 
 
 def duration_stats(rows: DataFrame, column: str) -> DataFrame:
     """Count, total, mean, median, least and most of the values that are neither null nor 0."""
     kept = rows.filter(F.col(column) != 0)
-    return kept.agg(F.count("*").alias("n"), (F.sum(column) / 60).alias("total_min"), F.avg(column).alias("mean_s"), F.lit(exact_median(kept, column)).cast("double").alias("median_s"), F.min(column).alias("min_s"), F.max(column).alias("max_s"))
+    one = kept.agg(F.count("*").alias("n"), (F.sum(column) / 60).alias("total_min"), F.avg(column).alias("mean_s"), F.min(column).alias("min_s"), F.max(column).alias("max_s"))
+    return one.join(quantiles(kept, [], column, {"median_s": 0.5}), "n", "left").select("n", "total_min", "mean_s", "median_s", "min_s", "max_s")
 
 
 def letter_counts(texts: DataFrame, alphabet: str) -> DataFrame:
     """letter, n for each letter of ``alphabet`` (0 where it doesn't occur)."""
     shown, low = list(dict.fromkeys(alphabet)), F.lower("text")
-    # each text gives one number for each letter, which are added up before anything is shuffled
-    totals = texts.agg(*[F.coalesce(F.sum(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))), F.lit(0)).alias(f"n{k}") for k, c in enumerate(shown)])
+    # other characters go first, so that each letter's replacement reads a short text; each text gives
+    # one number for each letter, which are added up before anything is shuffled
+    kept = texts.select(F.regexp_replace(low, f"[^{char_class(''.join(shown))}]+", "").alias("_t")) if shown else texts.select(low.alias("_t"))
+    totals = kept.agg(*[F.coalesce(F.sum(F.length("_t") - F.length(F.replace("_t", F.lit(c), F.lit("")))), F.lit(0)).alias(f"n{k}") for k, c in enumerate(shown)])
     return totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.col(f"n{k}").alias("n")) for k, c in enumerate(shown)])).alias("x")).select("x.letter", "x.n")
 
 

@@ -21,7 +21,7 @@ def test_numbered_is_the_order_of_all_rows(spark):
 
 
 def test_median_narrows_to_the_middle(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "FEW", 20)
+    monkeypatch.setattr(ranking, "ACCURACY", 100)
     rng = random.Random(2)
     for values in ([], [3.0], [1.0, 2.0], [5.0] * 300 + [1.0, 9.0], [rng.gauss(0, 5) for _ in range(999)], [float(rng.randrange(6)) for _ in range(1000)], [1.0] * 50 + [2.0] * 50):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
@@ -90,3 +90,18 @@ def test_comparison_sheet_shows_missing_results_as_empty(spark):
     rows = {r.sentence_id: r for r in comparison.comparison_sheet(sentences, results, "sentence_id", ["m", "n"]).collect()}
     assert (rows[1].m_audio, rows[1].m_time_s, rows[1].m_duration_s, rows[1].m_drop_st, rows[1].n_audio) == ("a.wav", "1.00", "2.67", "", "")
     assert (rows[2].m_audio, rows[2].m_time_s) == ("", "")
+
+
+def test_quantiles_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ACCURACY", 50)
+    rng = random.Random(4)
+    draw = {"a": lambda: rng.gauss(0, 5), "b": lambda: float(rng.randrange(3)), None: lambda: rng.paretovariate(0.3), "one": lambda: 7.0}
+    rows = [(g, f()) for g, f in draw.items() for _ in range(1 if g == "one" else 700)] + [("a", None), ("none", None)]
+    found = {r.g: r for r in ranking.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0, "high": 0.9}).collect()}
+    assert found.keys() == {"a", "b", None, "one"}
+    for g, r in found.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        for name, p in (("low", 0.1), ("mid", 0.5), ("top", 1.0), ("high", 0.9)):
+            at = (len(v) - 1) * p
+            a, b = v[int(at)], v[min(len(v) - 1, int(at) + 1)]
+            assert r.n == len(v) and r[name] == pytest.approx(a + (b - a) * (at - int(at)))
