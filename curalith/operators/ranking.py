@@ -52,7 +52,9 @@ def quantiles(rows: DataFrame, by: list[str], value: str | Column, points: dict[
     around = [x for p in points.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
     cuts = values.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", around, ACCURACY).alias("_cuts"))
     near = values.join(cuts, keys)
-    low, high = (lambda k: F.col("_cuts")[2 * k]), (lambda k: F.col("_cuts")[2 * k + 1])
+    # in a group of few values the bracket might end beside the value's neighbour, so it holds them all
+    few, limit = F.col("n") <= ACCURACY, F.lit(float("inf"))
+    low, high = (lambda k: F.when(few, -limit).otherwise(F.col("_cuts")[2 * k])), (lambda k: F.when(few, limit).otherwise(F.col("_cuts")[2 * k + 1]))
     inside = F.filter(F.array(*[F.when(F.col("_v").between(low(k), high(k)), k) for k in range(len(names))]), lambda k: k.isNotNull())
     # values beside all brackets come to one row with how many lie below each
     marked = near.withColumn("_in", inside).withColumn("_at", F.when(F.size("_in") > 0, F.col("_v")))

@@ -10,6 +10,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,20 @@ def load_config(text: str, overrides: list[str]) -> dict:
     return config
 
 
+def _samples(raw: bytes, channels: int, width: int) -> np.ndarray:
+    """PCM bytes as levels from -1 to 1, a row for each frame and a column for each channel."""
+    if len(raw) % (channels * width) or width not in (1, 2, 3, 4):
+        raise ValueError("truncated or unknown samples")
+    parts = np.frombuffer(raw, np.uint8).reshape(-1, width).astype(np.int64)
+    values = (parts << (8 * np.arange(width))).sum(axis=1)
+    values = values - 128 if width == 1 else values - ((values >> (8 * width - 1)) << 8 * width)
+    return (values / (1 << 8 * width - 1)).reshape(-1, channels)
+
+
+def _subtype(width: int) -> str:
+    return "PCM_U8" if width == 1 else f"PCM_{8 * width}"
+
+
 def decode_wav(content: bytes) -> dict:
     """Header, samples (channel by channel, from -1 to 1) and their digest (of 32-bit floats, channels
     interleaved) of a PCM WAV file, or an error."""
@@ -96,20 +111,53 @@ def decode_wav(content: bytes) -> dict:
     try:
         with wave.open(io.BytesIO(content)) as w:
             n, width, rate = w.getnchannels(), w.getsampwidth(), w.getframerate()
-            raw = w.readframes(w.getnframes())
-        if len(raw) % (n * width) or width not in (1, 2, 3, 4):
-            raise ValueError("truncated or unknown samples")
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, width).astype(np.int64)
-        values = (parts << (8 * np.arange(width))).sum(axis=1)
-        values = values - 128 if width == 1 else values - ((values >> (8 * width - 1)) << 8 * width)
-        levels = values / (1 << 8 * width - 1)
-        subtype = "PCM_U8" if width == 1 else f"PCM_{8 * width}"
+            levels = _samples(w.readframes(w.getnframes()), n, width)
         digest = sha256(levels.astype("<f4").tobytes()).hexdigest() if len(levels) else None
-        return {"digest": digest, "sample_rate": rate, "channels": n, "subtype": subtype, "samples": [levels[c::n].tolist() for c in range(n)], "error": None}
+        return {"digest": digest, "sample_rate": rate, "channels": n, "subtype": _subtype(width), "samples": levels.T.tolist(), "error": None}
     except (wave.Error, EOFError, ValueError) as e:
         return empty | {"error": f"unreadable audio: {type(e).__name__}: {e}"}
 
 
+def wav_chunks(name: str, content: bytes, length: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``chunks.CHUNKS`` of a PCM WAV file, one chunk of all channels at a time.  A file
+    that ends early is one row with an error, after the chunks that could be read."""
+    kinds = {"id": pa.string(), "sample_rate": pa.int32(), "channels": pa.int32(), "subtype": pa.string(), "error": pa.string(), "channel": pa.int32(), "chunk": pa.int64(), "start": pa.int64(), "samples": pa.list_(pa.float64())}
+    row = lambda **given: pa.RecordBatch.from_arrays([pa.array([given.get(c)], k) for c, k in kinds.items()], names=list(kinds))
+    try:
+        with wave.open(io.BytesIO(content)) as w:
+            n, width, rate, frames = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
+            head = {"id": name, "sample_rate": rate, "channels": n, "subtype": _subtype(width)}
+            if not frames:
+                yield row(**head, channel=0, chunk=0, start=0, samples=[])
+            for chunk in range(-(-frames // length)):
+                levels = _samples(w.readframes(length), n, width)
+                if len(levels) < min(length, frames - chunk * length):
+                    raise ValueError("truncated or unknown samples")
+                for c in range(n):
+                    yield row(**head, channel=c, chunk=chunk, start=chunk * length, samples=levels[:, c])
+    except (wave.Error, EOFError, ValueError) as e:
+        yield row(id=name, error=f"unreadable audio: {type(e).__name__}: {e}")
+
+
+def read_wav_chunks(spark: SparkSession, folder: str, length: int = 1 << 18) -> DataFrame:
+    """Every WAV file as rows of ``length`` samples of one channel (see ``operators.chunks``).  A
+    file's bytes stand in a task once, its samples a chunk at a time; a missing folder gives no rows."""
+    shape = "id string, sample_rate int, channels int, subtype string, error string, channel int, chunk long, start long, samples array<double>"
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from wav_chunks(batch.column("id")[k].as_py(), batch.column("content")[k].as_buffer().to_pybytes(), length)
+
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], shape)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).alias("id"), "content").mapInArrow(decoded, shape)
+
+
 def read_wavs(spark: SparkSession, folder: str) -> DataFrame:
     """id (the file's stem), digest of the samples, sample_rate, channels, subtype, samples (an array
     for each channel) and error of every WAV file; a broken one is a row with an error, not a

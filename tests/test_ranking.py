@@ -92,8 +92,9 @@ def test_comparison_sheet_shows_missing_results_as_empty(spark):
     assert (rows[2].m_audio, rows[2].m_time_s) == ("", "")
 
 
-def test_quantiles_of_groups(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "ACCURACY", 50)
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_quantiles_of_groups(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
     rng = random.Random(4)
     draw = {"a": lambda: rng.gauss(0, 5), "b": lambda: float(rng.randrange(3)), None: lambda: rng.paretovariate(0.3), "one": lambda: 7.0}
     rows = [(g, f()) for g, f in draw.items() for _ in range(1 if g == "one" else 700)] + [("a", None), ("none", None)]
