@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,12 +45,9 @@ def ngrams(words_: Column, n: int) -> Column:
     return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
-def ngram_hashes(words_: Column, n: int) -> Column:
-    """128-bit hashes (a, b) of the runs of n words, in order: equal runs have equal ones."""
-    run = lambda w, i: [F.get(w, i + k) for k in range(n)]
-    both = lambda w: lambda i: F.struct(*[F.xxhash64(F.lit(seed), *run(w, i)).alias(name) for seed, name in enumerate("ab")])
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), both(w))
-    return let(words_, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>")))
+def word_hashes(words_: Column) -> Column:
+    """h, g: two 64-bit hashes of each word, as arrays."""
+    return F.struct(F.transform(words_, lambda w: F.xxhash64(w)).alias("h"), F.transform(words_, lambda w: F.xxhash64(w, F.lit(1))).alias("g"))
 
 
 def letters(text: Column) -> Column:
@@ -138,35 +137,36 @@ def char_class(chars: str) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
-def vocabulary_map(vocabulary: str, alphabet: str) -> dict[str, str]:
-    """What stands for each character of ``alphabet`` that isn't in ``vocabulary``: its fallback, lower
-    case or base letter, else a space."""
-    out = {}
-    for c in dict.fromkeys(alphabet):
-        if c not in vocabulary:
-            base = unicodedata.normalize("NFD", c)[0]
-            out[c] = FALLBACK[c] if c in FALLBACK else c.lower() if c.lower() in vocabulary else base if base in vocabulary else " "
-    return out
+@lru_cache(maxsize=1)
+def _kin() -> dict[str, tuple[str, str]]:
+    """Every character of Unicode that has a lower case or a decomposition of its own: the two of
+    them, lower case and first character of the decomposition."""
+    points = (chr(p) for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000)
+    both = ((c, c.lower(), unicodedata.normalize("NFD", c)[0]) for c in points)
+    return {c: (low, base) for c, low, base in both if low != c or base != c}
 
 
-#: Every character of the Latin blocks and of general punctuation: what a decomposition can help.
-LATIN = "".join(map(chr, [*range(0x20, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2040)]))
+@lru_cache(maxsize=8)
+def stand_ins(vocabulary: str) -> dict[str, str]:
+    """What stands for a character that ``vocabulary`` lacks, of all for which something does: a fixed
+    one, or else its lower case, or else its base character, whichever the vocabulary has."""
+    known = frozenset(vocabulary)
+    found = {c: next(x for x in kin if x in known) for c, kin in _kin().items() if not known.isdisjoint(kin)}
+    return {c: to for c, to in (found | FALLBACK).items() if c not in known}
 
 
 def fit_to_vocabulary(text: Column, vocabulary: str) -> Column:
     """Text with only characters of ``vocabulary``; white space is collapsed."""
-    mapped = vocabulary_map(vocabulary, LATIN)
-    # what stands for one character by one call; what has several or none, or isn't listed, apart
-    kept = "".join(dict.fromkeys(vocabulary))
-    single = {c: to for c, to in mapped.items() if len(to) == 1}
-    dropped = "".join(c for c, to in mapped.items() if to == "")
+    found = stand_ins(vocabulary)
+    # what has one character in its place is replaced by one call, what has none is dropped by it
+    single = {c: to for c, to in found.items() if len(to) == 1}
+    dropped = "".join(c for c, to in found.items() if not to)
     fitted = F.translate(text, "".join(single) + dropped, "".join(single.values()))
-    listed = char_class(kept + "".join(single.values()))
+    listed = char_class(vocabulary + "".join(single.values()))
     return F.trim(F.regexp_replace(F.regexp_replace(fitted, f"[^{listed}]", " "), r"(?U)\s+", " "))
 
 
 def unmappable(text: Column, vocabulary: str) -> Column:
     """The distinct characters, sorted, for which only a space could stand."""
-    mapped = vocabulary_map(vocabulary, LATIN)
-    fine = char_class("".join([*vocabulary, *(c for c, to in mapped.items() if to != " ")]))
+    fine = char_class(vocabulary + "".join(stand_ins(vocabulary)))
     return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(text, f"[{fine}]", ""), ""), lambda c: c != "")))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curalith.functions import signal as S
-from curalith.functions.text import MOJIBAKE, char_class, fixed, letters, message_type, rounded, unmappable
+from curalith.functions.text import MOJIBAKE, fixed, letters, message_type, rounded, unmappable
 from curalith.operators.duplicates import first_occurrence
 from curalith.operators.leak import leaks
 from curalith.operators.ranking import quantiles
+from curalith.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -209,14 +213,28 @@ def duration_stats(rows: DataFrame, column: str) -> DataFrame:
     return one.join(quantiles(kept, [], column, {"median_s": 0.5}), "n", "left").select("n", "total_min", "mean_s", "median_s", "min_s", "max_s")
 
 
+def _bytes(column: pa.Array) -> bytes:
+    """The bytes of all texts, one after the other."""
+    column = pa.compute.fill_null(column, "")
+    wide = "q" if pa.types.is_large_string(column.type) else "i"
+    at = memoryview(column.buffers()[1]).cast("B").cast(wide)
+    data = column.buffers()[2]
+    return memoryview(data)[at[column.offset] : at[column.offset + len(column)]].tobytes() if data is not None and len(column) else b""
+
+
 def letter_counts(texts: DataFrame, alphabet: str) -> DataFrame:
-    """letter, n for each letter of ``alphabet`` (0 where it doesn't occur)."""
-    shown, low = list(dict.fromkeys(alphabet)), F.lower("text")
-    # other characters go first, so that each letter's replacement reads a short text; each text gives
-    # one number for each letter, which are added up before anything is shuffled
-    kept = texts.select(F.regexp_replace(low, f"[^{char_class(''.join(shown))}]+", "").alias("_t")) if shown else texts.select(low.alias("_t"))
-    totals = kept.agg(*[F.coalesce(F.sum(F.length("_t") - F.length(F.replace("_t", F.lit(c), F.lit("")))), F.lit(0)).alias(f"n{k}") for k, c in enumerate(shown)])
-    return totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.col(f"n{k}").alias("n")) for k, c in enumerate(shown)])).alias("x")).select("x.letter", "x.n")
+    """letter, n for each letter of ``alphabet`` (0 where it doesn't occur).  UTF-8 letters can't be
+    found across characters, so each batch of texts is looked through as one run of bytes."""
+    shown = list(dict.fromkeys(alphabet))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = _bytes(batch.column("t"))
+            yield pa.RecordBatch.from_arrays([pa.array(shown), pa.array([raw.count(c.encode()) for c in shown], pa.int64())], names=["letter", "n"])
+
+    found = spread(texts.select(F.lower("text").alias("t"))).mapInArrow(counted, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
+    every = texts.sparkSession.createDataFrame([(c,) for c in shown], "letter string")
+    return every.join(found, "letter", "left").select("letter", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def read_seconds(text: Column) -> Column:

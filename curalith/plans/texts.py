@@ -108,16 +108,12 @@ def vowel_harmony(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", v.alias("last_vowel"), X.harmonized(F.lit("e"), v).alias("two_way"), X.harmonized(F.lit("i"), v).alias("four_way"))
 
 
-def _mapped() -> dict[str, str]:
-    return X.vocabulary_map(VOCABULARY, X.LATIN)
-
-
 _quote = lambda s: "'" + s.replace("'", "''") + "'"
 _class = lambda chars: "".join(f"\\{c}" if ord(c) < 128 and not c.isalnum() and c != " " else c for c in dict.fromkeys(chars)).replace("'", "''")
-_SINGLE = {c: v for c, v in _mapped().items() if len(v) == 1}
-_DROPPED = "".join(c for c, v in _mapped().items() if v == "")
+_SINGLE = {c: v for c, v in X.stand_ins(VOCABULARY).items() if len(v) == 1}
+_DROPPED = "".join(c for c, v in X.stand_ins(VOCABULARY).items() if v == "")
 #: The characters, but spaces, for which only a space could stand.
-_OUTSIDE = f"list_sort(list_distinct(list_filter(string_split(regexp_replace(text, '[{_class([*VOCABULARY, *(c for c, v in _mapped().items() if v != ' ')])}]', '', 'g'), ''), lambda c: c <> '')))"
+_OUTSIDE = f"list_sort(list_distinct(list_filter(string_split(regexp_replace(text, '[{_class([*VOCABULARY, *X.stand_ins(VOCABULARY)])}]', '', 'g'), ''), lambda c: c <> '')))"
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, {_quote(''.join(_SINGLE) + _DROPPED)}, {_quote(''.join(_SINGLE.values()))}), '[^{_class([*VOCABULARY, *_SINGLE.values()])}]', ' ', 'g'), '\\s+', ' ', 'g')) AS fitted FROM documents")

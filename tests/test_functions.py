@@ -1,3 +1,4 @@
+import unicodedata
 import wave
 
 import numpy as np
@@ -93,7 +94,8 @@ def test_words_and_hashes(spark):
     df = spark.createDataFrame([(" 'Bir\u00a0iki\u2003üç. . dört's\tbeş! \x1c",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(text.words(F.col("t"))).collect()]
     assert got == [["bir", "iki", "üç", "dört's", "beş"], [], None]
-    assert [len(r[0] or []) for r in df.select(text.ngram_hashes(text.words(F.col("t")), 5)).collect()] == [1, 0, 0]
+    hashed = df.select(text.word_hashes(text.words(F.col("t"))).alias("x")).select("x.h", "x.g").first()
+    assert len(hashed.h) == len(set(hashed.h)) and not set(hashed.h) & set(hashed.g)
 
 
 def test_vocabulary(spark):
@@ -103,6 +105,24 @@ def test_vocabulary(spark):
     assert df.select(text.unmappable(F.col("t"), vocab)).first()[0] == ["☺"]
 
 
+def test_vocabulary_of_every_character(spark):
+    """All characters of the basic plane and some beyond, against the rule said plainly."""
+    vocab = "abcçdefgğhıijklmnoöprsştuüvyzâABCÇDEFGHIİJKLMNOÖPRSŞTUÜVYZ0123456789 .,?:;'-%αΩ"
+    known = {"Ğ": "ğ", "q": "k", "î": "i", "Î": "İ", "û": "u", "Û": "U", "!": ".", "“": "", "”": "", '"': "", "«": "", "»": "", "–": ",", "—": ",", "Â": "A"}
+    chars = [chr(p) for p in [*range(0x20, 0xD800), *range(0xE000, 0xFFFE), 0x10400, 0x1D11E, 0x1F600] if not chr(p).isspace()]
+
+    def plain(c):
+        for to in ([c] if c in vocab else [known[c]] if c in known else [c.lower()] if c.lower() in set(vocab) else [unicodedata.normalize("NFD", c)[0]]):
+            return to if to == "" or to in set(vocab) else None
+
+    df = spark.createDataFrame([(k, f"a{c}a") for k, c in enumerate(chars)], "k long, t string")
+    got = {r.k: (r.f, r.u) for r in df.select("k", text.fit_to_vocabulary(F.col("t"), vocab).alias("f"), text.unmappable(F.col("t"), vocab).alias("u")).collect()}
+    for k, c in enumerate(chars):
+        to = plain(c)
+        assert got[k] == (("a a", [c]) if to is None else (f"a{to}a", [])), (hex(ord(c)), got[k], to)
+    assert (plain("\u212a"), plain("\u212b"), plain("ά")) == ("k", "A", "α")
+
+
 def test_signal(spark):
     rows = spark.createDataFrame([([0.0, 0.0, 1.0, 1.0, 0.5, 0.5, 0.0],), ([],)], "s array<double>")
     levels = rows.select(signal.frame_levels(F.col("s"), F.lit(2)).alias("l")).collect()
