@@ -139,8 +139,8 @@ class Memo:
 class ChunkEncoder:
     """Remembers the ids of chunks; ``encode`` maps a list of new chunks to arrays of ids."""
 
-    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[bytes]]):
-        self.cut, self.memo = cut, Memo(encode)
+    def __init__(self, cut: Callable, encode: Callable[[list[bytes]], list[bytes]], most: int = MEMO_CHUNKS):
+        self.cut, self.memo = cut, Memo(encode, most)
 
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The ids of each chunk as bytes of uint32, in order; chunks before each document (n + 1)."""
@@ -227,7 +227,7 @@ class Vocabulary:
             coded = encode([x.decode("utf-8", "replace") for x in new])
             return [array("I", ids).tobytes() if b"".join([spelled[i] for i in ids]) == x else b"" for ids, x in zip(coded, new, strict=True)]
 
-        self.encoder = ChunkEncoder(cut, checked)
+        self.encoder = ChunkEncoder(cut, checked, MEMO_CHUNKS // 2)  # there are two of them
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all documents one after the other, offsets (n + 1), and whether a document is spelled."""

@@ -173,22 +173,22 @@ def end_levels(chunks: DataFrame, window_s: float = 0.03) -> DataFrame:
 ZEROS, PASSING = 48, 0.94
 
 
-def kernel(up: int, down: int) -> np.ndarray:
+def kernel(up: int, down: int, zeros: int = ZEROS) -> np.ndarray:
     """The taps of each of ``up`` phases: a sinc that lets PASSING of the narrower band pass, under a
     Blackman-Harris window.  Phase p, tap k weighs the sample k - half places after floor(p * down / up)."""
     cutoff = PASSING * min(1.0, up / down)
-    half = reach(up, down)
+    half = reach(up, down, zeros)
     at = np.arange(-half, half + 1) - ((np.arange(up) * down) % up)[:, None] / up
     window = sum(c * np.cos(k * np.pi * at / (half + 1)) for k, c in enumerate((0.35875, 0.48829, 0.14128, 0.01168)))
     return cutoff * np.sinc(cutoff * at) * np.where(np.abs(at) < half + 1, window, 0.0)
 
 
-def reach(up: int, down: int) -> int:
+def reach(up: int, down: int, zeros: int = ZEROS) -> int:
     """How many samples on each side a sample of the new rate is made of."""
-    return int(np.ceil(ZEROS / min(1.0, up / down)))
+    return int(np.ceil(zeros / min(1.0, up / down)))
 
 
-def _resampled(rate: int):
+def _resampled(rate: int, zeros: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -201,7 +201,7 @@ def _resampled(rate: int):
                     starts.append(start)
                     continue
                 up, down = rate // gcd(rate, old), old // gcd(rate, old)
-                taps, half = kernels.setdefault((up, down), kernel(up, down)), reach(up, down)
+                taps, half = kernels.setdefault((up, down), kernel(up, down, zeros)), reach(up, down, zeros)
                 before, after = left[left_at[k] : left_at[k + 1]][-half:], right[right_at[k] : right_at[k + 1]][:half]
                 padded = np.concatenate([np.zeros(half - len(before)), before, x, after, np.zeros(half - len(after))])
                 first, last = -(-start * up // down), -(-(start + len(x)) * up // down)  # those whose place lies in this chunk
@@ -221,16 +221,14 @@ def _resampled(rate: int):
     return run
 
 
-def resampled(chunks: DataFrame, rate: int, longest_reach: int | None = None) -> DataFrame:
+def resampled(chunks: DataFrame, rate: int, zeros: int = ZEROS) -> DataFrame:
     """``chunks`` at ``rate`` samples a second.  Each chunk makes the samples that fall into it, with
-    what its neighbours lend it; chunks must be longer than the kernel's reach, which the least
-    and the greatest of the rates decide (looked up where ``longest_reach`` isn't given)."""
-    if longest_reach is None:
-        rates = [r.sample_rate for r in chunks.select("sample_rate").filter("sample_rate > 0").distinct().collect()]  # a few
-        longest_reach = max((reach(rate // gcd(rate, r), r // gcd(rate, r)) for r in rates), default=1)
-    lent = with_overlap(chunks, longest_reach)
+    what its neighbours lend it; chunks must be longer than the kernel's reach (``zeros`` zero
+    crossings on each side), or be a recording's only one."""
+    rates = [r.sample_rate for r in chunks.select("sample_rate").filter("sample_rate > 0").distinct().collect()]  # a few
+    lent = with_overlap(chunks, max((reach(rate // gcd(rate, r), r // gcd(rate, r), zeros) for r in rates), default=1))
     names = [c.split()[0] for c in CHUNKS.split(", ")]
-    return lent.select(*names, "before", "after").mapInArrow(_resampled(rate), CHUNKS)
+    return lent.select(*names, "before", "after").mapInArrow(_resampled(rate, zeros), CHUNKS)
 
 
 def joined(chunks: DataFrame) -> DataFrame:

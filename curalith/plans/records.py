@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from curalith.functions import text as X
-from curalith.operators import duplicates, joins, leak, ranking, script, split, validation
+from curalith.operators import dataset, duplicates, joins, leak, ranking, script, split, validation
 from curalith.plans.registry import Registry, table
 from curalith.plans.texts import _LEAKS, _OUTSIDE, VOCABULARY
+from curalith.sources.tables import stored
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -84,10 +85,11 @@ def resume_todo(spark, sf_dir):
     return joins.todo(ids("documents"), ids("labels"))
 
 
-@query("SELECT l.doc_id, coalesce(d.source, 'unknown') AS category FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang <> 'fr') d USING (doc_id)")
+@query("SELECT l.l_partkey AS doc_id, coalesce(d.source, 'unknown') AS category FROM (SELECT DISTINCT l_partkey FROM lineitem) l LEFT JOIN documents d ON d.doc_id = l.l_partkey")
 def record_category(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang <> 'fr'").select("doc_id", F.col("source").alias("category"))
-    return joins.with_category(table(spark, sf_dir, "labels").select("doc_id"), docs, "doc_id")
+    """Parts stand for records, of which some have no document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category"))
+    return joins.with_category(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc_id")).distinct(), docs, "doc_id")
 
 
 @query("SELECT category, count(*) AS n FROM (SELECT coalesce(source, 'unknown') AS category FROM documents) GROUP BY 1")
@@ -135,9 +137,33 @@ def validation_flags(spark, sf_dir):
     return _flagged(spark, sf_dir).select("doc_id", (F.size("errors") == 0).alias("accepted"), F.array_join("errors", "; ").alias("errors"))
 
 
-@query(_FLAGS + "SELECT 'errors' AS kind, string_split(x, ':')[1] AS type, count(*) AS n FROM (SELECT unnest(errors) AS x FROM e) GROUP BY ALL")
+@query(_FLAGS + """SELECT kind, string_split(x, ':')[1] AS type, count(*) AS n FROM (SELECT 'errors' AS kind, unnest(errors) AS x FROM e
+  UNION ALL SELECT 'warnings', 'same transcript: as ' || f FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY lower(text)) AS f FROM documents) WHERE text <> '' AND doc_id > f) GROUP BY ALL""")
 def error_types(spark, sf_dir):
-    return validation.message_counts(_flagged(spark, sf_dir).withColumn("warnings", F.array().cast("array<string>")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = duplicates.first_occurrence(docs, F.when(F.col("text") != "", F.lower("text")), "doc_id", "doc_id").select("doc_id", "first_id")
+    again = validation.messages((F.col("first_id").isNotNull(), F.concat(F.lit("same transcript: as "), F.col("first_id").cast("string"))))
+    return validation.message_counts(_flagged(spark, sf_dir).join(seen, "doc_id").withColumn("warnings", again))
+
+
+_INFO = _FLAGS + ", acc AS (SELECT d.* FROM documents d JOIN e USING (doc_id) WHERE len(errors) = 0)," + _SPLIT.replace("FROM documents", "FROM acc").replace("WITH g AS", "g AS", 1).strip() + """,
+  p AS (SELECT s.id, s.split, coalesce(a.lang, 'unknown') AS category, a.n_chars / 14.0::DOUBLE AS seconds FROM split s JOIN acc a ON a.doc_id = s.id),
+  c AS (SELECT split, string_agg(category || ' ' || n, ', ' ORDER BY category) AS categories FROM (SELECT split, category, count(*) AS n FROM p GROUP BY ALL) GROUP BY split)
+SELECT split, count(*) AS records, sum(a.n_chars) AS characters, sum(('0x' || sha256(p.id::VARCHAR)[1:15])::BIGINT)::VARCHAR AS digest, any_value(categories) AS categories FROM p JOIN acc a ON a.doc_id = p.id JOIN c USING (split) GROUP BY split"""
+
+
+@query(_INFO)
+def split_info(spark, sf_dir):
+    """From documents to splits as one flow: what passes the text rules is split, with the guard
+    against leaks in the plan; here the duration of a record is its number of characters."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("category"), F.col("n_chars").alias("duration_s"))
+    passed = _flagged(spark, sf_dir).filter(F.size("errors") == 0).select(F.col("doc_id").alias("id"))
+    accepted = stored(dataset.guarded(stored(docs.join(passed, "id"), "passed"), table(spark, sf_dir, "benchmark")), "accepted")
+    split_of = split.assign_splits(accepted.select("id", "text", "category")).select("id", "split")
+    rows = accepted.withColumn("category", F.coalesce("category", F.lit("unknown"))).join(split_of, "id")
+    info = dataset.split_info(rows).join(rows.groupBy("split").agg(F.sum("duration_s").alias("characters")), "split")
+    shown = F.array_join(F.transform("categories", lambda c: F.concat_ws(" ", c["category"], c["n"].cast("string"))), ", ")
+    return info.select("split", "records", "characters", "digest", shown.alias("categories"))
 
 
 _SCRIPT = _LEAKS + f""",

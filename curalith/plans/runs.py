@@ -1,43 +1,54 @@
 """Queries over takes, generation logs, model comparison and training logs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curalith.functions.text import fixed
 from curalith.operators import comparison, takes, training
-from curalith.operators.validation import messages
 from curalith.plans.registry import Registry, table
 from curalith.plans.texts import VOCABULARY
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
-# an order is a clip, its lines are the takes
-_TAKES = """WITH takes AS (SELECT l_orderkey AS clip, l_linenumber AS attempt, l_quantity * 8 AS min_f0_hz,
-    list_filter([CASE WHEN l_quantity * 8 < 180 THEN 'low_pitch' END, CASE WHEN l_discount > 0.05::DOUBLE THEN 'clipped' END, CASE WHEN l_tax > 0.06::DOUBLE THEN 'duration' END], lambda x: x IS NOT NULL) AS reasons FROM lineitem)
+# an order is a clip, its lines are the takes; a line's number can repeat in the stand-in, so lines are
+# numbered anew in an order that tells them apart
+_CODES = (
+    ("min_f0_hz IS NULL OR voiced_ratio < 0.5::DOUBLE", "unvoiced"), ("opening_hz < 200", "low_opening"), ("min_f0_hz < 180", "low_pitch"), ("duration_s NOT BETWEEN 0.5::DOUBLE AND 14", "duration"),
+    ("coalesce(letters_per_s NOT BETWEEN 5 AND 25, true)", "speaking_rate"), ("clipped_fraction > 0.001::DOUBLE", "clipped"),
+)
+_DISTINCT = f"""WITH lines AS (SELECT l_orderkey AS clip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS attempt, * FROM lineitem),
+  m AS (SELECT clip, attempt, nullif(l_quantity::DOUBLE, 13) * 8 AS min_f0_hz, l_tax::DOUBLE * 10 + 0.2::DOUBLE AS voiced_ratio, CASE WHEN l_suppkey % 9 > 0 THEN 150 + l_partkey % 500 END::DOUBLE AS opening_hz, l_extendedprice::DOUBLE / 4000 AS duration_s, CASE WHEN l_partkey % 11 > 0 THEN l_suppkey % 30 END::DOUBLE AS letters_per_s, CASE WHEN l_discount::DOUBLE > 0.085::DOUBLE THEN l_discount::DOUBLE / 10 ELSE 0 END AS clipped_fraction FROM lines),
+  takes AS (SELECT clip, attempt, min_f0_hz, list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _CODES)}], lambda x: x IS NOT NULL) AS reasons FROM m)
 """
 
 
 def _takes(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("attempt"), (F.col("l_quantity") * 8).alias("min_f0_hz"), "l_discount", "l_tax", "l_partkey", "l_suppkey")
-    rules = messages((F.col("min_f0_hz") < 180, "low_pitch"), (F.col("l_discount") > 0.05, "clipped"), (F.col("l_tax") > 0.06, "duration"))
-    # a line's number can repeat in the stand-in; the choice of a take wants distinct attempts
-    metrics = F.struct("min_f0_hz", "l_discount", "l_tax")
-    first = rows.groupBy("clip", "attempt").agg(F.min_by(metrics, F.struct("l_partkey", "l_suppkey", "min_f0_hz", "l_discount", "l_tax")).alias("x"))
-    return first.select("clip", "attempt", "x.*").select("clip", "attempt", "min_f0_hz", rules.alias("reasons"))
-
-
-_DISTINCT = _TAKES.replace("FROM lineitem)", "FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity * 8, l_discount, l_tax) = 1))")
+    c = F.col
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    double = lambda name: c(name).cast("double")
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("clip"), F.row_number().over(order).cast("long").alias("attempt"), (F.nullif(double("l_quantity"), F.lit(13.0)) * 8).alias("min_f0_hz"), (double("l_tax") * 10 + 0.2).alias("voiced_ratio"),
+        F.when(c("l_suppkey") % 9 > 0, 150.0 + c("l_partkey") % 500).alias("opening_hz"), (double("l_extendedprice") / 4000).alias("duration_s"),
+        F.when(c("l_partkey") % 11 > 0, (c("l_suppkey") % 30).cast("double")).alias("letters_per_s"), F.when(double("l_discount") > 0.085, double("l_discount") / 10).otherwise(0.0).alias("clipped_fraction"),
+    )
+    return rows.select("clip", "attempt", "min_f0_hz", takes.take_reasons().alias("reasons"))
 
 
-@query(_DISTINCT + """, k AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, row_number() OVER (PARTITION BY clip ORDER BY len(reasons) > 0, CASE WHEN len(reasons) = 0 THEN attempt ELSE 0 END, len(reasons), -min_f0_hz, attempt) AS r FROM takes)
+@query(_DISTINCT + """, k AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, row_number() OVER (PARTITION BY clip ORDER BY len(reasons) > 0, CASE WHEN len(reasons) = 0 THEN attempt ELSE 0 END, len(reasons), -coalesce(min_f0_hz, 0), attempt) AS r FROM takes)
 SELECT clip, attempt, min_f0_hz, array_to_string(reasons, '; ') AS reasons, CASE WHEN len(reasons) = 0 THEN attempt ELSE n END::BIGINT AS attempts, CASE WHEN len(reasons) = 0 THEN 'accepted' ELSE 'rejected' END AS status FROM k WHERE r = 1""")
 def take_select(spark, sf_dir):
     return takes.choose_take(_takes(spark, sf_dir), "clip", "attempt").withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query(_DISTINCT + ", k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY min_f0_hz < 300, CASE WHEN min_f0_hz >= 300 THEN 0 ELSE -min_f0_hz END, attempt) AS r FROM takes) SELECT clip, attempt, nullif(min_f0_hz, 0) AS min_f0_hz FROM k WHERE r = 1")
+@query(_DISTINCT + ", k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY coalesce(min_f0_hz, 0) < 300, CASE WHEN min_f0_hz >= 300 THEN 0 ELSE -coalesce(min_f0_hz, 0) END, attempt) AS r FROM takes) SELECT clip, attempt, nullif(min_f0_hz, 0) AS min_f0_hz FROM k WHERE r = 1")
 def drift_guard_select(spark, sf_dir):
-    return takes.choose_by_floor(_takes(spark, sf_dir).withColumn("floor", F.col("min_f0_hz")), "clip", "attempt", 300.0)
+    return takes.choose_by_floor(_takes(spark, sf_dir).withColumn("floor", F.coalesce("min_f0_hz", F.lit(0.0))), "clip", "attempt", 300.0)
+
+
+@query(_DISTINCT + "SELECT code, count(*) AS n FROM (SELECT unnest(reasons) AS code FROM takes) GROUP BY code")
+def take_codes(spark, sf_dir):
+    return _takes(spark, sf_dir).select(F.explode("reasons").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 # an event is a clip of the log

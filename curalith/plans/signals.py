@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curalith.functions import signal as S
-from curalith.operators import pitch, validation
+from curalith.operators import chunks, pitch, validation
 from curalith.operators.duplicates import first_occurrence
 from curalith.plans.registry import Registry, table
 
@@ -56,9 +56,12 @@ def snr_edges(spark, sf_dir):
     return _edges(spark, sf_dir).withColumn("x", noise).select("vec_id", "x.snr", "x.rough")
 
 
-@query(_PCM + "SELECT vec_id, 12 / ((b - a + 1) * 0.02::DOUBLE) AS letters_per_s FROM e")
+@query(_PCM + r"SELECT vec_id, printf('%.1f', length(regexp_replace(text, '[^\p{L}]', '', 'g')) / ((b - a + 1) * 0.02::DOUBLE))::DOUBLE AS letters_per_s FROM e JOIN documents ON doc_id = vec_id")
 def speaking_rate(spark, sf_dir):
-    return _edges(spark, sf_dir).select("vec_id", (12 / ((F.col("edge.last") - F.col("edge.first") + 1) * S.FRAME_S)).alias("letters_per_s"))
+    """A document is what is said in the samples of its number."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    spoken = _edges(spark, sf_dir).select("vec_id", ((F.col("edge.last") - F.col("edge.first") + 1) * S.FRAME_S).alias("speech_s"))
+    return validation.with_rate(spoken.join(texts, "vec_id")).select("vec_id", "letters_per_s")
 
 
 @query(_PCM + "SELECT vec_id, 20 * log10(greatest(sqrt(list_sum(list_transform(s[len(s) - 11 : len(s)], lambda x: x * x)) / 12) / list_max(list_transform(s, lambda x: abs(x))), 1e-10::DOUBLE)) AS end_db FROM pcm")
@@ -73,16 +76,47 @@ def downmix(spark, sf_dir):
     return rows.select("vec_id", F.posexplode("mono").alias("sample", "mono"))
 
 
-@query("SELECT vec_id, 176 AS n, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total FROM embeddings")
+@query("SELECT vec_id, i - 1 AS sample, CASE WHEN i <= 64 THEN embedding[i] WHEN i > 112 THEN embedding[i - 112] ELSE 0 END::DOUBLE AS value FROM (SELECT *, unnest(range(1, 177)) AS i FROM embeddings)")
 def concat_gap(spark, sf_dir):
     part = F.transform("samples", lambda x: x.cast("double"))
-    joined = S.with_gaps(F.array(part, part), RATE)
-    return _samples(spark, sf_dir).select("vec_id", F.size(joined).alias("n"), F.aggregate(joined, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return _samples(spark, sf_dir).select("vec_id", F.posexplode(S.with_gaps(F.array(part, part), RATE)).alias("sample", "value"))
+
+
+def _chunked(spark, sf_dir, length):
+    """Each vector as a recording of one channel, in chunks of ``length`` samples."""
+    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit(RATE).alias("sample_rate"), F.lit(1).alias("channels"), F.lit("PCM_16").alias("subtype"), F.lit(None).cast("string").alias("error"), F.array(F.transform("embedding", lambda x: x.cast("double"))).alias("samples"))
+    return chunks.cut(audio, length)
 
 
 @query("SELECT vec_id, CASE WHEN vec_id > f THEN f ELSE -1 END AS first_id FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding::VARCHAR) AS f FROM embeddings)")
 def duplicate_audio(spark, sf_dir):
-    return first_occurrence(table(spark, sf_dir, "embeddings"), F.to_json(F.struct("embedding")), "vec_id", "vec_id").select("vec_id", F.coalesce("first_id", F.lit(-1)).alias("first_id"))
+    """By the digest of the samples."""
+    found = chunks.digests(_chunked(spark, sf_dir, 64)).select(F.col("id").cast("long").alias("vec_id"), "digest")
+    return first_occurrence(found, F.col("digest"), "vec_id", "vec_id").select("vec_id", F.coalesce("first_id", F.lit(-1)).alias("first_id"))
+
+
+@query(_PCM + """, n AS (SELECT *, list_concat(l[1 : a], l[b + 2 : len(l)]) AS edge, l[a + 1 : b + 1] AS speech FROM e)
+SELECT vec_id, printf('%.1f', 20 * log10(greatest(list_max(list_transform(s, lambda x: abs(x))), 1e-10::DOUBLE)))::DOUBLE AS peak_dbfs, len(list_filter(s, lambda x: abs(x) >= 0.3::DOUBLE)) / len(s) AS clipped, loudest, printf('%.2f', a * 0.02::DOUBLE)::DOUBLE AS leading_s, printf('%.2f', (len(l) - 1 - b) * 0.02::DOUBLE)::DOUBLE AS trailing_s,
+  printf('%.1f', CASE WHEN len(edge) >= 5 THEN list_aggregate(speech, 'quantile_cont', 0.9::DOUBLE) - list_aggregate(edge, 'median') END)::DOUBLE AS snr_db, printf('%.1f', list_aggregate(speech, 'quantile_cont', 0.9::DOUBLE) - list_aggregate(l, 'quantile_cont', 0.1::DOUBLE))::DOUBLE AS rough_snr_db FROM n""")
+def chunked_sound(spark, sf_dir):
+    """The measures of recordings whose chunks of 20 samples end inside their frames of 8."""
+    th = validation.Thresholds(silence_rel_db=-_BELOW, clip_level=0.3, no_speech_dbfs=-1000.0)
+    found = chunks.sound(_chunked(spark, sf_dir, 20), th)
+    return found.select(F.col("id").cast("long").alias("vec_id"), "peak_dbfs", "clipped", "loudest", "leading_s", "trailing_s", "snr_db", "rough_snr_db")
+
+
+_NEW, _UP, _DOWN, _ZEROS = 250, 5, 8, 8  # 400 samples a second to 250
+_HALF, _CUTOFF = chunks.reach(_UP, _DOWN, _ZEROS), chunks.PASSING * _UP / _DOWN
+
+
+@query(f"""WITH k AS (SELECT m, m * {_DOWN} // {_UP} AS place, unnest(range(-{_HALF}, {_HALF + 1})) AS t FROM range(0, 40) r(m)),
+  v AS (SELECT m, place + t AS i, t - (m * {_DOWN} % {_UP}) / {_UP}::DOUBLE AS u FROM k),
+  w AS (SELECT m, i, {_CUTOFF}::DOUBLE * CASE WHEN u = 0 THEN 1 ELSE sin(pi() * {_CUTOFF}::DOUBLE * u) / (pi() * {_CUTOFF}::DOUBLE * u) END * CASE WHEN abs(u) < {_HALF + 1} THEN 0.35875::DOUBLE + 0.48829::DOUBLE * cos(pi() * u / {_HALF + 1}) + 0.14128::DOUBLE * cos(2 * pi() * u / {_HALF + 1}) + 0.01168::DOUBLE * cos(3 * pi() * u / {_HALF + 1}) ELSE 0 END AS h FROM v WHERE i BETWEEN 0 AND 63)
+SELECT vec_id, m AS sample, round(sum(h * embedding[i + 1]::DOUBLE), 6) + 0.0::DOUBLE AS value FROM embeddings, w GROUP BY vec_id, m""")
+def resample(spark, sf_dir):
+    """400 samples a second to 250, over the borders of chunks."""
+    whole = chunks.joined(chunks.resampled(_chunked(spark, sf_dir, 24), _NEW, _ZEROS))
+    return whole.select(F.col("id").cast("long").alias("vec_id"), F.posexplode("samples").alias("sample", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query()
