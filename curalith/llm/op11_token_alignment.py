@@ -43,7 +43,7 @@ from curalith.llm.tokens import byte_vocabulary, piece_vocabulary
 #: Ids of A in a stripe.
 STRIPE = 128
 #: Bytes of texts in a chunk, compressed bytes of a stripe's rows in one task, matrices added up at once.
-CHUNK_BYTES, TASK_BYTES, FAN_IN = 1 << 20, 16 << 20, 16
+CHUNK_BYTES, TASK_BYTES, FAN_IN = 1 << 20, 4 << 20, 16
 
 _MADE = "chunk long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, stripe int, pairs_bytes int, links_bytes int, pairs binary, links binary"
 _COUNTS = "stripe int, part long, counts binary"
