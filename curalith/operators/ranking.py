@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalith.sources.tables import stored
+
 #: Error of the approximate quantiles: a rank is off by at most one in so many rows.
 ACCURACY = 10_000
 
@@ -26,6 +28,22 @@ def numbered(rows: DataFrame, section: str, value: str, ties: list[str], name: s
     return cut.withColumn("_inside", inside).join(before, [section, "_range"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
 
+def in_order(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows``, written down in the order of ``by`` and ``order``, with _part and _turn: parts of
+    about one size, of which one ``by`` may fill many, and numbers that grow along the order."""
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = rows.repartitionByRange(tasks, by, *order).sortWithinPartitions(by, *order)
+    return stored(cut.withColumns({"_part": F.spark_partition_id(), "_turn": F.monotonically_increasing_id()}), "ordered")
+
+
+def carried(ordered: DataFrame, by: str, **sums: Column) -> DataFrame:
+    """by, _part and for each of ``sums`` (aggregates that add up or take a least: a "min_" before the
+    name) what the parts before hand on: of few rows, one for each ``by`` in each part."""
+    parts = ordered.groupBy(by, "_part").agg(*[c.alias(k) for k, c in sums.items()])
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(by, "_part", *[(F.min(k).over(before) if k.startswith("min_") else F.coalesce(F.sum(k).over(before), F.lit(0))).alias(k) for k in sums])
+
+
 def ranked_by_hash(rows: DataFrame, by: str, h: str) -> DataFrame:
     """``rows`` with rank (from 1, in the order of the hexadecimal hash ``h``) and n (their number),
     both in each ``by``.  The hash's first three digits cut each ``by`` into even ranges."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalith.operators.ranking import ranked_by_hash
+from curalith.functions.text import let
+from curalith.operators.ranking import carried, in_order, ranked_by_hash
 
 
 def seeded(seed: int | str, key: Column) -> Column:
@@ -36,12 +39,47 @@ def sample_by_hash(rows: DataFrame, by: str, key: str, n: int, seed: int = 42) -
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+#: Rounds of a permutation, and the prime that its bits are mixed by.
+ROUNDS, PRIME = 24, (1 << 31) - 1
+
+
+def round_keys(seed: int, epoch: int) -> list[tuple[int, int, int, int]]:
+    """For each round the number whose difference a place is swapped with, and three by which it is
+    decided whether it is."""
+    words = [hashlib.sha256(f"{seed}:{epoch}:{k}".encode()).digest() for k in range(ROUNDS)]
+    return [(int.from_bytes(w[:8], "big") >> 4, *(int.from_bytes(w[i : i + 4], "big") % (PRIME - 1) + 1 for i in (8, 12, 16))) for w in words]
+
+
+def permuted(rows: DataFrame, place: str, n: str, seed: int, epoch: int) -> DataFrame:
+    """``rows`` whose ``place`` (0 to n - 1) is moved by a keyed permutation of 0 to n - 1: in each
+    round a place and its mirror (key - place modulo n) are swapped or not, as a bit says that both
+    have in common.  Arithmetic on each row alone, at any n; nothing is sorted or shuffled."""
+    size = F.col(n).cast("long")
+
+    def moved(x: Column, key: Column) -> Column:
+        mirror = F.pmod(key["q"] % size - x, size)
+        mixed = let(mirror, lambda y: (F.greatest(x, y) % PRIME * key["a"] + key["b"]) % PRIME)
+        swapped = let(mixed, lambda v: F.shiftright((v * v + key["c"]) % PRIME, 11).bitwiseAND(F.lit(1).cast("long"))) == 1
+        return F.when(swapped, mirror).otherwise(x)
+
+    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(name) for v, name in zip(k, "qabc", strict=True)]) for k in round_keys(seed, epoch)])
+    return rows.withColumn(place, F.aggregate(keys, F.col(place).cast("long"), moved))
+
+
+def row_numbers(rows: DataFrame, key: str) -> DataFrame:
+    """key, at (from 0, in the order of ``key``) and n of all rows: once for all epochs.  Parts of the
+    order are counted, and only a part is numbered in one task."""
+    ordered = in_order(rows.select(F.lit(0).alias("_all"), key), "_all", [key])
+    handed = carried(ordered, "_all", before=F.count("*"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_turn")) - 1
+    sizes = handed.join(ordered.groupBy("_part").agg(F.count("*").alias("_n")), "_part")
+    total = sizes.agg(F.max(F.col("before") + F.col("_n")).alias("n")).withColumn("_all", F.lit(0))
+    return ordered.withColumn("_inside", inside).join(handed, ["_all", "_part"]).join(total, "_all").select(key, (F.col("_inside") + F.col("before")).cast("long").alias("at"), "n")
+
+
 def epoch_batches(rows: DataFrame, key: str, batch: int, seed: int, epoch: int) -> DataFrame:
     """key, batch, place: a seeded order of an epoch cut into whole batches; the short last one is
-    dropped.  The order's rank is found by ranges of the hash, so no task sees all rows."""
-    hashed = rows.select(key, seeded(f"{seed}:{epoch}", F.col(key)).alias("h")).withColumn("range", F.substring("h", 1, 2))
-    counts = hashed.groupBy("range").count()
-    before = counts.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("h", key)) - 1 + F.col("before")
-    placed = hashed.join(before, "range").withColumn("at", rank)
+    dropped.  ``rows`` may be numbered already (``row_numbers``); else they are."""
+    numbered = rows.select(key, "at", "n") if {"at", "n"} <= set(rows.columns) else row_numbers(rows, key)
+    placed = permuted(numbered, "at", "n", seed, epoch)
     return placed.filter(F.col("at") < F.floor(F.col("n") / batch) * batch).select(key, F.floor(F.col("at") / batch).alias("batch"), (F.col("at") % batch).alias("place"))

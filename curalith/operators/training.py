@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalith.operators.ranking import carried, in_order
+
 
 def learning_rate(step: Column, warmup: int, total: int, base: float) -> Column:
     """Linear warm-up, then a cosine down to a twentieth."""
@@ -23,20 +27,71 @@ def weighted_loss(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
 
 
+_FOLDED = "run binary, best_at long, best_loss double, stop_at long"
+
+
+def _stops(patience: int, min_delta: float):
+    """Folds evaluations that are sorted by run and place, a row at a time: the best so far, and the
+    place at which ``patience`` others in a row are full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, at, stop, size, out = None, math.inf, 0, None, 0, []
+
+        def closed() -> tuple:
+            end = stop if stop is not None else at + patience if size - at >= patience else None
+            return now, at or None, best if at else None, end
+
+        for batch in batches:
+            for key, k, loss, n in zip(*(batch.column(c).to_pylist() for c in ("run", "k", "loss", "n")), strict=True):
+                if key != now:
+                    if now is not None:
+                        out.append(closed())
+                    now, best, at, stop, size = key, math.inf, 0, None, n
+                if stop is None and k - at > patience:
+                    stop = at + patience
+                if stop is None and loss is not None and loss < best - min_delta:
+                    best, at = loss, k
+            if len(out) >= 1000:
+                yield _rows(out)
+                out = []
+        if now is not None:
+            out.append(closed())
+        yield _rows(out)
+
+    return run
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.float64(), pa.int64())
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _FOLDED.split(", ")])
+
+
 def early_stop(log: DataFrame, run: str, patience: int, min_delta: float = 0.0) -> DataFrame:
     """run, best_step, best_loss, stop_step (null if it never stops): an evaluation is better if its
     loss lies more than ``min_delta`` under the best so far; ``patience`` others in a row stop.
-    The fold depends on its own state, so each run's evaluations are folded in order."""
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("streak"), F.lit(None).cast("long").alias("stop"))
-
-    def step(s: Column, x: Column) -> Column:
-        better = x["loss"] < s["best"] - min_delta
-        streak = F.when(better, 0).otherwise(s["streak"] + 1)
-        new = F.struct(F.when(better, x["loss"]).otherwise(s["best"]).alias("best"), F.when(better, x["step"]).otherwise(s["at"]).alias("at"), streak.alias("streak"), F.when(streak >= patience, x["step"]).alias("stop"))
-        return F.when(s["stop"].isNotNull(), s).otherwise(new)
 
-    folded = log.groupBy(run).agg(F.aggregate(F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "loss"))), start, step).alias("s"))
-    return folded.select(run, F.col("s.at").alias("best_step"), F.when(F.col("s.at").isNotNull(), F.col("s.best")).alias("best_loss"), F.col("s.stop").alias("stop_step"))
+    A better one is always less than all before it, so a run's parts, each in a task of its own, hand
+    on their number of evaluations and their least loss, and only the evaluations that are less than
+    all before them (and the last, which tells the run's length) go on to the fold, which reads them
+    a row at a time.  No run is held as a whole, however long it is."""
+    rows = log.select(F.col(run).alias("run"), F.col("step").cast("long").alias("step"), F.nanvl(F.col("loss").cast("double"), F.lit(None)).alias("loss"))
+    ordered = in_order(rows, "run", ["step", "loss"])
+    handed = carried(ordered, "run", n=F.count("*"), min_loss=F.min("loss")).withColumnsRenamed({"n": "_before", "min_loss": "_least"})
+    inside = Window.partitionBy("run", "_part").orderBy("_turn")
+    least = F.least("_least", F.min("loss").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    sizes = ordered.groupBy("run").agg(F.count("*").alias("n"))
+    placed = ordered.join(handed, ["run", "_part"]).withColumns({"k": F.row_number().over(inside) + F.col("_before"), "_least": least})
+    # the first of a run is taken along too, so that every run has a row
+    records = placed.filter((F.col("k") == 1) | (F.col("loss") < F.coalesce("_least", F.lit(float("inf"))))).join(sizes, "run")
+    key = F.encode(F.to_json(F.struct("run")), "utf-8")
+    sorted_ = records.select(key.alias("run"), "k", "loss", "n").repartition("run").sortWithinPartitions("run", "k")
+    folded = sorted_.mapInArrow(_stops(patience, min_delta), _FOLDED)
+    # the places of a best and a stop are looked up among the rows that can be one
+    wanted = folded.select("run", "best_loss", "best_at", "stop_at", F.explode(F.array_distinct(F.array(F.coalesce("best_at", F.lit(1)), F.coalesce("stop_at", F.lit(1))))).alias("k"))
+    found = placed.select(F.col("run").alias("_run"), key.alias("run"), "k", "step").join(wanted, ["run", "k"])
+    at = lambda place: F.max(F.when(F.col("k") == F.col(place), F.col("step")))
+    return found.groupBy("_run").agg(at("best_at").alias("best_step"), F.first("best_loss").alias("best_loss"), at("stop_at").alias("stop_step")).withColumnRenamed("_run", run)
 
 
 def keep_last(checkpoints: DataFrame, run: str, n: int) -> DataFrame:

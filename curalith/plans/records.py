@@ -40,8 +40,11 @@ def sample_topk(spark, sf_dir):
     return split.sample_by_hash(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 20)
 
 
-@query("""WITH h AS (SELECT doc_id, sha256('42:1:' || doc_id) AS h FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) - 1 AS k, count(*) OVER () AS n FROM h)
-SELECT doc_id, k // 16 AS batch, k % 16 AS place FROM r WHERE k < n // 16 * 16""")
+@query(f"""WITH RECURSIVE keys(k, q, a, b, c) AS (VALUES {', '.join(f'({k}, {q}::BIGINT, {a}::BIGINT, {b}::BIGINT, {c}::BIGINT)' for k, (q, a, b, c) in enumerate(split.round_keys(42, 1)))}),
+  p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n, 0 AS k FROM documents
+    UNION ALL SELECT doc_id, CASE WHEN (((v * v + c) % {split.PRIME}) >> 11) & 1 = 1 THEN y ELSE x END, n, k + 1
+    FROM (SELECT *, (greatest(x, y) % {split.PRIME} * a + b) % {split.PRIME} AS v FROM (SELECT *, (q % n - x + n) % n AS y FROM p JOIN keys USING (k))))
+SELECT doc_id, x // 16 AS batch, x % 16 AS place FROM p WHERE k = {split.ROUNDS} AND x < n // 16 * 16""")
 def epoch_batches(spark, sf_dir):
     return split.epoch_batches(table(spark, sf_dir, "documents"), "doc_id", 16, 42, 1)
 
