@@ -253,13 +253,3 @@ def test_validate_a_dataset(spark, tmp_path):
     assert s["sample_rates"] == {"48000": 17, "16000": 1, "44100": 1} and s["channels"] == {"1": 18, "2": 1} and s["subtypes"] == {"PCM_24": 18, "PCM_16": 1}
     assert s["error_types"]["duplicate audio"] == 1 and s["warning_types"]["speaking rate"] >= 1 and s["letter_counts"]["ç"] >= 8 and s["accepted_audio"]["n"] == 8
     assert readers.read_wavs(spark, f"{tmp_path}/none").count() == 0
-
-
-def test_stream_resumes(spark, tmp_path):
-    from curalith.streaming.resume import append_new
-
-    spark.createDataFrame([("a",), ("b",)], "clip_id string").write.parquet(f"{tmp_path}/in/1")
-    for k in (1, 2):
-        stream = spark.readStream.schema("clip_id string").parquet(f"{tmp_path}/in/*")
-        append_new(stream, f"{tmp_path}/log", f"{tmp_path}/state{k}").awaitTermination()
-    assert sorted(r.clip_id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == ["a", "b"]
