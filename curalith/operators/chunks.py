@@ -104,7 +104,8 @@ def parts(chunks: DataFrame, clip_level: float = 0.999) -> DataFrame:
 def levels(found: DataFrame, rates: DataFrame) -> DataFrame:
     """id, frame, level of each whole frame, from ``parts`` and each id's step.  Frames that lie in
     one chunk aren't shuffled."""
-    rows = found.select("id", "first_frame", F.posexplode(F.arrays_zip("power", "many")).alias("k", "x")).select("id", (F.col("first_frame") + F.col("k")).alias("frame"), "x.power", "x.many").join(rates, "id")
+    each = found.join(rates, "id").select("id", "step", "first_frame", F.posexplode(F.arrays_zip("power", "many")).alias("k", "x"))
+    rows = each.select("id", "step", (F.col("first_frame") + F.col("k")).alias("frame"), "x.power", "x.many")
     shared = rows.filter("many < step").groupBy("id", "frame", "step").agg(F.sum("power").alias("power"), F.sum("many").alias("many"))
     whole = rows.filter("many = step").unionByName(shared.filter("many = step"), allowMissingColumns=True)
     return whole.select("id", "frame", decibels(F.sqrt(F.col("power") / F.col("step"))).alias("level"))
