@@ -98,6 +98,49 @@ def amount_words(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.amount_words(F.floor("l_quantity").cast("string"), cents).alias("words"))
 
 
+#: A spoken form in SQL with a suffix joined to it, and its first letter a capital.
+_LAST = "regexp_extract(w, '.*([aeıioöuü])', 1)"
+_FOUR = f"CASE WHEN {_LAST} IN ('a','ı') THEN 'ı' WHEN {_LAST} IN ('o','u') THEN 'u' WHEN {_LAST} IN ('ö','ü') THEN 'ü' ELSE 'i' END"
+_TWO = f"CASE WHEN {_LAST} IN ('a','ı','o','u') THEN 'a' ELSE 'e' END"
+_CAPITAL = "concat(CASE WHEN left({x}, 1) = 'i' THEN 'İ' ELSE upper(left({x}, 1)) END, substr({x}, 2))"
+_HARD = "CASE WHEN right(w, 1) IN ('f','s','t','k','ç','ş','h','p') THEN 't' ELSE 'd' END"
+_MONTHS = "['Ocak','Şubat','Mart','Nisan','Mayıs','Haziran','Temmuz','Ağustos','Eylül','Ekim','Kasım','Aralık']"
+
+
+@query(f"""WITH {_NAMES}, d AS (SELECT o_orderkey AS k, day(o_orderdate::DATE) AS d, month(o_orderdate::DATE) AS m, year(o_orderdate::DATE) AS y FROM orders),
+  f AS (SELECT k, concat({_spoken('d')}, ' ', {_MONTHS}[m], ' ', {_spoken('y')}) AS w FROM d, ones)
+SELECT k, {_CAPITAL.format(x='w')} || {_HARD} || {_FOUR} || 'r.' AS spoken FROM f""")
+def spoken_dates(spark, sf_dir):
+    """Dates with a suffix, as the normaliser reads them."""
+    written = F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("’dir."))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), normalized(written).alias("spoken"))
+
+
+@query(f"""WITH {_NAMES}, m AS (SELECT o_orderkey AS k, round(o_totalprice * 100)::BIGINT // 100 AS n, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE round(o_totalprice * 100)::BIGINT % 100 END AS c FROM orders)
+SELECT k, 'Borç ' || {_spoken('n')} || ' Türk lirası' || CASE WHEN c = 0 THEN 'na' ELSE concat(' ', {_spoken('c')}, ' kuruşa') END || ' indi.' AS spoken FROM m, ones""")
+def spoken_money(spark, sf_dir):
+    """Amounts with points and a comma, before or behind the currency; each third has no hundredths."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    third = F.col("o_orderkey") % 3 == 0
+    amount = F.concat(F.translate(F.format_number(F.call_function("div", cents, F.lit(100)), 0), ",", "."), F.when(third, "").otherwise(F.concat(F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))))
+    written = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Borç ₺"), amount, F.lit("'ye  indi."))).otherwise(F.concat(F.lit("Borç "), amount, F.lit(" TL'ye indi.")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), normalized(written).alias("spoken"))
+
+
+@query(f"""WITH {_NAMES}, c AS (SELECT c_custkey AS k, c_custkey % 24 AS h, c_custkey % 60 AS m, c_custkey % 101 AS p FROM customer),
+  f AS (SELECT k, concat_ws(' ', {_spoken('h')}, CASE WHEN m BETWEEN 1 AND 9 THEN 'sıfır' END, CASE WHEN m > 0 THEN {_spoken('m')} END) AS w,
+    concat('yüzde ', {_spoken('p')}) AS percent, array_to_string(list_transform(string_split(lpad(k::VARCHAR, 12, '0'), ''), lambda x, i: concat(CASE WHEN x = '0' THEN 'sıfır' ELSE o[x::INT] END, CASE WHEN i % 4 = 0 AND i < 12 THEN ',' ELSE '' END)), ' ') AS account FROM c, ones)
+SELECT k, concat({_CAPITAL.format(x='w')}, {_HARD}, {_TWO}, ' te re, on iki, ', account, ' ve ka de ve ', percent, ' ö te veyi deşbord') AS spoken FROM f""")
+def spoken_records(spark, sf_dir):
+    """A time with a suffix, an account number (in groups or not), abbreviations, a percentage and a foreign word."""
+    key = F.col("c_custkey")
+    digits = F.lpad(key.cast("string"), 12, "0")
+    account = F.concat(F.lit("TR12"), F.when(key % 2 == 0, digits).otherwise(F.concat(F.lit(" "), F.substring(digits, 1, 4), F.lit(" "), F.substring(digits, 5, 4), F.lit(" "), F.substring(digits, 9, 4))))
+    time = F.concat((key % 24).cast("string"), F.lit(":"), F.lpad((key % 60).cast("string"), 2, "0"), F.lit("'da "))
+    written = F.concat(time, account, F.lit(" ve KDV %"), (key % 101).cast("string"), F.lit(" ÖTV'yi dashboard"))
+    return table(spark, sf_dir, "customer").select(key.alias("k"), normalized(written).alias("spoken"))
+
+
 _BACK = "v IN ('a','ı','o','u')"
 
 

@@ -1,3 +1,4 @@
+import sys
 import unicodedata
 import wave
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalith.functions import numbers, signal, text
-from curalith.functions.normalizer import cardinal, normalize, suffixed
+from curalith.functions.normalizer import composed, normalized, suffixed
 from curalith.operators import duplicates, split, takes, training, validation
 from curalith.sources import readers, writers
 
@@ -65,20 +66,57 @@ SENTENCES = [
 ]
 
 
-def test_normalizer_pairs():
-    assert {n: cardinal(n) for n in CARDINALS} == CARDINALS
-    assert [suffixed(*x[:3]) for x in SUFFIXES] == [x[3] for x in SUFFIXES]
-    assert [normalize(a) for a, _ in SENTENCES] == [b for _, b in SENTENCES]
-    assert all(normalize(b) == b for _, b in SENTENCES)
-    assert normalize("100TL, 12.5505, 5a, %5 TL TR120006100519786457841326") == "Yüz Türk lirası, on iki.beş bin beş yüz beş, 5a, %beş Türk lirası te re, on iki, sıfır sıfır sıfır altı, bir sıfır sıfır beş, bir dokuz yedi sekiz, altı dört beş yedi, sekiz dört bir üç, iki altı"
-    assert normalize("ONLINE LOGIN %" + "9" * 20) == "Onlayn Login yüzde " + " ".join(["dokuz"] * 20)
+def spoken(spark, texts):
+    """What is said for each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    said = {r.k: r.s for r in df.select("k", normalized(F.col("t")).alias("s")).collect()}
+    return [said[k] for k in range(len(texts))]
+
+
+def test_normalizer_pairs(spark):
+    assert spoken(spark, [a for a, _ in SENTENCES]) == [b for _, b in SENTENCES]
+    assert spoken(spark, [b for _, b in SENTENCES]) == [b for _, b in SENTENCES]
+    suffixes = spark.createDataFrame([(k, *x[:3]) for k, x in enumerate(SUFFIXES)], "k int, form string, suffix string, owned boolean")
+    got = {r.k: r.s for r in suffixes.select("k", suffixed(F.col("form"), F.col("suffix"), F.col("owned")).alias("s")).collect()}
+    assert [got[k] for k in range(len(SUFFIXES))] == [x[3] for x in SUFFIXES]
+
+
+def test_normalizer_edges(spark):
+    pairs = [
+        ("100TL, 12.5505, 5a, %5 TL TR120006100519786457841326", "Yüz Türk lirası, on iki.beş bin beş yüz beş, 5a, %beş Türk lirası te re, on iki, sıfır sıfır sıfır altı, bir sıfır sıfır beş, bir dokuz yedi sekiz, altı dört beş yedi, sekiz dört bir üç, iki altı"),
+        ("ONLINE LOGIN %" + "9" * 20, "Onlayn Login yüzde " + " ".join(["dokuz"] * 20)),
+        (None, None), ("", ""), (" \t\n", ""), ("\ufdd0 a\ufdda", "A"),
+        ("₺1.250.000.", "Bir milyon iki yüz elli bin Türk lirası."),  # points of an amount begin no number
+        ("3.7.1999 45.13.2026 1/2.2026", "Üç Temmuz bin dokuz yüz doksan dokuz kırk beş on üç iki bin yirmi altı bir/iki.iki bin yirmi altı"),
+        ("10:00. 09:05 24:10", "On. Dokuz sıfır beş yirmi dört:on"),
+        ("1,05 TL 1,00 TL 1,5 TL 3,125 ₺", "Bir Türk lirası beş kuruş bir Türk lirası bir Türk lirası elli kuruş üç virgül yüz yirmi beş Türk lirası"),
+        ("123456 %123456 123.456 123456,7", "Bir iki üç dört beş altı yüzde yüz yirmi üç bin dört yüz elli altı yüz yirmi üç bin dört yüz elli altı yüz yirmi üç bin dört yüz elli altı virgül yedi"),
+        ("KDV'lead e-posta'ya TL-li KDV-li T.C.'nin", "Ka de veleed e postaya Türk lirası-li KDV-li te cenin"),
+        ("5'KDV 5'e5", "Beşkdv beşe5"),  # a suffix is no word of its own
+        ("KDV'yi%5", "Ka de veyiyizde beş"),  # what touches a suffix is part of it
+        ("\u0663 ve 5\u0663a", "Üç ve 5\u0663a"),  # digits of another script
+        ("i\u0307. ıslak! çay? Ne.a", "İ\u0307. Islak! Çay? Ne.a"),
+        ("DE12 A1B2 C3D4 E5F6 78'den", "De e, on iki, a bir be iki, ce üç de dört, e beş fe altı, yedi sekizden"),
+    ]
+    assert spoken(spark, [a for a, _ in pairs]) == [b for _, b in pairs]
+    # a text of a few megabytes, and forms that are repeated in it
+    long = "Tutar 5.200 TL'dir. " * 100_000
+    assert spoken(spark, [long])[0] == ("Tutar beş bin iki yüz Türk lirasıdır. " * 100_000).strip()
+
+
+def test_composed_form(spark):
+    """Every character's decomposition, and marks behind letters in an order to be changed."""
+    texts = [unicodedata.normalize("NFD", chr(p)) for p in range(0x80, sys.maxunicode) if not 0xD800 <= p < 0xE000 and unicodedata.normalize("NFD", chr(p)) != chr(p)]
+    texts += [chr(p) for p in range(0x80, sys.maxunicode) if not unicodedata.is_normalized("NFC", chr(p))]
+    texts += ["s\u0307\u0323", "i\u0307", "plain", "\u1100\u1161\u11a8", "a\u0315\u0300\u05ae"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r.k: r.c for r in df.select("k", composed(F.col("t")).alias("c")).collect()} == {k: unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
 
 
 def test_native_numbers_agree(spark):
-    values = [*CARDINALS, 999_999_999_999_999, 10**15, 1_000_000, 21_000]
-    rows = spark.createDataFrame([(n,) for n in values], "n long").select("n", numbers.number_to_words(F.col("n")).alias("w")).collect()
-    assert {r.n: r.w for r in rows} == {n: cardinal(n) for n in values}
-    assert spark.range(1).select(numbers.number_to_words(F.lit(-1))).first()[0] is None
+    rows = spark.createDataFrame([(n,) for n in CARDINALS], "n long").select("n", numbers.number_to_words(F.col("n")).alias("w")).collect()
+    assert {r.n: r.w for r in rows} == CARDINALS
+    assert spark.range(1).select(numbers.number_to_words(F.lit(-1)), numbers.number_to_words(F.lit(10**15))).first() == (None, " ".join(["bir", *["sıfır"] * 15]))
 
 
 def test_rounding_and_holdout(spark):
