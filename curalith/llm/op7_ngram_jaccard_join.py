@@ -63,7 +63,7 @@ def _front(n, num: int, den: int):
 def _sets(batch: pa.RecordBatch, width: int):
     """(first document, hashes, offsets) of the distinct n-grams, a bounded number of bytes at a time."""
     data, offsets = flat_texts(batch.column("text"))
-    for lo, hi in chunks(offsets, 4 << 20):
+    for lo, hi in chunks(offsets):
         at = offsets[lo : hi + 1]
         h, owner = shingles(data[at[0] : at[-1]], at - at[0], width)
         yield lo, *distinct_sets(h, owner, hi - lo)
