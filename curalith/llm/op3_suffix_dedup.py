@@ -10,9 +10,11 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document wi
    string that has it gets the hash of all its bytes as an anchor of its own, and these are dealt
    and sent back in the same way.
 2. Runs of strings with one anchor are dealt out by it as text, each run of a chunk once with its
-   least doc_id.  Their suffixes are sorted by the first LENGTH bytes: multikey quicksort, eight
-   bytes a key, to a shallow depth; a group that is still together is compared with its first
-   member, and what differs goes through a blind trie.  That gives each string's least doc_id.
+   least doc_id, and equal runs of all chunks become one.  Where that leaves an anchor one run, its
+   strings have the run's least doc_id.  The suffixes of other anchors' runs are sorted by the first
+   LENGTH bytes: multikey quicksort, eight bytes a key, to a shallow depth; a group that is still
+   together is compared with its first member, and what differs goes through a blind trie.  That
+   gives each string's least doc_id.
 3. The answers go back to the chunks, whose documents lose the bytes.
 
 A string that very many documents share makes one run for each chunk, not for each document, and
@@ -41,13 +43,16 @@ from curalith.llm.kernels import chunks, flat_texts, gram_hashes, mix, sliding,
 from curalith.llm.storage import new_folder, shuffle_width
 
 LENGTH, GRAM = 50, 18
-CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 19
+#: Bytes of a chunk of documents, and of what is hashed at once (its arrays fit a core's cache).
+CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 15
 #: Bytes of the multikey quicksort; blind tries go on from there.
-SHALLOW = 24
+SHALLOW = 40
 PEELED = 3
 #: Anchors of more runs than this are hot: their strings are dealt one by one.  So many runs are at
 #: most about a million strings, some 100 MB in a task.
 HOT_RUNS = 1 << 15
+#: Strings that are sorted at once, or those of one anchor.
+SORTED = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -57,20 +62,18 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    edge = np.zeros(len(data) + 1, np.int32)
-    ends = offsets[1:]
-    np.add.at(edge, np.maximum(ends - length + 1, offsets[:-1]), 1)
-    np.add.at(edge, ends, -1)
-    valid = np.cumsum(edge)[:n] == 0
+    valid = np.ones(n, bool)
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        valid[max(begin, end - length + 1) : end] = False
     found = []
     for lo in range(0, n, SEGMENT):
         hi = min(n, lo + SEGMENT)
         least = sliding(gram_hashes(data[lo : hi + length - 1], GRAM), length - GRAM + 1, np.minimum)
-        own = valid[lo:hi]
+        own, turn = valid[lo:hi], least[1:] != least[:-1]
         start = own.copy()
-        start[1:] &= ~own[:-1] | (least[1:] != least[:-1])
+        start[1:] &= ~own[:-1] | turn
         stop = own.copy()
-        stop[:-1] &= ~own[1:] | (least[1:] != least[:-1])
+        stop[:-1] &= ~own[1:] | turn
         s = np.flatnonzero(start)
         found.append((s + lo, np.flatnonzero(stop) + 1 - s, mix(least[s] ^ np.uint64(0x5851F42D4C957F2D)) & ~np.uint64(1)))
     first, many, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -83,6 +86,11 @@ def _is_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """Each anchor's bucket; ascending where the anchors are."""
+    return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _each(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The numbers from ``first`` on, ``many`` of them, for each run."""
     return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -125,7 +133,7 @@ class Chunk:
             parts.append(tuple(x[keep] for x in alone))
         first, many, anchor, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         text = self.texts_of(first, many, anchor, length)
-        bucket = (mix(anchor) >> np.uint64(20)).astype(np.int64) % buckets
+        bucket = _bucket(anchor, buckets)
         order = np.lexsort((self.ids[doc], text, bucket))
         new = np.ones(len(order), bool)
         new[1:] = text[order][1:] != text[order][:-1]
@@ -158,20 +166,23 @@ def _dealt(chunk: Chunk, found: tuple, length: int, buckets: int):
     """(bucket, chunk, payload): a chunk's distinct anchors, the lowest bit set where two of its
     documents have one, and the logarithms of how many different runs have each."""
     first, many, anchor, doc = found
-    text = chunk.texts_of(first, many, anchor, length)
-    order = np.lexsort((text, anchor))
-    a, text, d = anchor[order], text[order], chunk.ids[doc[order]]
-    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    new = np.append(True, (a[1:] != a[:-1]) | (text[1:] != text[:-1]))
-    size = np.log2(np.add.reduceat(new.astype(np.int64), first)).astype(np.uint8)
-    a = a[first] | several.astype(np.uint64)
-    bucket = (mix(a & ~np.uint64(1)) >> np.uint64(20)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order = np.argsort(anchor)
+    a, d = anchor[order], chunk.ids[doc[order]]
+    head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    several = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+    count = np.diff(np.append(head, len(a)))
+    texts = np.ones(len(head), np.int64)
+    again = order[np.repeat(count, count) > 1]
+    if len(again):
+        text = chunk.texts_of(first[again], many[again], anchor[again], length)
+        by = np.lexsort((text, anchor[again]))
+        of, text = anchor[again[by]], text[by]
+        other = np.append(True, of[1:] != of[:-1])
+        texts[count > 1] = np.add.reduceat((other | np.append(True, text[1:] != text[:-1])).astype(np.int64), np.flatnonzero(other))
+    a, size = a[head] | several.astype(np.uint64), np.log2(texts).astype(np.uint8)
+    cuts = np.searchsorted(_bucket(a, buckets), np.arange(buckets + 1))
     used = np.flatnonzero(np.diff(cuts))
-    own = [order[cuts[b] : cuts[b + 1]] for b in used]
-    out = [a[x].tobytes() + size[x].tobytes() for x in own]
+    out = [a[i:j].tobytes() + size[i:j].tobytes() for i, j in zip(cuts[used].tolist(), cuts[used + 1].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk.number] * len(used), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "payload"])
 
 
@@ -193,9 +204,10 @@ def _single_anchors(length: int, buckets: int):
 
     def run(batches):
         for row in _rows(batches):
-            chunk, anchors = Chunk(row), _joined_anchors(row["anchors"])
+            anchors = _joined_anchors(row["anchors"])
             hot = anchors[anchors & np.uint64(1) > 0] - np.uint64(1)
             if len(hot):
+                chunk = Chunk(row)
                 yield _dealt(chunk, chunk.single_strings(runs(chunk.data, chunk.offsets, length), hot, length), length, buckets)
 
     return run
@@ -218,7 +230,7 @@ def _shared(hot_runs: int | None):
             found = [np.frombuffer(raw, np.uint64, len(raw) // 9) for _, raw in rows]
             size = np.concatenate([np.frombuffer(raw, np.uint8, offset=len(raw) // 9 * 8) for _, raw in rows]).astype(np.int64)
             a, of = np.concatenate(found), np.repeat(numbers, [len(x) for x in found])
-            order = np.argsort(a, kind="stable")
+            order = np.argsort(a)
             plain = a[order] & ~np.uint64(1)
             first = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
             many = np.diff(np.append(first, len(plain)))
@@ -300,11 +312,12 @@ def _key(data: np.ndarray, starts: np.ndarray, at: int) -> np.ndarray:
 def equal_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings data[start : start + length] by deep-shallow sorting: an order in which equal
     ones are neighbours, and for each place of it the place of the first of its equals.
-    ``length`` is at least SHALLOW + 8."""
+    ``length`` is at least 16."""
+    shallow = min(SHALLOW, (length - 8) // 8 * 8)
     order = np.arange(len(starts))
     group = np.zeros(len(starts), np.int64)  # by place: the place of the group's first member
     active = np.arange(len(starts))
-    for at in range(0, SHALLOW, 8):  # multikey quicksort: only groups that are still together go on
+    for at in range(0, shallow, 8):  # multikey quicksort: only groups that are still together go on
         if not len(active):
             break
         key, own = _key(data, starts[order[active]], at), group[active]
@@ -318,7 +331,7 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         group[active] = np.repeat(active[head], size)
         active = active[np.repeat(size, size) > 1]
     first = np.where(np.isin(np.arange(len(starts)), active, assume_unique=True), -1, np.arange(len(starts)))
-    rest = [*range(SHALLOW, length - 7, 8), length - 8]
+    rest = [*range(shallow, length - 7, 8), length - 8]
     for _ in range(PEELED):  # equals of a group's first open member
         if not len(active):
             break
@@ -334,11 +347,54 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     tries: dict[int, BlindTrie] = {}
     for place in active.tolist():
         s = int(starts[order[place]])
-        value = int.from_bytes(data[s + SHALLOW : s + length].tobytes(), "big")
+        value = int.from_bytes(data[s + shallow : s + length].tobytes(), "big")
         first[place] = tries.setdefault(int(group[place]), BlindTrie()).insert(value, place)
     return order, first
 
 
+def _anchors_of(texts: list[bytes], length: int) -> np.ndarray:
+    """What all strings of each run have in common: the least hash of a gram of its first string."""
+    step = max(1, SEGMENT // length)
+    heads = (np.frombuffer(b"".join(t[:length] for t in texts[i : i + step]), np.uint8) for i in range(0, len(texts), step))
+    return np.concatenate([sliding(gram_hashes(x, GRAM), length - GRAM + 1, np.minimum)[::length] for x in heads])
+
+
+def least_of_strings(texts: list[bytes], best: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least id of each string of different runs, from the least id of each run, as stretches of
+    strings: their ids and lengths, and for each run its first stretch and number of stretches."""
+    many = np.fromiter(map(len, texts), np.int64, len(texts)) - (length - 1)
+    anchor = _anchors_of(texts, length)
+    order = np.argsort(anchor, kind="stable")
+    head = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+    count = np.diff(np.append(head, len(order)))
+    alone = order[head[count == 1]]
+    ids, sizes = [best[alone]], [many[alone]]
+    first, stretches, before = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64), len(alone)
+    first[alone] = np.arange(before)
+    total = np.add.reduceat(many[order], head) * (count > 1)
+    part = np.repeat((np.cumsum(total) - total) // SORTED, count)  # anchors that are sorted together
+    part, rest = (x[np.repeat(count > 1, count)] for x in (part, order))
+    for own in np.split(rest, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(rest) else []:
+        n = many[own]
+        size = n + length - 1
+        data = np.frombuffer(b"".join([*(texts[i] for i in own.tolist()), bytes(8)]), np.uint8)
+        given, equals = equal_strings(data, _each(np.cumsum(size) - size, n), length)
+        least = np.full(len(given), _LAST)
+        np.minimum.at(least, equals, np.repeat(best[own], n)[given])
+        answer = np.empty(len(given), np.int64)
+        answer[given] = least[equals]
+        begin = np.cumsum(n) - n
+        new = np.append(True, answer[1:] != answer[:-1])
+        new[begin] = True
+        at = np.flatnonzero(new)
+        ids.append(answer[at])
+        sizes.append(np.diff(np.append(at, len(answer))))
+        stretches[own] = np.add.reduceat(new.astype(np.int64), begin)
+        first[own] = before + np.cumsum(stretches[own]) - stretches[own]
+        before += len(at)
+    return np.concatenate(ids), np.concatenate(sizes).astype(np.uint32), first, stretches
+
+
 def _least_ids(length: int):
     """(chunk, bucket, answer): for a payload's strings one after the other the least id that has
     each, as lengths and values of stretches."""
@@ -346,28 +402,22 @@ def _least_ids(length: int):
     def run(batches):
         press = zstandard.ZstdDecompressor()
         for bucket, given in _by_bucket(batches, "chunk", "payload"):
-            texts, starts, ids, totals, before = [], [], [], [], 0
+            texts, which, least = {}, [], []
             for _, raw in given:
                 raw = press.decompress(raw)
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
-                least, many = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64)
-                texts.append(np.frombuffer(raw, np.uint8, offset=8 + 12 * n))
-                size = many + length - 1
-                begin = np.cumsum(size) - size + before
-                starts.append(_each(begin, many))
-                ids.append(np.repeat(least, many))
-                totals.append(int(many.sum()))
-                before += len(texts[-1])
-            data, at, own = np.concatenate([*texts, np.zeros(8, np.uint8)]), np.concatenate(starts), np.concatenate(ids)
-            order, first = equal_strings(data, at, length)
-            best = np.full(len(at), _LAST)
-            np.minimum.at(best, first, own[order])
-            answer = np.empty(len(at), np.int64)
-            answer[order] = best[first]
-            for (chunk, _), part in zip(given, np.split(answer, np.cumsum(totals)[:-1]), strict=True):
-                head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                packed = np.int64(len(head)).tobytes() + part[head].tobytes() + np.diff(np.append(head, len(part))).astype(np.uint32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "bucket", "answer"])
+                least.append(np.frombuffer(raw, np.int64, n, 8))
+                size = np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64) + length - 1
+                end = 8 + 12 * n + np.cumsum(size)
+                which.append(np.fromiter((texts.setdefault(raw[i:j], len(texts)) for i, j in zip((end - size).tolist(), end.tolist(), strict=True)), np.int64, n))
+            best = np.full(len(texts), _LAST)
+            np.minimum.at(best, np.concatenate(which), np.concatenate(least))
+            ids, sizes, first, stretches = least_of_strings([*texts], best, length)
+            packed = []
+            for own in which:
+                at = _each(first[own], stretches[own])
+                packed.append(np.int64(len(at)).tobytes() + ids[at].tobytes() + sizes[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk for chunk, _ in given], pa.int64()), pa.array([bucket] * len(given), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bucket", "answer"])
 
     return run
 
@@ -385,23 +435,22 @@ def _cut(length: int, buckets: int, with_bytes: bool):
         for row in _rows(batches):
             chunk = Chunk(row)
             data, offsets, ids = chunk.data, chunk.offsets, chunk.ids
-            gone = np.zeros(len(data) + 1, np.int32)
+            gone = np.zeros(len(data), bool)  # where a string that goes begins
             if row["anchors"]:
                 first, many, doc, which, *_, size, _, bucket = chunk.shared_runs(row, length, buckets)
                 answer = np.concatenate([_stretched(x["answer"]) for x in sorted(row["answers"] or [], key=lambda x: x["bucket"])] or [np.zeros(0, np.int64)])
                 start = np.cumsum(size) - size  # of each distinct run in the answers
-                at, place = _each(start[which], many), _each(first, many)
-                hit = place[answer[at] < np.repeat(ids[doc], many)]
-                np.add.at(gone, hit, 1)
-                np.add.at(gone, hit + length, -1)
-            removed = np.cumsum(gone)[: len(data)] > 0
-            begins = removed.copy()
-            begins[1:] &= ~removed[:-1]
-            edges = offsets[1:-1][offsets[1:-1] < len(data)]
-            begins[edges] = removed[edges]
-            total = lambda x: np.diff(np.append(0, np.cumsum(x))[offsets])
-            lengths, lost, spans = np.diff(offsets), total(removed), total(begins)
-            kept = [data[i:j][~removed[i:j]].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                gone[_each(first, many)[answer[_each(start[which], many)] < np.repeat(ids[doc], many)]] = True
+            at = np.flatnonzero(gone)
+            doc = np.searchsorted(offsets, at, "right") - 1
+            new, last = np.ones(len(at), bool), np.ones(len(at), bool)
+            new[1:] = last[:-1] = (np.diff(at) > length) | (doc[1:] != doc[:-1])
+            begin, end, doc = at[new], at[last] + length, doc[new]  # of each span
+            lengths, lost, spans = np.diff(offsets), np.zeros(len(ids), np.int64), np.bincount(doc, minlength=len(ids))
+            np.add.at(lost, doc, end - begin)
+            left = np.ones(len(data), bool)
+            left[_each(begin, end - begin)] = False
+            kept = [(data[i:j][left[i:j]] if n else data[i:j]).tobytes() for i, j, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans.tolist(), strict=True)]
             columns = [pa.array(ids, pa.int64(), mask=ids == _LAST), pa.array(lengths, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.int64()), pa.array([sha256(k).hexdigest() for k in kept], pa.string())]
             if with_bytes:
                 columns.append(pa.array(kept, pa.binary()))
@@ -413,8 +462,7 @@ def _cut(length: int, buckets: int, with_bytes: bool):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row of ``docs``."""
     spark = docs.sparkSession
-    width = shuffle_width(spark)
-    buckets = 4 * width
+    width = buckets = shuffle_width(spark)  # a task has one bucket, and a row of each chunk
     name = f"chunks_{uuid.uuid4().hex}"
     made = docs.select("doc_id", "text").mapInArrow(_chunked, "chunk long, ids binary, offsets binary, texts binary")
     made.write.bucketBy(width, "chunk").option("path", new_folder(spark, "chunks")).format("parquet").saveAsTable(name)
@@ -422,7 +470,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
     payload = "bucket int, chunk long, payload binary"
 
     def by_bucket(rows: DataFrame) -> DataFrame:
-        return rows.repartition(width, "bucket").sortWithinPartitions("bucket")
+        return rows.repartitionById(width, "bucket").sortWithinPartitions("bucket")
 
     def sent_back(dealt: DataFrame, hot_runs: int | None, column: str) -> DataFrame:
         parts = by_bucket(dealt).mapInArrow(_shared(hot_runs), "chunk long, anchors binary")

@@ -9,7 +9,9 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import zstandard
 from llm.conftest import AWKWARD, BASE, words
 from pyspark.sql import functions as F
 
@@ -188,6 +190,54 @@ def test_op3_blind_trie():
     assert all(len(g) == 1 for g in groups.values()) and len({*map(min, groups.values())}) == len(groups)
 
 
+def _payload(runs):
+    """What a chunk sends of its runs (text, least id)."""
+    texts = [t.encode() for t, _ in runs]
+    return zstandard.compress(np.int64(len(runs)).tobytes() + np.array([i for _, i in runs], np.int64).tobytes() + np.array([len(t) - 49 for t in texts], np.uint32).tobytes() + b"".join(texts))
+
+
+def test_op3_sorts_only_unlike_runs_of_an_anchor(monkeypatch):
+    """Before, every string of every chunk was sorted, copies included."""
+    sorted_strings = []
+    whole = op3.equal_strings
+    monkeypatch.setattr(op3, "equal_strings", lambda data, starts, length: sorted_strings.append(len(starts)) or whole(data, starts, length))
+    copies = [(words(400 + k, 30)[:60], k) for k in range(50)]
+    chunks = [[(t, i + 100 * c) for t, i in copies] for c in (3, 1, 2)]
+    batch = pa.RecordBatch.from_pydict({"bucket": [0] * 3, "chunk": [0, 1, 2], "payload": [_payload(x) for x in chunks]})
+    answers = [a for b in op3._least_ids(50)([batch]) for a in b.column("answer").to_pylist()]
+    assert [op3._stretched(a).tolist() for a in answers] == [[i + 100 for _, i in copies for _ in range(11)]] * 3
+    assert not sorted_strings
+
+
+@pytest.mark.parametrize("at_once", [1, 100, 1 << 20])
+def test_op3_least_ids_of_strings(monkeypatch, at_once):
+    monkeypatch.setattr(op3, "SORTED", at_once)
+    lines = [words(500 + k, 30)[:90] for k in range(5)] + ["x" * 120, "ab" * 60]
+    ends = [words(600 + k, 9)[:20] for k in range(40)]
+    texts = [*{(ends[k] + lines[k % 7] + ends[-k])[k % 21 : 50 + 20 * (k % 4) + k].encode() for k in range(40)}]
+    texts = [t for t in texts if len(t) >= 50]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    first, many, _, doc = op3.runs(data, np.cumsum([0, *map(len, texts)]), 50)
+    runs = [*dict.fromkeys(data[f : f + n + 49].tobytes() for f, n in zip(first, many, strict=True))]
+    best = np.random.default_rng(1).permutation(len(runs))
+    least = {}
+    for r, i in zip(runs, best.tolist(), strict=True):
+        for k in range(len(r) - 49):
+            least[r[k : k + 50]] = min(least.get(r[k : k + 50], i), i)
+    ids, sizes, at, stretches = op3.least_of_strings(runs, best, 50)
+    for k, r in enumerate(runs):
+        own = slice(at[k], at[k] + stretches[k])
+        assert np.repeat(ids[own], sizes[own]).tolist() == [least[r[j : j + 50]] for j in range(len(r) - 49)]
+
+
+def test_op3_sends_a_row_to_each_partition(spark, documents, monkeypatch):
+    """Before, a chunk sent four rows to each partition; rows grow with chunks times buckets."""
+    buckets, whole = [], op3._texts
+    monkeypatch.setattr(op3, "_texts", lambda length, n: buckets.append(n) or whole(length, n))
+    assert op3.remove_repeats(documents(AWKWARD)).count() == len(AWKWARD)
+    assert buckets == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
 def test_op4_packs_everything(spark, documents):
     rows = AWKWARD + [(100 + k, words(k, 30 + 37 * k % 400)) for k in range(60)] + [(99, words(99, 6000))]
     got = op4.pack_documents(documents(rows), WORD_BPE).toPandas()
