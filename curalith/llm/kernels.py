@@ -159,11 +159,11 @@ def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` bytes."""
+    """A hash of each run of ``width`` bytes (a polynomial modulo 2**64, not mixed)."""
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
     up, down = powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=prefix[1:])
-    return mix((prefix[width:] - prefix[:n]) * down[:n] + U64(width))
+    np.cumsum(data * up[: len(data)], out=prefix[1:])
+    return (prefix[width:] - prefix[:n]) * down[:n]

@@ -81,9 +81,13 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _is_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
-    if not len(ascending):
-        return np.zeros(len(values), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+    """Hashes are looked up only where another has the same highest bits."""
+    high = np.zeros(1 << 18, bool)
+    high[ascending >> np.uint64(46)] = True
+    found = high[values >> np.uint64(46)]
+    some = values[found]
+    found[found] = ascending[np.minimum(np.searchsorted(ascending, some), len(ascending) - 1)] == some
+    return found
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -260,13 +264,13 @@ def _texts(length: int, buckets: int):
             chunk = Chunk(row)
             *_, first, many, least, bucket = chunk.shared_runs(row, length, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            size = many + length - 1
+            texts, ends, many = chunk.data[_each(first, size)].tobytes(), np.append(0, np.cumsum(size)), many.astype(np.uint32)
             out_bucket, out = [], []
             for b in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[b], cuts[b + 1])
-                size = many[own] + length - 1
-                at = _each(first[own], size)
                 out_bucket.append(int(b))
-                out.append(press.compress(np.int64(len(size)).tobytes() + least[own].tobytes() + many[own].astype(np.uint32).tobytes() + chunk.data[at].tobytes()))
+                out.append(press.compress(np.int64(cuts[b + 1] - cuts[b]).tobytes() + least[own].tobytes() + many[own].tobytes() + texts[ends[cuts[b]] : ends[cuts[b + 1]]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array([chunk.number] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "payload"])
 
@@ -321,7 +325,7 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         if not len(active):
             break
         key, own = _key(data, starts[order[active]], at), group[active]
-        by = np.lexsort((key, own))
+        by = np.lexsort((key, own)) if at else np.argsort(key)
         order[active] = order[active[by]]
         key, own = key[by], own[by]
         new = np.ones(len(by), bool)
