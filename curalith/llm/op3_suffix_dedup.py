@@ -51,8 +51,8 @@ PEELED = 3
 #: Anchors of more runs than this are hot: their strings are dealt one by one.  So many runs are at
 #: most about a million strings, some 100 MB in a task.
 HOT_RUNS = 1 << 15
-#: Strings that are sorted at once, or those of one anchor.
-SORTED = 1 << 20
+#: Strings that are sorted at once, or those of one anchor; runs whose bytes are gathered at once.
+SORTED, GATHERED = 1 << 20, 1 << 12
 _LAST = np.iinfo(np.int64).max
 
 
@@ -265,7 +265,8 @@ def _texts(length: int, buckets: int):
             *_, first, many, least, bucket = chunk.shared_runs(row, length, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             size = many + length - 1
-            texts, ends, many = chunk.data[_each(first, size)].tobytes(), np.append(0, np.cumsum(size)), many.astype(np.uint32)
+            texts = b"".join(chunk.data[_each(first[i : i + GATHERED], size[i : i + GATHERED])].tobytes() for i in range(0, len(first), GATHERED))
+            ends, many = np.append(0, np.cumsum(size)), many.astype(np.uint32)
             out_bucket, out = [], []
             for b in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[b], cuts[b + 1])
